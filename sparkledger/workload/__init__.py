@@ -1,6 +1,6 @@
 """Queries over the given tables, one per operator."""
 
-from . import statement_queries  # noqa: F401
+from . import amount_queries, statement_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
