@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PREDICT_THRESHOLD, VECTOR_DIM
+from ..functions.binding import let
 from ..functions.vectors import best_class
 from .nearest import nearest_merchant
 
@@ -22,11 +23,13 @@ GRAM = 3
 
 def char_grams(text: Column, size: int = GRAM) -> Column:
     """Runs of ``size`` characters of the text between two blanks."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    starts = F.when(F.length(padded) >= size, F.sequence(F.lit(1), F.length(padded) - (size - 1)))
-    return F.coalesce(
-        F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))), F.array().cast("array<string>")
-    )
+    chars = F.split(F.concat(F.lit(" "), text, F.lit(" ")), "")
+    starts = lambda cs: F.when(F.size(cs) >= size, F.sequence(F.lit(1), F.size(cs) - (size - 1)))
+    run = lambda cs, i: F.concat(*[F.element_at(cs, i + k) for k in range(size)])
+    # Characters are taken from an array: substring would read the text up to
+    # its place for every run.
+    runs = let(chars, lambda cs: F.transform(starts(cs), lambda i: run(cs, i)))
+    return F.coalesce(runs, F.array().cast("array<string>"))
 
 
 def _feature_stages(dim: int) -> list:

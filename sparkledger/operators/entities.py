@@ -14,19 +14,25 @@ ROUNDING = 1e-9
 
 # --- phonebook ------------------------------------------------------------
 
+def _alias_rows(entities: DataFrame) -> DataFrame:
+    """One row per alias; the name is an alias of itself."""
+    named = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return entities.select("canonical_name", "default_category", F.explode(named).alias("alias"))
+
+
+def _owners(rows: DataFrame, key: str) -> DataFrame:
+    """Of several owners of a key the smallest name keeps it."""
+    owner = F.min(F.struct("canonical_name", "default_category")).alias("o")
+    return rows.filter(F.col(key) != "").groupBy(key).agg(owner).select(key, "o.*")
+
+
 def alias_table(entities: DataFrame) -> DataFrame:
-    """(alias_key, alias, canonical_name, default_category, n_words), one row per key.
+    """(alias_key, canonical_name, default_category, n_words), one row per key.
 
-    ``entities`` is (canonical_name, default_category, aliases). The name is an
-    alias of itself. Of several owners of a key the smallest name keeps it.
+    ``entities`` is (canonical_name, default_category, aliases).
     """
-    named = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    rows = entities.select("canonical_name", "default_category", F.explode(named).alias("alias"))
-    keyed = rows.withColumn("alias_key", match_key(F.col("alias"))).filter("alias_key != ''")
-    owner = F.min(F.struct("canonical_name", "default_category", "alias")).alias("o")
-    return keyed.groupBy("alias_key").agg(owner).select(
-        "alias_key", "o.alias", "o.canonical_name", "o.default_category", F.size(F.split("alias_key", " ")).alias("n_words")
-    )
+    keyed = _alias_rows(entities).withColumn("alias_key", match_key(F.col("alias")))
+    return _owners(keyed, "alias_key").withColumn("n_words", F.size(F.split("alias_key", " ")))
 
 
 def register_entities(entities: DataFrame, changes: DataFrame) -> DataFrame:
@@ -51,10 +57,11 @@ def register_entities(entities: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def find_by_alias(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
+def find_by_alias(names: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
     """Exact alias lookup, letter case and outer spaces ignored; left join."""
-    known = aliases.select(F.lower(F.trim("alias")).alias("_a"), "canonical_name", "default_category")
-    return names.withColumn("_a", F.lower(F.trim(F.col(name)))).join(known, "_a", "left").drop("_a")
+    same = lambda c: F.lower(F.trim(c)).alias("_alias")
+    known = _owners(_alias_rows(entities).select("canonical_name", "default_category", same("alias")), "_alias")
+    return names.withColumn("_alias", same(name)).join(known, "_alias", "left").drop("_alias")
 
 
 # --- alias inside a text --------------------------------------------------

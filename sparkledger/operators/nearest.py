@@ -10,16 +10,22 @@ one tile are salted over many tasks.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import RESOLVE_THRESHOLD
 from ..functions.vectors import has_dimension
 
+# The functions below run inside tasks. They travel with the job, so executors
+# need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 1024
 MAX_PIVOTS = 512

@@ -48,48 +48,46 @@ def read_new_statements(spark: SparkSession, path: str, max_files: int | None =
 class StatementIngest:
     """New files to transactions, ledger, quarantine and review queue.
 
-    Every micro-batch writes its own ``batch_id`` folder, so a repeated batch
-    replaces itself. A file whose content was taken in before is left out. The
+    Every micro-batch writes its own ``batch`` folder, named by the query's id and
+    the batch number, so a repeated batch replaces itself. A file whose content was taken in before is left out. The
     resolver reads the newest merchants when the batch starts.
     """
 
     def __init__(self, spark: SparkSession, out: str, resolver: Resolver, mappings: VersionedTable | None = None):
         self.spark, self.out, self.resolver, self.mappings = spark, out.rstrip("/"), resolver, mappings
 
-    def _seen(self, batch_id: int) -> DataFrame | None:
-        if batch_id == 0 and not self._exists("statements"):
-            return None
+    def _seen(self, batch: str) -> DataFrame | None:
         if not self._exists("statements"):
             return None
-        seen = self.spark.read.option("basePath", f"{self.out}/statements").parquet(f"{self.out}/statements/*")
-        return seen.filter(F.col("batch_id") != batch_id).select("fingerprint")
+        seen = self.spark.read.parquet(f"{self.out}/statements")
+        return seen.filter(F.col("batch") != batch).select("fingerprint")
 
     def _exists(self, name: str) -> bool:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.out}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.out}/{name}/batch_id={batch_id}")
+    def _write(self, df: DataFrame, name: str, batch: str) -> DataFrame:
+        path = f"{self.out}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def __call__(self, pieces: DataFrame, batch_id: int) -> None:
+        query_id = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = f"{query_id}-{batch_id}"
         lines = number_file_lines(pieces)
         fresh = first_copies(statement_fingerprints(lines))
-        seen = self._seen(batch_id)
+        seen = self._seen(batch)
         if seen is not None:
             fresh = fresh.join(seen, "fingerprint", "left_anti")
-        taken = f"{self.out}/statements/batch_id={batch_id}"
-        self._write(fresh, "statements", batch_id)
-        fresh = self.spark.read.parquet(taken).select("statement_id")
-        lines = lines.join(fresh, "statement_id", "left_semi")
+        fresh = self._write(fresh, "statements", batch)
+        lines = lines.join(fresh.select("statement_id"), "statement_id", "left_semi")
         cached = self.mappings.read() if self.mappings else None
-        self._write(normalize_statements(lines, cached), "transactions", batch_id)
-        transactions = self.spark.read.parquet(f"{self.out}/transactions/batch_id={batch_id}")
-        self._write(route_statements(transactions, self.resolver(transactions)), "state", batch_id)
-        state = self.spark.read.parquet(f"{self.out}/state/batch_id={batch_id}")
+        transactions = self._write(normalize_statements(lines, cached), "transactions", batch)
+        state = self._write(route_statements(transactions, self.resolver(transactions)), "state", batch)
         ledger, rejected = split_quarantine(generate_splits(state.filter(F.col("status") == PROCESSED)))
-        self._write(ledger, "ledger", batch_id)
-        self._write(rejected, "quarantine", batch_id)
+        self._write(ledger, "ledger", batch)
+        self._write(rejected, "quarantine", batch)
 
 
 def ingest_statements(

@@ -119,7 +119,7 @@ alias_keys AS (SELECT alias_key, min(canonical_name) AS canonical_name, arg_min(
 
 
 @query("jon7_exact_alias", f"""WITH {ENTITIES_SQL},
-names AS (SELECT item_id, '  ' || upper(array_to_string(w[1:2], '-')) || ' ' AS name FROM words UNION ALL SELECT -1 - item_id, text FROM benchmark),
+names AS (SELECT item_id, '  ' || upper(replace(array_to_string(w[1:2], '-'), 'ß', 'ss')) || ' ' AS name FROM words UNION ALL SELECT -1 - item_id, text FROM benchmark),
 exact AS (SELECT lower(trim(alias)) AS a, min(canonical_name) AS canonical_name, arg_min(default_category, canonical_name) AS default_category FROM keyed GROUP BY 1)
 SELECT item_id, canonical_name, default_category FROM names LEFT JOIN exact ON lower(trim(name)) = a""")
 def jon7(spark, d):
@@ -127,7 +127,7 @@ def jon7(spark, d):
     words = match_words(F.col("text"))
     name = F.concat(F.lit("  "), F.upper(F.array_join(F.slice(words, 1, 2), "-")), F.lit(" "))
     names = b.select("item_id", name.alias("name")).unionByName(b.select((-1 - F.col("item_id")).alias("item_id"), F.col("text").alias("name")))
-    return find_by_alias(names, alias_table(_entities(spark, d))).select("item_id", "canonical_name", "default_category")
+    return find_by_alias(names, _entities(spark, d)).select("item_id", "canonical_name", "default_category")
 
 
 CONTAINED_SQL = """SELECT {key}, arg_max(canonical_name, (length(alias_key), alias_key)) AS canonical_name,
@@ -169,19 +169,19 @@ SIMILAR_SQL = f"""
 words AS (SELECT DISTINCT 'c' AS side, unnest(string_split({V.match_key_sql('text')}, ' ')) AS w FROM conversations
   UNION SELECT DISTINCT 'b', unnest(string_split({V.match_key_sql('text')}, ' ')) FROM benchmark),
 sides AS (SELECT * FROM words WHERE regexp_full_match(w, '[a-z]{{8,}}')),
-similar AS (SELECT a.w AS candidate, b.w AS name, 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)) AS score
+alike AS (SELECT a.w AS candidate, b.w AS name, 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)) AS score
   FROM sides a JOIN sides b ON a.side = 'c' AND b.side = 'b' AND abs(length(a.w) - length(b.w)) <= 0.2 * greatest(length(a.w), length(b.w)) + 1e-9
   WHERE levenshtein(a.w, b.w) <= 0.2 * greatest(length(a.w), length(b.w)) + 1e-9)"""
 
 
-@query("jon9_fuzzy_suggestions", f"WITH {SIMILAR_SQL} SELECT * FROM similar")
+@query("jon9_fuzzy_suggestions", f"WITH {SIMILAR_SQL} SELECT * FROM alike")
 def jon9(spark, d):
     """Longer words of all conversations against those of all benchmark items."""
     return _similar(spark, d)
 
 
 @query("srt3_ranked_suggestions", f"""WITH {SIMILAR_SQL}
-SELECT candidate, name, score, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, name) AS rank FROM similar""")
+SELECT candidate, name, score, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, name) AS rank FROM alike""")
 def srt3(spark, d):
     return rank_similar(_similar(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
