@@ -58,19 +58,24 @@ def collect_errors(df: DataFrame, contract: T.StructType = CONTRACT) -> DataFram
     return df.withColumn("errors", row_errors(contract))
 
 
-def split_quarantine(df: DataFrame, scope: str = "row") -> tuple[DataFrame, DataFrame]:
-    """(clean, quarantined with ``errors``).
+def mark_quarantine(df: DataFrame, scope: str = "row") -> DataFrame:
+    """Adds ``errors`` and ``quarantined``, in one pass over the table.
 
-    ``scope='transaction'`` moves both splits of a transaction when one fails.
+    ``scope='transaction'`` marks both splits of a transaction when one fails.
     """
     checked = collect_errors(df)
     failing = F.size("errors") > 0
     if scope == "row":
-        return checked.filter(~failing).drop("errors"), checked.filter(failing)
+        return checked.withColumn("quarantined", failing)
     bad = checked.filter(failing & F.col("transaction_id").isNotNull()).select("transaction_id").distinct()
-    clean = checked.filter(~failing).join(bad, "transaction_id", "left_anti")
-    taken = checked.filter(~failing).join(bad, "transaction_id", "left_semi")
-    return clean.drop("errors"), checked.filter(failing).unionByName(taken)
+    marked = checked.join(bad.withColumn("_bad", F.lit(True)), "transaction_id", "left")
+    return marked.withColumn("quarantined", F.coalesce("_bad", F.lit(False)) | failing).drop("_bad")
+
+
+def split_quarantine(df: DataFrame, scope: str = "row") -> tuple[DataFrame, DataFrame]:
+    """(clean, quarantined with ``errors``)."""
+    marked = mark_quarantine(df, scope)
+    return marked.filter(~F.col("quarantined")).drop("errors", "quarantined"), marked.filter("quarantined").drop("quarantined")
 
 
 def validate(df: DataFrame, scope: str = "row") -> DataFrame:

@@ -28,6 +28,16 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input of fewer splits than there are cores.
+
+    Only small inputs have so few splits; a large one is left as it is read.
+    The number of splits is known without running a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)

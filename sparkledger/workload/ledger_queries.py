@@ -15,7 +15,7 @@ from ..operators.ledger import (
     investment_splits,
     standard_splits,
 )
-from ..operators.quality import collect_errors, count_failures, split_quarantine
+from ..operators.quality import collect_errors, count_failures, mark_quarantine, split_quarantine
 from ..plans.statements import ledger_by_alias, normalize_statements
 from ..streaming.ingest import ingest_statements
 from . import views as V
@@ -155,9 +155,8 @@ def set2(spark, d):
 , bad AS (SELECT DISTINCT transaction_id FROM checked WHERE errors <> '')
 SELECT transaction_id, account, CASE WHEN transaction_id IN (SELECT transaction_id FROM bad) THEN 'quarantine' ELSE 'clean' END AS part FROM checked""")
 def val3_transaction(spark, d):
-    clean, bad = split_quarantine(_flawed(spark, d), scope="transaction")
-    tag = lambda df, part: df.select("transaction_id", "account", F.lit(part).alias("part"))
-    return tag(clean, "clean").unionByName(tag(bad, "quarantine"))
+    part = F.when(F.col("quarantined"), "quarantine").otherwise("clean")
+    return mark_quarantine(_flawed(spark, d), scope="transaction").select("transaction_id", "account", part.alias("part"))
 
 
 @query("agg5_failure_counts", FLAWED_SQL + """
