@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 JSON_NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 
+JSON_SPECIAL = r'["\\\x00-\x1f]'
+
 
 def header_hash(headers: Column) -> Column:
     """MD5 over the stripped header names."""
@@ -39,24 +41,26 @@ def random_id() -> Column:
     return F.expr("uuid()")
 
 
+def json_text(c: Column) -> Column:
+    """A text as JSON string; only text with special characters is encoded."""
+    encoded = F.btrim(F.to_json(F.array(c)), F.lit("[]"))
+    return F.when(c.rlike(JSON_SPECIAL), encoded).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+
+
+def json_names(names: Column) -> Column:
+    return F.transform(names, json_text)
+
+
 def row_json(names: Column, values: Column, numeric: Column) -> Column:
     """JSON of a source row with nulls kept; cells of numeric columns print as numbers.
 
-    ``numeric`` is an array of booleans aligned with ``names``. The object is
-    put together by hand because its keys differ from statement to statement.
+    ``names`` went through ``json_names``, once per statement; ``numeric`` is
+    an array of booleans aligned with it. The object is put together by hand
+    because its keys differ from statement to statement.
     """
-    text = lambda c: F.btrim(F.to_json(F.array(c)), F.lit("[]"))
     number_text = lambda c: F.when(F.trim(c).rlike(JSON_NUMBER), F.trim(c)).otherwise(
         F.trim(c).try_cast("double").cast("string")
     )
-    cell = lambda name, value, number: F.concat(
-        text(name),
-        F.lit(":"),
-        F.when(value.isNull(), F.lit("null")).when(number, number_text(value)).otherwise(text(value)),
-    )
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"), numeric.alias("b"))
-    return F.concat(
-        F.lit("{"),
-        F.array_join(F.transform(pairs, lambda p: cell(p["n"], p["v"], p["b"])), ","),
-        F.lit("}"),
-    )
+    text = lambda value, i: F.coalesce(F.when(F.get(numeric, i), number_text(value)).otherwise(json_text(value)), F.lit("null"))
+    cell = lambda value, i: F.concat(F.get(names, i), F.lit(":"), text(value, i))
+    return F.concat(F.lit("{"), F.array_join(F.transform(values, cell), ","), F.lit("}"))

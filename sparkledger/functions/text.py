@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from ..constants import BANNED_TAGS, NOISE_PATTERNS, STOP_WORDS
 
 UNICODE = "(?U)"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_text(c: Column) -> Column:
-    """Trim every Unicode white space, not only blanks; null stays null."""
-    return F.regexp_replace(c, UNICODE + r"^\s+|\s+$", "")
+    """Trim every Unicode white space, not only blanks; null stays null.
+
+    Trimming a set of characters looks at the ends alone; a pattern would scan
+    the whole text.
+    """
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def upper_text(c: Column) -> Column:

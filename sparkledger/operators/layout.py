@@ -19,23 +19,28 @@ from ..functions.text import strip_text
 
 CHUNK_LINES = 250_000
 MASK_BITS = 62
+NOT_BLANK = r"(?U)\S"
 
 
 # --- header detection -----------------------------------------------------
 
 def score_window(lines: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """Adds density, keyword score and the data test; null beyond the window."""
-    line = F.col("line")
+    """Adds density, keyword score and the data test of the first lines."""
     inside = F.col("line_no") < window
+    # Scores are taken of a column that is null beyond the window: later lines
+    # cost nothing, and repeated parts of the scores are computed once.
+    line = F.col("_line")
     is_data = (
         (F.col("density") >= DENSITY_THRESHOLD) & (F.length(strip_text(line)) > MIN_DATA_LENGTH) & has_digit(line)
     )
-    return lines.select(
-        "*",
-        F.when(inside, data_density(line)).alias("density"),
-        F.when(inside, keyword_score(line)).alias("keyword_score"),
-        F.when(inside, has_separator(line)).alias("delimited"),
-    ).withColumn("is_data", inside & is_data)
+    scored = lines.withColumn("_line", F.when(inside, F.col("line"))).withColumns(
+        {
+            "density": data_density(line),
+            "keyword_score": keyword_score(line),
+            "delimited": has_separator(line),
+        }
+    )
+    return scored.withColumn("is_data", inside & is_data).drop("_line")
 
 
 def _by_density(structured_only: bool) -> Column:
@@ -174,7 +179,7 @@ def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
     cells = split_fields(F.col("line"), F.col("delimiter"))
     return (
         join_statement(lines, layout)
-        .filter((F.col("line_no") > F.col("header_row")) & (strip_text(F.col("line")) != ""))
+        .filter((F.col("line_no") > F.col("header_row")) & F.col("line").rlike(NOT_BLANK))
         .withColumn("_cells", cells)
         .withColumn("too_long", F.size("_cells") > F.size("columns"))
         .withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_CURRENCY, UNKNOWN_BANK_ACCOUNT
 from ..functions.amounts import credit_debit_amount, direction_amount, try_amount
 from ..functions.dates import best_format, date_shape, date_text, parse_date
-from ..functions.identity import row_json, transaction_id
+from ..functions.identity import json_names, row_json, transaction_id
 from ..functions.text import strip_text
 from ..sources.statements import number_rows
 from .layout import numeric_flags, profile_columns
@@ -57,6 +57,7 @@ def decide_formats(layouts: DataFrame, rows: DataFrame) -> DataFrame:
     return decided.select(
         *layouts.columns,
         "numeric",
+        json_names(F.col("columns")).alias("names"),
         F.struct(*[flag(k) for k in AMOUNTS]).alias("is_numeric"),
         best_format(F.col("mapping.decimal_separator") == ",").alias("date_format"),
     )
@@ -71,7 +72,7 @@ def normalize(rows: DataFrame, mode: str = "lenient") -> DataFrame:
     separator, polarity = F.col("mapping.decimal_separator"), F.col("mapping.polarity")
     cell = lambda k: F.get("fields", F.col(f"at.{k}"))
     cells = rows.select(
-        "statement_id", "line_no", "columns", "fields", "numeric", "mapping", "is_numeric", "date_format",
+        "statement_id", "line_no", "names", "fields", "numeric", "mapping", "is_numeric", "date_format",
         date_text(cell("date")).alias("_date"),
         *[cell(k).alias(f"_{k}") for k in (*AMOUNTS, "direction")],
         strip_text(cell("description")).alias("description"),
@@ -99,7 +100,7 @@ def normalize(rows: DataFrame, mode: str = "lenient") -> DataFrame:
             "date": parse_date(F.col("_date"), F.col("_shape"), F.col("date_format")),
             "amount": signed,
             "amount_ok": F.when(both, fine("credit") & fine("debit")).otherwise(fine("amount")),
-            "meta": row_json(F.col("columns"), F.col("fields"), F.col("numeric")),
+            "meta": row_json(F.col("names"), F.col("fields"), F.col("numeric")),
             **constant_columns(),
         }
     )

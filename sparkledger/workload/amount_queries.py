@@ -15,7 +15,7 @@ from ..functions.amounts import (
     us_number,
 )
 from ..functions.dates import best_format, date_shape, date_text, format_counts, parse_date
-from ..functions.identity import random_id, row_json, transaction_id
+from ..functions.identity import json_names, random_id, row_json, transaction_id
 from ..functions.text import strip_text
 from ..operators.normalize import number_occurrences
 from ..plans.statements import normalize_statements
@@ -181,7 +181,7 @@ def nrm12(spark, d):
         F.col("o_orderpriority"), F.lit(None).cast("string"),
     )
     flags = F.array(*[F.lit(b) for b in (False, True, False, True)])
-    return table(spark, d, "orders").select("o_orderkey", row_json(names, values, flags).alias("meta"))
+    return table(spark, d, "orders").select("o_orderkey", row_json(json_names(names), values, flags).alias("meta"))
 
 
 @query("nrm12_statement_meta", "WITH " + V.ORDERS_BY_FILE_SQL + f"""
