@@ -136,6 +136,17 @@ def split_fields(line: Column, delimiter: Column) -> Column:
     )
 
 
+def has_open_quote(line: Column, delimiter: Column) -> Column:
+    """A quoted cell starts in this line and does not end in it.
+
+    What follows the last complete cell begins with a quote.
+    """
+    sep = F.when(delimiter == "|", F.lit(r"\|")).otherwise(delimiter)
+    cell = F.concat(F.lit(r'(?:"[^"]*+(?:""[^"]*+)*+"[^'), delimiter, F.lit(r']*+|(?!")[^'), delimiter, F.lit("]*+)"))
+    broken = F.rlike(line, F.concat(F.lit("^(?:"), cell, sep, F.lit(r')*+"[^"]*+(?:""[^"]*+)*+\z')))
+    return F.contains(line, F.lit('"')) & (delimiter != "") & broken
+
+
 def column_names(header_line: Column, delimiter: Column) -> Column:
     """Stripped names; empty ones get a name, repeated ones a number."""
     named = F.transform(
@@ -170,18 +181,21 @@ def join_statement(lines: DataFrame, per_statement: DataFrame) -> DataFrame:
 
 
 def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
-    """Data rows with ``fields`` aligned to ``columns`` and ``too_long`` for bad rows.
+    """Data rows with ``fields`` aligned to ``columns`` and the flag ``bad``.
 
     Blank lines are skipped, short rows padded with null, missing-value
-    spellings read as null. Rows with more cells than the header keep their
-    text in ``line``; filter on ``too_long`` to drop or report them.
+    spellings read as null. Bad rows have more cells than the header or end
+    inside a quoted cell (see ``join_quoted_lines``); ``line`` keeps their text.
     """
     cells = split_fields(F.col("line"), F.col("delimiter"))
     return (
         join_statement(lines, layout)
         .filter((F.col("line_no") > F.col("header_row")) & F.col("line").rlike(NOT_BLANK))
         .withColumn("_cells", cells)
-        .withColumn("too_long", F.size("_cells") > F.size("columns"))
+        .withColumn(
+            "bad",
+            (F.size("_cells") > F.size("columns")) | has_open_quote(F.col("line"), F.col("delimiter")),
+        )
         .withColumn(
             "fields",
             F.transform("columns", lambda _, i: null_if_missing(F.get("_cells", i))),
@@ -191,11 +205,11 @@ def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def table_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(~F.col("too_long"))
+    return parsed.filter(~F.col("bad"))
 
 
 def bad_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("too_long").select("statement_id", "line_no", "line")
+    return parsed.filter("bad").select("statement_id", "line_no", "line")
 
 
 # --- whole-column facts ---------------------------------------------------

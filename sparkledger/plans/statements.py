@@ -13,6 +13,7 @@ from ..operators.mapping import resolve_mapping
 from ..operators.normalize import decide_formats, locate_columns, normalize
 from ..operators.quality import split_quarantine
 from ..operators.review import completed_rows, route
+from ..sources.statements import join_quoted_lines
 
 
 def decide_statements(
@@ -29,12 +30,17 @@ def normalize_statements(
     proposed: DataFrame | None = None,
     structured_only: bool = True,
     mode: str = "lenient",
+    multiline: bool = False,
 ) -> DataFrame:
     """Transactions of all statements in ``lines(statement_id, line_no, line)``.
 
+    ``multiline`` first joins lines broken inside quoted cells; without it such
+    lines count as bad rows.
+
     The lines are read three times: for the header window, for the whole-column
     facts, for the rows. Between the passes only one row per statement moves.
     """
+    lines = join_quoted_lines(lines) if multiline else lines
     decisions = decide_statements(lines, cached, proposed, structured_only)
     return normalize(table_rows(parse_rows(lines, decisions)), mode)
 

@@ -12,7 +12,7 @@ from ..operators.ledger import generate_splits
 from ..operators.quality import split_quarantine
 from ..operators.review import PROCESSED
 from ..plans.statements import normalize_statements, route_statements
-from ..sources.statements import number_file_lines
+from ..sources.statements import number_file_lines, pin_file_splits
 from ..sources.tables import VersionedTable
 
 Resolver = Callable[[DataFrame], DataFrame]
@@ -35,6 +35,7 @@ def first_copies(prints: DataFrame) -> DataFrame:
 
 
 def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    pin_file_splits(spark)
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

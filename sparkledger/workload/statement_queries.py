@@ -23,6 +23,7 @@ from ..operators.layout import (
     header_by_keywords,
     numeric_columns,
     parse_rows,
+    split_fields,
     table_rows,
 )
 from ..operators.mapping import (
@@ -38,7 +39,7 @@ from ..operators.normalize import constant_columns
 from ..plans.statements import normalize_statements
 from ..session import shared_dir
 from ..sources.sinks import nan_to_null, write_ledger_csv, write_quarantine, write_records
-from ..sources.statements import lines_from_content, read_statements
+from ..sources.statements import join_quoted_lines, lines_from_content, read_statements
 from ..sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings
 from . import views as V
 from .registry import query, table
@@ -130,6 +131,22 @@ def src5(spark, d):
     return numeric_columns(table_rows(parse_rows(lines, detect_layout(lines))))
 
 
+@query("src4_quoted_line_breaks", r"""
+SELECT doc_id::varchar AS statement_id, 1::bigint AS line_no,
+ array_to_string(string_split_regex(text, '\r\n|\n|\r'), chr(10)) AS cell FROM documents WHERE text <> ''""")
+def src4_breaks(spark, d):
+    """Every document as one quoted cell under a header: the cell comes back whole."""
+    docs = table(spark, d, "documents").filter("text <> ''")
+    quoted = F.replace("text", F.lit('"'), F.lit('""'))
+    content = F.concat(F.lit('Text,Amount\n"'), quoted, F.lit('",12345678\n'))
+    lines = lines_from_content(
+        docs.select(F.col("doc_id").cast("string").alias("statement_id"), content.alias("content")), "statement_id", "content"
+    )
+    joined = join_quoted_lines(lines).filter("line_no > 0")
+    cell = F.get(split_fields(F.col("line"), F.lit(",")), F.lit(0))
+    return joined.select("statement_id", "line_no", cell.alias("cell"))
+
+
 @query("src6_header_only", LINES + " SELECT statement_id, line_no, [line] AS fields FROM lines WHERE false")
 def src6(spark, d):
     """Statements cut down to preamble and header, and empty texts, give no rows."""

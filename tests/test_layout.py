@@ -113,3 +113,26 @@ def test_long_statement_is_cut_into_chunks(spark, monkeypatch):
     lines = lines_of(spark, long="Date,Amount,Text\n" + body, short="Date,Amount,Text\n2023-01-01,1,x")
     rows = L.table_rows(L.parse_rows(lines, L.detect_layout(lines))).groupBy("statement_id").count().collect()
     assert dict(map(tuple, rows)) == {"long": 60, "short": 1}
+
+
+def test_open_quotes(spark):
+    cases = ['a;"b;c', 'a;"x;"', '"a""b";c', '5" pipe;b', 'a;"b""', '"a";"b', "plain;row", '"q"x;"y']
+    got = apply(spark, lambda c: L.has_open_quote(c, F.lit(";")), cases)
+    assert got == [True, False, False, False, True, True, False, True]
+
+
+def test_cells_with_line_breaks(spark):
+    from sparkledger.plans.statements import normalize_statements, unreadable_rows
+    from sparkledger.sources.statements import join_quoted_lines
+
+    text = 'Date,Amount,Text\n2023-01-01,1.00,"two\n\nlines, here"\n2023-01-02,2.00,plain\n2023-01-03,3.00,"again\nbroken"\n'
+    lines = lines_of(spark, a=text, b="Date,Amount,Text\n2023-01-01,1.00,x\n")
+    for width in (2, 1 << 18):
+        joined = {(r[0], r[1]): r[2] for r in join_quoted_lines(lines, width=width).collect()}
+        assert sorted(n for s, n in joined if s == "a") == [0, 1, 4, 5]
+        assert joined[("a", 1)].count("\n") == 2 and len([1 for s, _ in joined if s == "b"]) == 2
+    rows = normalize_statements(lines, multiline=True).orderBy("statement_id", "line_no").collect()
+    assert [r["description"] for r in rows] == ["two\n\nlines, here", "plain", "again\nbroken", "x"]
+    # A quote that never closes leaves all lines as they were.
+    assert join_quoted_lines(lines_of(spark, a='x\n"y\n' + "z\n" * 9), max_lines=5).count() == 11
+    assert [r["line_no"] for r in unreadable_rows(lines).orderBy("line_no").collect()] == [1, 5]
