@@ -35,9 +35,15 @@ def date_text(c: Column) -> Column:
     return F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
 
 
+LONGEST_DATE = 19
+
+
 def date_shape(text: Column) -> Column:
+    """The text with 9 for digits and AAA for a month's short name; null for
+    texts longer than any date."""
     digits = F.translate(text, "0123456789", "9999999999")
-    return F.regexp_replace(digits, "(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", "AAA")
+    shape = F.regexp_replace(digits, "(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", "AAA")
+    return F.when(F.length(text) <= LONGEST_DATE, shape)
 
 
 def _parsed(text: Column, shape: Column, fmt: str, shapes: list[str]) -> Column:

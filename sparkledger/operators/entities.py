@@ -210,9 +210,11 @@ def discover_entities(
     pairs = (
         rows.filter(F.col("category") == UNCATEGORIZED)
         .select(F.lower(clean_text(F.col(description))).alias("raw"), F.col(description).alias("example"))
-        .filter("raw != ''")
         .groupBy("raw", "example")
-        .agg(F.count(F.lit(1)).alias("n"))
+        # The length comes out of the aggregate: a filter on raw itself would be
+        # pushed below it and clean every text a second time.
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.length("raw")).alias("size"))
+        .filter("size > 0")
     )
     counts = pairs.groupBy("raw").agg(F.sum("n").alias("n_rows"))
     order = Window.partitionBy("raw").orderBy("example")

@@ -70,7 +70,10 @@ def resolve_texts(
     threshold: float = RESOLVE_THRESHOLD, text: str = "cleaned_description",
 ) -> DataFrame:
     """(text, canonical_name, default_category, similarity) of distinct cleaned texts."""
-    asked = texts.select(F.col(text).alias(embedder.text)).filter(F.col(embedder.text) != "").distinct()
+    # The length comes out of the aggregate: a filter on the cleaned text would
+    # be pushed below it and clean every text a second time.
+    asked = texts.groupBy(F.col(text).alias(embedder.text)).agg(F.max(F.length(text)).alias("_size"))
+    asked = asked.filter("_size > 0").drop("_size")
     found = nearest_merchant(embedder.transform(asked), merchants, dim, threshold, key=embedder.text)
     return found.withColumnRenamed(embedder.text, text)
 

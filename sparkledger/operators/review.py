@@ -73,9 +73,14 @@ def feedback_table(feedback: DataFrame) -> DataFrame:
     """
     version = F.col("version") if "version" in feedback.columns else F.lit(0)
     return (
-        feedback.filter(F.coalesce(F.col("raw"), F.lit("")) != "")
-        .groupBy(F.upper("raw").alias("raw_key"))
-        .agg(F.max(F.struct(version.cast("bigint").alias("v"), "name", "category")).alias("f"))
+        feedback.groupBy(F.upper("raw").alias("raw_key"))
+        # Blank texts are left out by a length from the aggregate: a filter on
+        # the text would be pushed down and compute it twice.
+        .agg(
+            F.max(F.struct(version.cast("bigint").alias("v"), "name", "category")).alias("f"),
+            F.max(F.length("raw")).alias("size"),
+        )
+        .filter("size > 0")
         .select("raw_key", F.col("f.name").alias("name"), F.col("f.category").alias("category"))
     )
 

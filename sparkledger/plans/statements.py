@@ -13,6 +13,7 @@ from ..operators.mapping import resolve_mapping
 from ..operators.normalize import decide_formats, locate_columns, normalize
 from ..operators.quality import split_quarantine
 from ..operators.review import completed_rows, route
+from ..session import stage_table
 from ..sources.statements import join_quoted_lines
 
 
@@ -62,6 +63,19 @@ def ledger_by_alias(
     return split_quarantine(generate_splits(categorized), scope)
 
 
+def statements_to_ledger(
+    lines: DataFrame,
+    aliases: DataFrame,
+    rules: DataFrame | None = None,
+    cached: DataFrame | None = None,
+    scope: str = "row",
+) -> tuple[DataFrame, DataFrame]:
+    """(ledger, quarantine) of raw lines. The transactions are staged: matching
+    needs their descriptions first and their rows afterwards."""
+    transactions = stage_table(normalize_statements(lines, cached), "transactions")
+    return ledger_by_alias(transactions, aliases, rules, scope)
+
+
 def ledger_of_completed(state: DataFrame, scope: str = "row") -> tuple[DataFrame, DataFrame]:
     """(ledger, quarantine) of the statements with nothing left to review."""
     return split_quarantine(generate_splits(completed_rows(state)), scope)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: work that several
+    later steps need is done once, and lost executors do not repeat it."""
+    path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives lost executors."""
     sc = df.sparkSession.sparkContext

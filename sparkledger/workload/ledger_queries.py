@@ -16,7 +16,7 @@ from ..operators.ledger import (
     standard_splits,
 )
 from ..operators.quality import collect_errors, count_failures, mark_quarantine, split_quarantine
-from ..plans.statements import ledger_by_alias, normalize_statements
+from ..plans.statements import statements_to_ledger
 from ..streaming.ingest import ingest_statements
 from . import views as V
 from .registry import query, table
@@ -184,10 +184,9 @@ def _priority_aliases(spark, d):
 
 
 @query("val3_statements_to_ledger", LEDGER_SQL)
-def statements_to_ledger(spark, d):
+def val3_ledger(spark, d):
     """Files in four formats to a validated ledger; the SQL side starts at the orders."""
-    transactions = normalize_statements(V.statement_lines(spark, d))
-    ledger, _ = ledger_by_alias(transactions, _priority_aliases(spark, d))
+    ledger, _ = statements_to_ledger(V.statement_lines(spark, d), _priority_aliases(spark, d))
     return _day(ledger).select("statement_id", "date", "description", "account", "amount", "currency")
 
 
