@@ -123,17 +123,28 @@ class Words:
         back = np.array([pow(_BASE, -_BLOCK * k, 1 << 64) for k in range(len(self.data) // _BLOCK + 1)], dtype=np.uint64)
         return mix((at_end - at_start) * inverse[self.start % _BLOCK] * back[self.start // _BLOCK])
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from every position that has k words of one text, and how many each text has.
 
-        Hashes lie text after text; text d has max(0, words - k + 1) of them.
+        Hashes lie text after text; text d has max(0, words - k + 1) of them. With
+        ``short``, a text of fewer words (but one) has one: its whole sequence.
         """
         counts = np.maximum(self.counts - k + 1, 0)
+        if short:
+            counts[(self.counts > 0) & (self.counts < k)] = 1
         at = runs(self.first[:-1], counts)
+        size = np.repeat(np.minimum(self.counts, k), counts)
         n = len(self.hash)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.hash * powers(_GRAM, n), out=sums[1:])
-        return mix((sums[at + k] - sums[at]) * powers(pow(_GRAM, -1, 1 << 64), n)[at] + np.uint64(k)), counts
+        return mix((sums[at + size] - sums[at]) * powers(pow(_GRAM, -1, 1 << 64), n)[at] + size.astype(np.uint64)), counts
+
+    def sets(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct shingles of every text, text after text, and how many each has."""
+        grams, counts = self.grams(k, short=True)
+        end = np.cumsum(counts)
+        found = [np.unique(grams[e - c : e]) for e, c in zip(end, counts)]
+        return (np.concatenate(found) if found else grams), np.array([len(x) for x in found], dtype=np.int64)
 
     def joined(self, d: int, keep: np.ndarray | None = None) -> bytes:
         """Words of text d (all, or those that ``keep`` marks) with one space between."""

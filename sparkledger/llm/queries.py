@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, neardup
 from .registry import query, table
 
 
@@ -21,3 +21,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.filter(~held_out))
     judged = language.identify(docs.select("doc_id", "text"), model)
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_components(table(spark, sf_dir, "documents"), percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
