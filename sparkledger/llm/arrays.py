@@ -146,6 +146,17 @@ class Words:
         found = [np.unique(grams[e - c : e]) for e, c in zip(end, counts)]
         return (np.concatenate(found) if found else grams), np.array([len(x) for x in found], dtype=np.int64)
 
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of every text's whole word sequence (0 for no words)."""
+        filled, n = self.counts > 0, len(self.hash)
+        out = np.zeros((2, len(self)), dtype=np.uint64)
+        if n:
+            begin = self.first[:-1][filled]
+            for k, word in enumerate((self.hash, mix(self.hash ^ np.uint64(_GRAM)))):
+                total = np.add.reduceat(word * powers(_GRAM, n), begin) * powers(pow(_GRAM, -1, 1 << 64), n)[begin]
+                out[k, filled] = mix(total + self.counts[filled].astype(np.uint64))
+        return out[0], out[1]
+
     def joined(self, d: int, keep: np.ndarray | None = None) -> bytes:
         """Words of text d (all, or those that ``keep`` marks) with one space between."""
         a, b = self.first[d], self.first[d + 1]

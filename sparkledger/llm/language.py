@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import pieces, runs
 
@@ -242,8 +243,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
             more = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+    schema = T.StructType(out)
+    for name, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_spans", "array<struct<start:int,end:int,lang:string>>")):
+        schema = schema.add(name, kind)
+    return kept.mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 1 / 3) -> DataFrame:

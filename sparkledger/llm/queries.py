@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup
+from . import language, neardup, substrings
 from .registry import query, table
 
 
@@ -23,6 +23,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
+@query("op8_substring_repeats")
+def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op10_near_duplicates")
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_components(table(spark, sf_dir, "documents"), percent=85)
