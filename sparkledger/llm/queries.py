@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, substrings
+from . import decontaminate, language, mixing, neardup, substrings, topk
 from .registry import query, table
 
 
@@ -23,6 +23,66 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k,
+    CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, source_size * 2.0::DOUBLE AS lim,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight
+  FROM sizes
+), levels AS (
+  SELECT *, row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS place,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), opened AS (
+  SELECT arg_min(level, place) AS level FROM levels WHERE level * weight < lim
+), goals AS (
+  SELECT l.source, source_size, least(lim, coalesce(o.level * weight, lim)) AS target,
+    CAST(floor(least(lim, coalesce(o.level * weight, lim))) AS BIGINT) AS words
+  FROM levels l, opened o
+), groups AS (
+  SELECT source, k, sum(size)::BIGINT AS size, count(*) AS n FROM docs GROUP BY source, k
+), placed AS (
+  SELECT g.source, g.k, g.n, g.size, q.source_size, q.target,
+    CASE WHEN q.source_size > 0 THEN q.words // q.source_size ELSE 0 END AS epochs,
+    CASE WHEN q.source_size > 0 THEN q.words % q.source_size ELSE 0 END AS rest,
+    (sum(g.size) OVER (PARTITION BY g.source ORDER BY g.k) - g.size)::BIGINT AS so_far
+  FROM groups g JOIN goals q ON g.source IS NOT DISTINCT FROM q.source
+)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+  (p.epochs * d.size + CASE WHEN p.so_far + p.size < p.rest THEN d.size WHEN p.so_far < p.rest THEN (p.rest - p.so_far) // p.n ELSE 0 END)::BIGINT AS taken
+FROM docs d JOIN placed p ON d.source IS NOT DISTINCT FROM p.source AND d.k = p.k
+"""
+
+
+@query("op2_mixing", OP2_SQL)
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+OP3_SQL = """
+WITH whole AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op3_exact_top_k", OP3_SQL)
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query("op8_substring_repeats")
 def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -33,3 +93,8 @@ def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_components(table(spark, sf_dir, "documents"), percent=85)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
