@@ -9,11 +9,14 @@ Collisions become candidate pairs, pairs whose sizes rule out the similarity
 are skipped, equal coordinates are counted over the whole signature, pairs
 below ``needed`` go, and what stays is confirmed on the full shingle sets.
 
-A posting of many classes is never expanded into all its pairs at once. First
-every class meets one leader of each posting, and confirmed links join them to
-components; then only pairs of *different* components are expanded, as two
-classes of one component need no further proof. So every linked pair ends in
-one component, whatever the size of a group.
+A posting of many classes is never expanded into all its pairs. First every
+class meets one leader of each posting, and confirmed links join them to
+components. Two classes of one component need no further proof, so what is left
+are pairs of *different* components. For these, shingles that no other open
+class has are counted: they are in the union and not in the intersection of any
+pair, and pairs that they rule out are skipped, as are pairs already met under
+an earlier coordinate. So every linked pair ends in one component, whatever the
+size of a group.
 
 Rows without an id, and texts without words, link with nothing. Rows of one id
 are one document: links of any of its texts count for it.
@@ -38,9 +41,7 @@ COORDINATES = 24
 ROWS = 3
 #: Chance that a pair exactly at the threshold has too few equal coordinates.
 MISS = 1e-6
-#: Leader rounds go on while the pairs left to expand outnumber the classes by this factor.
-EXPAND_FACTOR = 4
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 _SEEDS = mix(np.arange(1, 2 * COORDINATES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SLICE = 1 << 16
 
@@ -117,6 +118,21 @@ def _confirm(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        grams, counts = Words(batch.column(2), lower=True).sets(SHINGLE_WORDS)
+        own = np.repeat(signed(_fingerprints(grams, counts)[0]) == batch.column(1).to_numpy(), counts)
+        doc = pa.array(np.repeat(np.arange(len(counts)), counts)[own])
+        yield pa.record_batch([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(signed(grams[own]))], names=["doc_id", "f1", "shingle"])
+
+
+def _own_shingles(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, f1, own): how many shingles of each class (doc_id, f1) no other of these classes has."""
+    rows = classes.join(texts, "doc_id").select("doc_id", "f1", "text").mapInArrow(_shingles, "doc_id long, f1 long, shingle long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id"), F.min("f1").alias("f1")).filter("k = 1")
+    return single.groupBy("doc_id", "f1").agg(F.count("*").alias("own"))
+
+
 def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed (u, v) of candidate pairs (a, f_a, b, f_b)."""
     for side in "ab":
@@ -128,6 +144,10 @@ def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, percent: i
     return near.select("a", "f_a", "text_a", "b", "f_b", "text_b").mapInArrow(_confirm(percent), "u long, v long")
 
 
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("posting", *[F.col(c).alias(f"{c}_{side}") for c in ("place", "doc_id", "n", "f1", "comp", *more)])
+
+
 def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``: documents linked, directly or by
     others, at ``percent`` of shared shingles or more have one component_id, the smallest doc_id."""
@@ -140,7 +160,7 @@ def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     signatures = stage_table(signed_rows.join(reps, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "n", "f1", "sig"), "classes")
 
     prefix = COORDINATES - needed(percent) + 1
-    postings = signatures.select("doc_id", "n", "f1", F.explode(F.slice("sig", 1, prefix)).alias("posting"))
+    postings = signatures.select("doc_id", "n", "f1", F.posexplode(F.slice("sig", 1, prefix)).alias("place", "posting"))
     shared = postings.groupBy("posting").agg(F.count("*").alias("k")).filter("k > 1").select("posting")
     met = stage_table(postings.join(shared, "posting"), "postings")
     texts = stage_table(rows.join(met.select("doc_id").distinct(), "doc_id"), "texts")
@@ -150,33 +170,35 @@ def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     edges = members.join(tied.select("doc_id", "v"), "doc_id").select(F.col("rep").alias("u"), "v").filter("u <> v")
 
     edges = stage_table(edges, "links")
-    total = signatures.count()
     tested = None
     for turn in range(LEADER_ROUNDS + 1):
         comp = components(edges)
-        now = met.join(comp, met.doc_id == comp.node, "left").select("posting", "doc_id", "n", "f1", F.coalesce("component", "doc_id").alias("comp"))
-        per = now.groupBy("posting", "comp").agg(F.count("*").alias("k")).groupBy("posting")
-        open_ = per.agg(F.count("*").alias("comps"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("within")).filter("comps > 1")
-        open_ = stage_table(open_.select("posting", ((F.col("k") * F.col("k") - F.col("within")) / 2).alias("pairs")), "open")
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
+        now = met.join(comp, met.doc_id == comp.node, "left").select("posting", "place", "doc_id", "n", "f1", F.coalesce("component", "doc_id").alias("comp"))
+        open_ = now.groupBy("posting").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("posting")
+        now = stage_table(now.join(open_, "posting"), "open")
+        if now.isEmpty():
             break
-        now = now.join(open_.select("posting"), "posting")
-        last = turn == LEADER_ROUNDS or (turn > 0 and left <= EXPAND_FACTOR * total)
-        mine = now.select("posting", *[F.col(c).alias(f"{d}_a") for c, d in (("doc_id", "doc"), ("n", "n"), ("f1", "f"), ("comp", "comp"))])
+        last = turn == LEADER_ROUNDS
         if last:
-            other = now.select("posting", *[F.col(c).alias(f"{d}_b") for c, d in (("doc_id", "doc"), ("n", "n"), ("f1", "f"), ("comp", "comp"))])
-            order = "(doc_a > doc_b or (doc_a = doc_b and f_a > f_b))"
+            own = _own_shingles(now.select("doc_id", "f1").distinct(), texts)
+            more = now.select("doc_id", "f1").distinct().join(own, ["doc_id", "f1"], "left").join(signatures.select("doc_id", "f1", "sig"), ["doc_id", "f1"])
+            now = now.join(more.select("doc_id", "f1", F.coalesce("own", F.lit(0)).alias("own"), "sig"), ["doc_id", "f1"])
+            mine, other = (_side(now, side, "own", "sig") for side in "ab")
+            before_a, before_b = (F.slice(f"sig_{side}", 1, F.col("place_a")) for side in "ab")
+            possible = (
+                F.expr("doc_id_a > doc_id_b or (doc_id_a = doc_id_b and f1_a > f1_b)")
+                & ((F.col("own_a") + F.col("own_b")) * percent <= F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")) * (100 - percent))
+                & ~F.arrays_overlap(before_a, before_b)
+            )
         else:
             rank = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-            lead = now.groupBy("posting").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "f1", "comp")).alias("x"))
-            other = lead.select("posting", F.col("x.doc_id").alias("doc_b"), F.col("x.n").alias("n_b"), F.col("x.f1").alias("f_b"), F.col("x.comp").alias("comp_b"))
-            order = "true"
-        pairs = mine.join(other, "posting").filter(F.expr(order) & (F.col("comp_a") != F.col("comp_b")) & _sizes_fit(percent))
-        swap = F.col("doc_a") < F.col("doc_b")
+            lead = now.groupBy("posting").agg(F.min(F.struct(rank.alias("rank"), "place", "doc_id", "n", "f1", "comp")).alias("x")).select("posting", "x.*")
+            mine, other, possible = _side(now, "a"), _side(lead, "b"), F.lit(True)
+        pairs = mine.join(other, "posting").filter(possible & (F.col("comp_a") != F.col("comp_b")) & _sizes_fit(percent))
+        swap = F.col("doc_id_a") < F.col("doc_id_b")
         pairs = pairs.select(
-            F.greatest("doc_a", "doc_b").alias("a"), F.when(swap, F.col("f_b")).otherwise(F.col("f_a")).alias("f_a"),
-            F.least("doc_a", "doc_b").alias("b"), F.when(swap, F.col("f_a")).otherwise(F.col("f_b")).alias("f_b"),
+            F.greatest("doc_id_a", "doc_id_b").alias("a"), F.when(swap, F.col("f1_b")).otherwise(F.col("f1_a")).alias("f_a"),
+            F.least("doc_id_a", "doc_id_b").alias("b"), F.when(swap, F.col("f1_a")).otherwise(F.col("f1_b")).alias("f_b"),
         ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "f_a", "b", "f_b"], "left_anti")
@@ -185,7 +207,6 @@ def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         edges = stage_table(edges.unionByName(_links(pairs, signatures, texts, percent)), "links")
         if last:
             comp = components(edges)
-            break
     found = members.join(comp, members.rep == comp.node, "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
