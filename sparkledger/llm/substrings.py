@@ -220,6 +220,7 @@ def find_repeats(docs: DataFrame, shape: str = "digest", doc_id: str = "doc_id",
     suspects = marked.filter("hits is not null")
     windows = stage_table(suspects.select("doc_id", "text", "row", "hits").mapInArrow(_windows, "h1 long, h2 int, doc_id long, row int, pos int"), "windows")
     repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    repeated = stage_table(repeated, "repeated")  # so that the join reads two plain shuffles, whose hot partitions Spark can split
     covered = windows.join(repeated, ["h1", "h2"]).filter("first < doc_id").groupBy("doc_id", "row").agg(F.collect_list("pos").alias("positions"))
     last = suspects.join(covered, ["doc_id", "row"], "left").select("doc_id", "text", "positions", "doc").mapInArrow(_last_pass(shape), schema("doc_id long"))
     done = marked.filter("hits is null").select("doc_id", "n_words", "n_removed", outcome, "doc")
