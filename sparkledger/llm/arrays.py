@@ -41,6 +41,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BREAK = np.zeros(256, dtype=bool)  # for letter runs: all of ASCII but letters
+_BREAK[:128] = [not chr(c).isalpha() for c in range(128)]
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -81,10 +83,12 @@ class Words:
     ``first[d]`` is the index of text d's first word, ``first[d + 1]`` ends it.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, letters: bool = False):
+        """``letters``: words are runs of letters and of bytes beyond ASCII instead."""
         self.data, offsets = utf8(texts)
+        self.offsets = offsets
         n = len(self.data)
-        filled = ~_SPACE[self.data]
+        filled = ~(_BREAK if letters else _SPACE)[self.data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         begins = filled.copy()
@@ -94,7 +98,8 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = self._hash(lower)
+        self.lower = lower
+        self.hash = self.hash_until(self.end)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -103,8 +108,8 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def _hash(self, lower: bool) -> np.ndarray:
-        """Polynomial hash of every word, a block of bytes at a time: a word may be of any length."""
+    def hash_until(self, end: np.ndarray) -> np.ndarray:
+        """Polynomial hash of every word's bytes before ``end``, a block of bytes at a time: a word may be of any length."""
         power, inverse = _block_powers()
         at_start, at_end = (np.empty(len(self.start), dtype=np.uint64) for _ in range(2))
         carry, scale, unscale = 0, 1, 1
@@ -112,12 +117,12 @@ class Words:
             block = self.data[low : low + _BLOCK]
             sums = np.empty(len(block) + 1, dtype=np.uint64)
             sums[0] = 0
-            np.cumsum(_BYTE[_LOWER[block] if lower else block] * power[: len(block)], out=sums[1:])
+            np.cumsum(_BYTE[_LOWER[block] if self.lower else block] * power[: len(block)], out=sums[1:])
             sums = sums * np.uint64(scale) + np.uint64(carry)
             a, b = np.searchsorted(self.start, [low, low + len(block)])
             at_start[a:b] = sums[self.start[a:b] - low]
-            c, d = np.searchsorted(self.end, [low, low + len(block)], side="right")
-            at_end[c:d] = sums[self.end[c:d] - low]
+            c, d = np.searchsorted(end, [low, low + len(block)], side="right")
+            at_end[c:d] = sums[end[c:d] - low]
             carry = int(sums[-1])
             scale = scale * pow(_BASE, _BLOCK, 1 << 64) & _U64
         back = np.array([pow(_BASE, -_BLOCK * k, 1 << 64) for k in range(len(self.data) // _BLOCK + 1)], dtype=np.uint64)

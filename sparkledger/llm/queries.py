@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, neardup, substrings, topk
+from . import decontaminate, language, mixing, neardup, substrings, topk, toxicity
 from .registry import query, table
 
 
@@ -83,6 +83,14 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(F.coalesce(checksum("doc_id") % 5 != 0, F.lit(False))))
+    held_out = F.coalesce(checksum("doc_id") % 5 == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op8_substring_repeats")
 def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
