@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, neardup, substrings, topk, toxicity
+from . import decontaminate, language, mixing, neardup, substrings, topk, toxicity, urls
 from .registry import query, table
 
 
@@ -91,6 +91,66 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+OP6_SQL = r"""
+WITH cut AS (
+  SELECT page_id, coalesce(url, '') AS u, instr(coalesce(url, ''), '://') AS p FROM pages
+), rests AS (
+  SELECT *, CASE WHEN p > 0 THEN substr(u, p + 3) ELSE '' END AS rest FROM cut
+), hosts AS (
+  SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM rests
+), behinds AS (
+  SELECT *, substr(rest, length(host) + 1) AS behind FROM hosts
+), parts AS (
+  SELECT *, regexp_extract(behind, '^[^?#]*') AS path, regexp_extract(behind, '^[^?#]*\?([^#]*)', 1) AS query, string_split(host, '.') AS labels FROM behinds
+), tokened AS (
+  SELECT row_number() OVER () AS r, page_id, host, path, list_sort(list_distinct(
+    (CASE WHEN p > 1 THEN ['scheme:' || translate(substr(u, 1, p - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')] ELSE [] END)
+    || (CASE WHEN labels[-1] <> '' THEN ['tld:' || labels[-1]] ELSE [] END)
+    || ['label:' || x FOR x IN labels[:-2] IF x <> '']
+    || (CASE WHEN regexp_extract(path, '^/([^/]+)', 1) <> '' THEN ['first:' || regexp_extract(path, '^/([^/]+)', 1)] ELSE [] END)
+    || (CASE WHEN regexp_extract(path, '\.([^./]+)$', 1) <> '' THEN ['end:' || regexp_extract(path, '\.([^./]+)$', 1)] ELSE [] END)
+    || ['param:' || regexp_extract(x, '^[^=]*') FOR x IN string_split(query, '&') IF regexp_extract(x, '^[^=]*') <> '']
+    || (CASE WHEN contains(behind, '#') THEN ['fragment'] ELSE [] END))) AS tokens
+  FROM parts
+), rules(verdict, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), given AS (
+  SELECT t.r, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(verdict, length(h || rules.p)) AS verdict
+  FROM tokened t JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY t.r
+), known AS (
+  SELECT doc_id, min(CASE quality WHEN 0 THEN 'block' WHEN 1 THEN 'allow' END) AS label FROM labels GROUP BY doc_id
+), labelled AS (
+  SELECT t.r, tokens, coalesce(g.verdict, k.label) AS label FROM tokened t LEFT JOIN given g USING (r) LEFT JOIN known k ON k.doc_id = t.page_id
+  WHERE coalesce(g.verdict, k.label) IS NOT NULL
+), subsets AS (
+  SELECT [tokens[i] FOR i IN generate_series(1, len(tokens)) IF (s >> (i - 1)::INT) & 1 = 1] AS x, label
+  FROM labelled, LATERAL (SELECT unnest(generate_series(1, (1 << len(tokens)::INT) - 1)) AS s)
+), counted AS (
+  SELECT x, count(*) AS n, count(*) FILTER (label = 'block') AS b FROM subsets GROUP BY x
+), mined AS (
+  SELECT x FROM counted WHERE b >= greatest(5, ceil(0.01::DOUBLE * (SELECT count(*) FROM labelled))) AND b::DOUBLE / n >= 0.8
+)
+SELECT t.page_id, t.host, t.path, g.rule,
+  coalesce(g.verdict, CASE WHEN EXISTS (SELECT 1 FROM mined m WHERE list_has_all(t.tokens, m.x)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM tokened t LEFT JOIN given g USING (r)
+"""
+
+
+@query("op6_url_filter", OP6_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pages without a rule: the quality label that carries the page's id."""
+    quality = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 0, F.lit("block")).when(F.col("quality") == 1, F.lit("allow")).alias("label"))
+    return urls.judge(table(spark, sf_dir, "pages"), quality, URL_RULES)
+
+
 @query("op8_substring_repeats")
 def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
