@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, neardup, substrings, topk, toxicity, urls
+from . import decontaminate, language, mixing, neardup, substrings, tokens, topk, toxicity, urls
 from .registry import query, table
 
 
@@ -91,6 +93,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+#: Place of the public vocabulary; another with SPARKLEDGER_VOCABULARY.
+VOCABULARY = os.environ.get("SPARKLEDGER_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
