@@ -13,9 +13,9 @@ A posting of many classes is never expanded into all its pairs. First every
 class meets one leader of each posting, and confirmed links join them to
 components. Two classes of one component need no further proof, so what is left
 are pairs of *different* components. For these, shingles that no other open
-class has are counted: they are in the union and not in the intersection of any
-pair, and pairs that they rule out are skipped, as are pairs already met under
-an earlier coordinate. So every linked pair ends in one component, whatever the
+class has are counted: no intersection holds them, so it is at most what either
+class has besides, and pairs that this rules out are skipped, as are pairs
+already met under an earlier coordinate. So every linked pair ends in one component, whatever the
 size of a group.
 
 Rows without an id, and texts without words, link with nothing. Rows of one id
@@ -187,7 +187,7 @@ def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
             before_a, before_b = (F.slice(f"sig_{side}", 1, F.col("place_a")) for side in "ab")
             possible = (
                 F.expr("doc_id_a > doc_id_b or (doc_id_a = doc_id_b and f1_a > f1_b)")
-                & ((F.col("own_a") + F.col("own_b")) * percent <= F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")) * (100 - percent))
+                & (F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
                 & ~F.arrays_overlap(before_a, before_b)
             )
         else:
