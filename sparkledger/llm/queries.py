@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, neardup, substrings, tokens, topk, toxicity, urls
+from . import decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls
 from .registry import query, table
 
 
@@ -162,6 +162,39 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), quality, URL_RULES)
 
 
+_NOTICE_ROWS = ", ".join(f"('{name}', '{notice}')" for name, notice in licenses.NOTICES)
+_WORDS = r"[x FOR x IN regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
+_RUNS = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)] END"
+
+#: Every window is compared with every notice: the twin finds what the bands may miss with a chance of 1e-4.
+OP7_SQL = rf"""
+WITH notices AS (
+  SELECT license, list_distinct({_RUNS}) AS s FROM (SELECT license, {_WORDS.format("notice")} AS w FROM (VALUES {_NOTICE_ROWS}) v(license, notice))
+), parts AS (
+  SELECT license, len(s) AS size, unnest(s) AS shingle FROM notices
+), runs AS (
+  SELECT doc_id, text, {_RUNS} AS s FROM (SELECT DISTINCT doc_id, text, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL)
+), places AS (
+  SELECT doc_id, text, unnest(s) AS shingle, unnest(generate_series(0, len(s) - 1)) AS pos FROM runs
+), hits AS (
+  SELECT doc_id, text, license, size, pos, p.shingle, pos // size AS grp FROM places JOIN parts p USING (shingle)
+), windows AS (
+  SELECT doc_id, text, license, size, count(DISTINCT shingle) AS n, min(pos) AS first_word
+  FROM (SELECT *, grp AS win FROM hits UNION ALL SELECT *, grp - 1 FROM hits) GROUP BY doc_id, text, license, size, win
+), ranked AS (
+  SELECT doc_id, license, n / size::DOUBLE AS containment, first_word::INT AS first_word,
+    row_number() OVER (PARTITION BY doc_id, license ORDER BY n DESC, first_word) AS k
+  FROM windows WHERE n / size::DOUBLE >= 0.8
+)
+SELECT doc_id, license, containment, first_word FROM ranked WHERE k = 1
+"""
+
+
+@query("op7_license_scan", OP7_SQL)
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_substring_repeats")
 def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
