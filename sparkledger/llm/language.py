@@ -243,9 +243,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
             more = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_spans"])
 
-    schema = T.StructType(out)
-    for name, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_spans", "array<struct<start:int,end:int,lang:string>>")):
-        schema = schema.add(name, kind)
+    more = T.StructType.fromDDL("lang_pred string, lang_score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+    schema = T.StructType([*out, *more.fields])
     return kept.mapInArrow(run, schema)
 
 

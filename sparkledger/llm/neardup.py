@@ -208,7 +208,7 @@ def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         if last:
             comp = components(edges)
     found = members.join(comp, members.rep == comp.node, "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
