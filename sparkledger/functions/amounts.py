@@ -52,36 +52,46 @@ def strict_eu_number(c: Column) -> Column:
     return plain_number(F.translate(strip_text(c), ",.", "."))
 
 
-# Amount parsers by the mapping's decimal separator. A caller may add its own.
+# Amount parsers by the mapping's decimal separator.
 LENIENT_PARSERS: dict[str, AmountParser] = {".": us_number, ",": eu_number}
 STRICT_PARSERS: dict[str, AmountParser] = {".": strict_us_number, ",": strict_eu_number}
+DEFAULT_SEPARATOR = ","
 
 
-def register_amount_parser(symbol: str, parser: AmountParser) -> None:
-    """Add a parser for mappings whose decimal separator is ``symbol``."""
-    LENIENT_PARSERS[symbol] = parser
+def with_amount_parser(symbol: str, parser: AmountParser, mode: str = "lenient") -> dict[str, AmountParser]:
+    """The mode's parsers and one more, for mappings whose decimal separator is ``symbol``."""
+    return {**(LENIENT_PARSERS if mode == "lenient" else STRICT_PARSERS), symbol: parser}
 
 
 def try_amount(
-    value: Column, decimal_separator: Column, is_numeric: Column | None = None, mode: str = "lenient"
+    value: Column,
+    decimal_separator: Column,
+    is_numeric: Column | None = None,
+    mode: str = "lenient",
+    parsers: dict[str, AmountParser] | None = None,
 ) -> Column:
     """Amount or null. ``is_numeric`` marks columns that hold plain numbers only:
-    those were read as numbers and skip the locale rules."""
-    parsers = LENIENT_PARSERS if mode == "lenient" else STRICT_PARSERS
-    *others, last = parsers.items()
-    by_locale = last[1](value)
-    for symbol, parser in reversed(others):
-        by_locale = F.when(decimal_separator == symbol, parser(value)).otherwise(by_locale)
+    those were read as numbers and skip the locale rules. An unknown separator
+    counts as the comma; ``parsers`` replaces those of the mode."""
+    parsers = parsers or (LENIENT_PARSERS if mode == "lenient" else STRICT_PARSERS)
+    by_locale = parsers[DEFAULT_SEPARATOR](value)
+    for symbol, parser in parsers.items():
+        if symbol != DEFAULT_SEPARATOR:
+            by_locale = F.when(decimal_separator == symbol, parser(value)).otherwise(by_locale)
     if is_numeric is None:
         return by_locale
     return F.when(is_numeric, plain_number(value)).otherwise(by_locale)
 
 
 def amount(
-    value: Column, decimal_separator: Column, is_numeric: Column | None = None, mode: str = "lenient"
+    value: Column,
+    decimal_separator: Column,
+    is_numeric: Column | None = None,
+    mode: str = "lenient",
+    parsers: dict[str, AmountParser] | None = None,
 ) -> Column:
     """Amount with 0 for missing and unreadable values."""
-    return F.coalesce(try_amount(value, decimal_separator, is_numeric, mode), F.lit(0.0))
+    return F.coalesce(try_amount(value, decimal_separator, is_numeric, mode, parsers), F.lit(0.0))
 
 
 def direction_amount(amount_: Column, direction: Column, outgoing: Column, mode: str = "lenient") -> Column:

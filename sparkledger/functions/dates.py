@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # (pattern, shapes a text may have to be parsed with it; 9 stands for a digit).
 # Comparing shapes is cheap and keeps failing parses, which are not, off the
 # hot path. In order of preference; of each day-first / month-first pair the
@@ -12,9 +14,6 @@ from pyspark.sql import functions as F
 ISO_FORMATS = [
     ("yyyy-MM-dd", ["9999-99-99"]),
     ("yyyyMMdd", ["99999999"]),
-    ("yyyy-MM-dd HH:mm:ss", ["9999-99-99 99:99:99"]),
-    ("yyyy-MM-dd'T'HH:mm:ss", ["9999-99-99T99:99:99"]),
-    ("yyyy-MM-dd HH:mm", ["9999-99-99 99:99"]),
     ("yyyy/M/d", ["9999/99/99", "9999/9/99", "9999/99/9", "9999/9/9"]),
 ]
 PAIRED_FORMATS = [
@@ -35,19 +34,44 @@ def date_text(c: Column) -> Column:
     return F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
 
 
-LONGEST_DATE = 19
+# A clock time behind any date: 1 the date, 2 hours, 3 minutes, 4 seconds with
+# their fraction, 5 AM or PM, 6 the zone.
+WITH_CLOCK = r"^(.+?)(?:[T ]|, )\s*([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:[.,][0-9]+)?))?\s?([AaPp][Mm])?\s?(Z|UTC|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
+
+
+def day_part(text: Column) -> Column:
+    """The text without a clock time."""
+    timed = F.contains(text, F.lit(":"))
+    return F.when(timed & text.rlike(WITH_CLOCK), F.regexp_extract(text, WITH_CLOCK, 1)).otherwise(text)
+
+
+def _clock(text: Column) -> Column:
+    """Time of day behind the date as an interval in UTC; none counts as midnight,
+    an impossible one gives null."""
+    piece = lambda i: F.regexp_extract(text, WITH_CLOCK, i)
+    hour, minute = piece(2).try_cast("int"), piece(3).try_cast("int")
+    second = F.coalesce(F.replace(piece(4), F.lit(","), F.lit(".")).try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+    half = F.lower(piece(5))
+    hour24 = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    zone = piece(6)
+    sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    ahead = lambda start: F.coalesce(F.substring(digits, start, 2).try_cast("int"), F.lit(0)) * sign
+    fine = (hour < 24) & (minute < 60) & (second < 60) & ((half == "") | hour.between(1, 12))
+    interval = F.make_dt_interval(F.lit(0), hour24 - ahead(1), minute - ahead(3), second)
+    none = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0).cast("decimal(18,6)"))
+    timed = F.contains(text, F.lit(":")) & text.rlike(WITH_CLOCK)
+    return F.when(~timed, none).when(fine, interval)
 
 
 def date_shape(text: Column) -> Column:
-    """The text with 9 for digits and AAA for a month's short name; null for
-    texts longer than any date."""
-    digits = F.translate(text, "0123456789", "9999999999")
-    shape = F.regexp_replace(digits, "(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", "AAA")
-    return F.when(F.length(text) <= LONGEST_DATE, shape)
+    """The date, without clock time, with 9 for digits and AAA for a month's short name."""
+    digits = F.translate(day_part(text), "0123456789", "9999999999")
+    return F.regexp_replace(digits, "(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", "AAA")
 
 
 def _parsed(text: Column, shape: Column, fmt: str, shapes: list[str]) -> Column:
-    return F.when(shape.isin(shapes), F.try_to_timestamp(text, F.lit(fmt)))
+    return F.when(shape.isin(shapes), F.try_to_timestamp(day_part(text), F.lit(fmt)))
 
 
 def format_counts(text: Column, shape: Column) -> list[Column]:
@@ -78,8 +102,9 @@ def best_format(day_first: Column) -> Column:
 
 
 def parse_date(text: Column, shape: Column, format_index: Column) -> Column:
-    """Timestamp by the statement's chosen format; unreadable gives null."""
+    """Timestamp (UTC) by the statement's chosen date format and the text's own
+    clock time; unreadable gives null."""
     parsed = F.lit(None).cast("timestamp")
     for i, (fmt, shapes) in reversed(list(enumerate(DATE_FORMATS))):
         parsed = F.when(format_index == i, _parsed(text, shape, fmt, shapes)).otherwise(parsed)
-    return parsed
+    return let(parsed, lambda day: F.when(day.isNotNull(), day + _clock(text)))

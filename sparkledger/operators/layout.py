@@ -7,7 +7,7 @@ one huge statement is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DENSITY_THRESHOLD, MIN_DATA_LENGTH, SEPARATORS, WINDOW_LINES
@@ -76,7 +76,8 @@ def detect_header(lines: DataFrame, structured_only: bool = True) -> DataFrame:
     """(statement_id, n_lines, header_row, header_line, header_adjusted).
 
     One pass with partial aggregation. The window holds at most 20 lines per
-    statement. A blank header line is replaced by the last filled line above it.
+    statement. A blank header line is replaced by the last filled line above it;
+    if the whole window is blank, the first filled line is the header.
     """
     scored = score_window(lines)
     numbered = F.when(F.col("line_no") < WINDOW_LINES, F.struct("line_no", "line"))
@@ -88,10 +89,11 @@ def detect_header(lines: DataFrame, structured_only: bool = True) -> DataFrame:
             F.lit(0),
         ).alias("found"),
         F.array_sort(F.collect_list(numbered)).alias("window"),
+        F.min(F.when(F.col("line").rlike(NOT_BLANK), F.struct("line_no", "line"))).alias("first_filled"),
     )
     filled = F.filter("window", lambda w: strip_text(w["line"]) != "")
     above = F.filter(filled, lambda w: w["line_no"] <= F.col("found"))
-    header = F.coalesce(F.try_element_at(above, F.lit(-1)), F.try_element_at(filled, F.lit(1)))
+    header = F.coalesce(F.try_element_at(above, F.lit(-1)), F.try_element_at(filled, F.lit(1)), F.col("first_filled"))
     return (
         per_statement.withColumn("header", header)
         .filter(F.col("header").isNotNull())
@@ -180,12 +182,87 @@ def join_statement(lines: DataFrame, per_statement: DataFrame) -> DataFrame:
     ).drop("_chunk")
 
 
+def _last_fixed(fixed: Column, order: str, state: Column, flips: Column) -> Column:
+    return F.max(F.when(fixed, F.struct(F.col(order), state.alias("state"), flips.alias("flips"))))
+
+
+def _state_before(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``known`` and ``state``: whether the text is inside a quoted cell before
+    each row (a line or a range of lines), or if only known from the row before the
+    first, whether that changes.
+
+    A row has ``fixed`` (it ends inside, ``ends``, whatever was before) or ``flip``
+    (it turns the state round); a row with neither leaves the state.
+    """
+    here = Window.partitionBy(*keys).orderBy(order)
+    so_far, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    turned = df.withColumn("_flips", F.sum(F.col("flip").cast("int")).over(so_far))
+    found = turned.withColumn("_last", _last_fixed(F.col("fixed"), order, F.col("ends"), F.col("_flips")).over(before))
+    flips = F.col("_flips") - F.col("flip").cast("int") - F.coalesce(F.col("_last.flips"), F.lit(0))
+    state = F.coalesce(F.col("_last.state"), F.lit(False)) != (flips % 2 == 1)
+    return found.withColumn("known", F.col("_last").isNotNull()).withColumn("state", state).drop("_last", "_flips")
+
+
+def join_quoted_lines(lines: DataFrame, layout: DataFrame, width: int = 1 << 18) -> DataFrame:
+    """Put together the lines that a quoted cell with line breaks was cut into.
+
+    Only lines after the header count, and only a quote at the start of a cell
+    opens one; a quote inside a cell, or in the preamble, is text. A record
+    keeps the number of its first line and has as many lines as its cells need;
+    a cell that never closes takes the rest of its statement.
+
+    Each line's effect is known for both states before it (inside a cell or
+    not), so the state is carried inside ranges of ``width`` lines and over one
+    row for each range, and a long statement is not one task's work. Statements
+    in which no cell stays open pass unchanged.
+    """
+    facts = layout.select("statement_id", "n_lines", "header_row", "delimiter")
+    line, sep = F.col("line"), F.col("delimiter")
+    after = F.col("line_no") > F.col("header_row")
+    quoted = join_statement(lines.filter(F.contains(line, F.lit('"'))), facts)
+    broken = quoted.filter(after & has_open_quote(line, sep)).select("statement_id").distinct()
+
+    begun = after & has_open_quote(line, sep)
+    kept = after & (~F.contains(line, F.lit('"')) | has_open_quote(F.concat(F.lit('"'), line), sep))
+    effects = join_statement(lines.join(broken, "statement_id", "left_semi"), facts).select(
+        "statement_id", "line_no", "line", begun.alias("begun"), kept.alias("kept"), F.floor(F.col("line_no") / width).alias("part")
+    )
+    effects = effects.select(
+        "statement_id", "line_no", "line", "part",
+        (F.col("begun") == F.col("kept")).alias("fixed"), F.col("begun").alias("ends"), (F.col("begun") & ~F.col("kept")).alias("flip"),
+    )
+    local = _state_before(effects, ["statement_id", "part"], "line_no")
+    last = Window.partitionBy("statement_id", "part").orderBy(F.desc("line_no"))
+    leaves = F.when(F.col("fixed"), F.col("ends")).otherwise(F.col("state") != F.col("flip"))
+    settled = F.col("known") | F.col("fixed")
+    ranges = local.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(
+        "statement_id", "part", settled.alias("fixed"), leaves.alias("ends"), (~settled & leaves).alias("flip")
+    )
+    starts = _state_before(ranges, ["statement_id"], "part").select("statement_id", "part", F.col("state").alias("open"))
+    inside = F.when(F.col("known"), F.col("state")).otherwise(F.col("state") != F.col("open"))
+    placed = local.join(starts, ["statement_id", "part"]).select(
+        "statement_id", "part", "line_no", "line", F.when(~inside, F.col("line_no")).alias("begin")
+    )
+    so_far = Window.partitionBy("statement_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("statement_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("statement_id", "part").agg(F.max("begin").alias("_begin"))
+    carried = carried.select("statement_id", "part", F.max("_begin").over(earlier).alias("carried"))
+    records = placed.withColumn("_here", F.max("begin").over(so_far)).join(carried, ["statement_id", "part"])
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    joined = (
+        records.groupBy("statement_id", F.coalesce("_here", "carried").alias("line_no"))
+        .agg(parts.alias("parts"))
+        .select("statement_id", "line_no", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"))
+    )
+    return lines.join(broken, "statement_id", "left_anti").select("statement_id", "line_no", "line").unionByName(joined)
+
+
 def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
     """Data rows with ``fields`` aligned to ``columns`` and the flag ``bad``.
 
     Blank lines are skipped, short rows padded with null, missing-value
     spellings read as null. Bad rows have more cells than the header or end
-    inside a quoted cell (see ``join_quoted_lines``); ``line`` keeps their text.
+    inside a quoted cell that never closes (see ``join_quoted_lines``); ``line`` keeps their text.
     """
     cells = split_fields(F.col("line"), F.col("delimiter"))
     return (

@@ -96,9 +96,11 @@ def generate_splits(df: DataFrame) -> DataFrame:
 
 
 def balances(splits: DataFrame) -> DataFrame:
-    """Sum per transaction and currency; standard pairs sum to 0."""
+    """Sum per transaction and currency; standard pairs sum to 0. A sum with an
+    amount that is missing or no number is null."""
+    value = F.col("amount").cast("decimal(18,2)")
     return splits.groupBy("transaction_id", "currency").agg(
-        F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(38,2)").alias("balance"),
+        F.when(F.count(value) == F.count(F.lit(1)), F.sum(value).cast("decimal(38,2)")).alias("balance"),
         F.count(F.lit(1)).alias("n_splits"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,9 +67,10 @@ def mark_quarantine(df: DataFrame, scope: str = "row") -> DataFrame:
     failing = F.size("errors") > 0
     if scope == "row":
         return checked.withColumn("quarantined", failing)
-    bad = checked.filter(failing & F.col("transaction_id").isNotNull()).select("transaction_id").distinct()
-    marked = checked.join(bad.withColumn("_bad", F.lit(True)), "transaction_id", "left")
-    return marked.withColumn("quarantined", F.coalesce("_bad", F.lit(False)) | failing).drop("_bad")
+    # Rows without an id stand alone; the hash keeps them from meeting in one task.
+    alone = F.when(F.col("transaction_id").isNull(), F.xxhash64(*df.columns))
+    together = F.max(failing).over(Window.partitionBy("transaction_id", alone))
+    return checked.withColumn("quarantined", failing | (F.col("transaction_id").isNotNull() & together))
 
 
 def split_quarantine(df: DataFrame, scope: str = "row") -> tuple[DataFrame, DataFrame]:

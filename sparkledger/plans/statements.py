@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators.entities import categorize
-from ..operators.layout import bad_rows, detect_layout, parse_rows, table_rows
+from ..operators.layout import bad_rows, detect_layout, join_quoted_lines, parse_rows, table_rows
 from ..operators.ledger import category_as_account, generate_splits
 from ..operators.mapping import resolve_mapping
 from ..operators.normalize import decide_formats, locate_columns, normalize
 from ..operators.quality import split_quarantine
 from ..operators.review import completed_rows, route
 from ..session import stage_table
-from ..sources.statements import join_quoted_lines
+
+
+def statement_records(lines: DataFrame, structured_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(layouts, records): one row per statement, and its lines with quoted line
+    breaks joined. The layouts are needed several times and staged."""
+    layouts = stage_table(detect_layout(lines, structured_only), "layouts")
+    return layouts, join_quoted_lines(lines, layouts)
+
+
+def _decide(layouts: DataFrame, records: DataFrame, cached: DataFrame | None, proposed: DataFrame | None) -> DataFrame:
+    located = stage_table(locate_columns(resolve_mapping(layouts, cached, proposed)), "mappings")
+    return stage_table(decide_formats(located, table_rows(parse_rows(records, located))), "decisions")
 
 
 def decide_statements(
     lines: DataFrame, cached: DataFrame | None = None, proposed: DataFrame | None = None, structured_only: bool = True
 ) -> DataFrame:
     """One row per statement: header, delimiter, columns, mapping, numeric columns, date format."""
-    layouts = locate_columns(resolve_mapping(detect_layout(lines, structured_only), cached, proposed))
-    return decide_formats(layouts, table_rows(parse_rows(lines, layouts)))
+    return _decide(*statement_records(lines, structured_only), cached, proposed)
 
 
 def normalize_statements(
@@ -31,23 +41,22 @@ def normalize_statements(
     proposed: DataFrame | None = None,
     structured_only: bool = True,
     mode: str = "lenient",
-    multiline: bool = False,
 ) -> DataFrame:
     """Transactions of all statements in ``lines(statement_id, line_no, line)``.
 
-    ``multiline`` first joins lines broken inside quoted cells; without it such
-    lines count as bad rows.
-
-    The lines are read three times: for the header window, for the whole-column
-    facts, for the rows. Between the passes only one row per statement moves.
+    Cells with line breaks are joined first. The lines are read for the header
+    window, for open quotes, for the whole-column facts and for the rows; what is
+    decided between, one row per statement, is staged.
     """
-    lines = join_quoted_lines(lines) if multiline else lines
-    decisions = decide_statements(lines, cached, proposed, structured_only)
-    return normalize(table_rows(parse_rows(lines, decisions)), mode)
+    layouts, records = statement_records(lines, structured_only)
+    decisions = _decide(layouts, records, cached, proposed)
+    return normalize(table_rows(parse_rows(records, decisions)), mode)
 
 
 def unreadable_rows(lines: DataFrame, structured_only: bool = True) -> DataFrame:
-    return bad_rows(parse_rows(lines, detect_layout(lines, structured_only)))
+    """(statement_id, line_no, line) of the records that cannot be read."""
+    layouts, records = statement_records(lines, structured_only)
+    return bad_rows(parse_rows(records, layouts))
 
 
 def route_statements(transactions: DataFrame, resolved: DataFrame) -> DataFrame:

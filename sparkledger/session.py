@@ -31,20 +31,13 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input of fewer splits than there are cores.
-
-    Only small inputs have so few splits; a large one is left as it is read.
-    The number of splits is known without running a job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named."""
+    """The cluster's shared folder. In local mode one is made where none is named;
+    on a cluster that is an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sparkledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -58,50 +58,6 @@ def number_file_lines(pieces: DataFrame) -> DataFrame:
     )
 
 
-def join_quoted_lines(lines: DataFrame, width: int = 1 << 18, max_lines: int = 1000) -> DataFrame:
-    """Put together lines that a quoted cell with line breaks was cut into.
-
-    A line with an odd number of quotes opens or closes such a cell. How many
-    came before a line is summed per range of ``width`` lines and then inside
-    the range, so a long statement is not one task's work. A record of more
-    than ``max_lines`` lines is a stray quote: its lines stay as they are.
-    """
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    ranged = lines.select(
-        "statement_id", "line_no", "line", (quotes % 2).alias("odd"), F.floor(F.col("line_no") / width).alias("part")
-    )
-    earlier = Window.partitionBy("statement_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = ranged.groupBy("statement_id", "part").agg(F.sum("odd").alias("n")).select(
-        "statement_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")
-    )
-    above = Window.partitionBy("statement_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranged.withColumn("inside", F.coalesce(F.sum("odd").over(above), F.lit(0))).join(
-        shifts, ["statement_id", "part"]
-    )
-    before = F.col("shift") + F.col("inside")
-    # An opening line has an even count before it, the rest of its record that
-    # count plus one: half of it, rounded down, is the record's number.
-    marked = counted.select(
-        "statement_id", "line_no", "line",
-        F.when((before % 2 == 1) | (F.col("odd") == 1), F.floor(before / 2)).alias("record"),
-    )
-    sizes = marked.filter("record is not null").groupBy("statement_id", "record").agg(F.count(F.lit(1)).alias("n"))
-    sized = marked.join(sizes, ["statement_id", "record"], "left")
-    joinable = F.coalesce(F.col("n") <= max_lines, F.lit(False))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    joined = (
-        sized.filter(joinable)
-        .groupBy("statement_id", "record")
-        .agg(parts.alias("parts"))
-        .select(
-            "statement_id",
-            F.col("parts")[0]["line_no"].alias("line_no"),
-            F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"),
-        )
-    )
-    return sized.filter(~joinable).select("statement_id", "line_no", "line").unionByName(joined)
-
-
 def lines_from_content(df: DataFrame, statement_id: str, content: str) -> DataFrame:
     """lines(...) of statements held as one text each; empty text has no lines."""
     text = F.regexp_replace(F.col(content), "(?:" + LINE_BREAK + r")\z", "")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import MINUS_SIGNS
 from ..functions.amounts import (
-    LENIENT_PARSERS,
     amount,
     credit_debit_amount,
     direction_amount,
     eu_number,
-    register_amount_parser,
     try_amount,
     us_number,
+    with_amount_parser,
 )
 from ..functions.dates import best_format, date_shape, date_text, format_counts, parse_date
 from ..functions.identity import json_names, random_id, row_json, transaction_id
@@ -36,15 +36,19 @@ def _order_texts(spark, d):
     return o.withColumns({"us": us, "eu": eu, "sign": sign})
 
 
-@query("nrm1_us_amount", f"SELECT o_orderkey, {_SIGNED} AS amount FROM orders UNION ALL SELECT -1 - doc_id, 0.0 FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+# What is left of a text when all but digits, signs and marks goes, read as a number.
+_BARE_SQL = f"replace(regexp_replace(translate(text, '{MINUS_SIGNS}', '{'-' * len(MINUS_SIGNS)}'), '[^\\p{{Nd}}.,\\-]', '', 'g'), ',', '')"
+
+
+@query("nrm1_us_amount", f"""SELECT o_orderkey, {_SIGNED} AS amount FROM orders UNION ALL SELECT -1 - doc_id,
+ coalesce(CASE WHEN regexp_full_match(bare, '[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN try_cast(bare AS double) END, 0.0)
+ FROM (SELECT doc_id, {_BARE_SQL} AS bare FROM documents)""")
 def nrm1(spark, d):
-    """'$-1,234.56' and the like; texts without a digit count as 0."""
+    """'$-1,234.56' and the like; whole documents too, most of which are no number and count as 0."""
     texts = _order_texts(spark, d).select(
         "o_orderkey", F.concat(F.lit("USD "), F.col("sign"), F.col("us"), F.lit(" $")).alias("v")
     )
-    words = table(spark, d, "documents").filter(~F.col("text").rlike("[0-9]")).select(
-        (-1 - F.col("doc_id")).alias("o_orderkey"), F.col("text").alias("v")
-    )
+    words = table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("o_orderkey"), F.col("text").alias("v"))
     return texts.unionByName(words).select("o_orderkey", F.coalesce(us_number(F.col("v")), F.lit(0.0)).alias("amount"))
 
 
@@ -201,7 +205,6 @@ def nrm12_statement(spark, d):
 @query("udf1_amount_parser", "SELECT o_orderkey, o_totalprice AS amount FROM orders")
 def udf1(spark, d):
     """A caller's own parser: apostrophes as thousands marks (1'234.56)."""
-    if "'" not in LENIENT_PARSERS:
-        register_amount_parser("'", lambda c: us_number(F.replace(c, F.lit("'"), F.lit(""))))
+    parsers = with_amount_parser("'", lambda c: us_number(F.replace(c, F.lit("'"), F.lit(""))))
     swiss = F.concat(F.lit("CHF "), F.replace(F.col("us"), F.lit(","), F.lit("'")))
-    return _order_texts(spark, d).select("o_orderkey", amount(swiss, F.lit("'")).alias("amount"))
+    return _order_texts(spark, d).select("o_orderkey", amount(swiss, F.lit("'"), parsers=parsers).alias("amount"))

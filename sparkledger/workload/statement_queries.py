@@ -22,6 +22,7 @@ from ..operators.layout import (
     header_by_density,
     header_by_keywords,
     numeric_columns,
+    join_quoted_lines,
     parse_rows,
     split_fields,
     table_rows,
@@ -39,7 +40,7 @@ from ..operators.normalize import constant_columns
 from ..plans.statements import normalize_statements
 from ..session import shared_dir
 from ..sources.sinks import nan_to_null, write_ledger_csv, write_quarantine, write_records
-from ..sources.statements import join_quoted_lines, lines_from_content, read_statements
+from ..sources.statements import lines_from_content, read_statements
 from ..sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings
 from . import views as V
 from .registry import query, table
@@ -142,7 +143,9 @@ def src4_breaks(spark, d):
     lines = lines_from_content(
         docs.select(F.col("doc_id").cast("string").alias("statement_id"), content.alias("content")), "statement_id", "content"
     )
-    joined = join_quoted_lines(lines).filter("line_no > 0")
+    layout = lines.groupBy("statement_id").agg((F.max("line_no") + 1).alias("n_lines"))
+    layout = layout.select("*", F.lit(0).cast("bigint").alias("header_row"), F.lit(",").alias("delimiter"))
+    joined = join_quoted_lines(lines, layout).filter("line_no > 0")
     cell = F.get(split_fields(F.col("line"), F.lit(",")), F.lit(0))
     return joined.select("statement_id", "line_no", cell.alias("cell"))
 

@@ -158,17 +158,21 @@ def jon8_categorize(spark, d):
     return categorize(turns, alias_table(entities), rules=rules).select("conv_id", "turn", "entity", "category")
 
 
+# Edit distance in SQL counts bytes, so both sides compare words without accents.
+ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçß", "aaaaaeeeeiiiiooooouuuuncs"
+
+
 def _similar(spark, d):
-    words = lambda t: table(spark, d, t).select(F.explode(match_words(F.col("text"))).alias("w")).filter(
-        F.col("w").rlike("^[a-z]{8,}$")
-    ).distinct()
+    words = lambda t: table(spark, d, t).select(F.explode(match_words(F.col("text"))).alias("w")).select(
+        F.translate("w", ACCENTED, PLAIN).alias("w")
+    ).filter("w <> ''").distinct()
     return find_similar(words("conversations"), words("benchmark"), "w", "w")
 
 
 SIMILAR_SQL = f"""
-words AS (SELECT DISTINCT 'c' AS side, unnest(string_split({V.match_key_sql('text')}, ' ')) AS w FROM conversations
-  UNION SELECT DISTINCT 'b', unnest(string_split({V.match_key_sql('text')}, ' ')) FROM benchmark),
-sides AS (SELECT * FROM words WHERE regexp_full_match(w, '[a-z]{{8,}}')),
+words AS (SELECT 'c' AS side, unnest(string_split({V.match_key_sql('text')}, ' ')) AS w FROM conversations
+  UNION ALL SELECT 'b', unnest(string_split({V.match_key_sql('text')}, ' ')) FROM benchmark),
+sides AS (SELECT DISTINCT side, translate(w, '{ACCENTED}', '{PLAIN}') AS w FROM words WHERE w <> ''),
 alike AS (SELECT a.w AS candidate, b.w AS name, 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w)) AS score
   FROM sides a JOIN sides b ON a.side = 'c' AND b.side = 'b' AND abs(length(a.w) - length(b.w)) <= 0.2 * greatest(length(a.w), length(b.w)) + 1e-9
   WHERE levenshtein(a.w, b.w) <= 0.2 * greatest(length(a.w), length(b.w)) + 1e-9)"""
@@ -176,7 +180,7 @@ alike AS (SELECT a.w AS candidate, b.w AS name, 1 - levenshtein(a.w, b.w) / grea
 
 @query("jon9_fuzzy_suggestions", f"WITH {SIMILAR_SQL} SELECT * FROM alike")
 def jon9(spark, d):
-    """Longer words of all conversations against those of all benchmark items."""
+    """All words of the conversations against all words of the benchmark items."""
     return _similar(spark, d)
 
 

@@ -17,7 +17,7 @@ from .registry import table
 ROWS_PER_FILE = 16
 PREAMBLES = [
     ["Bank Export", "Customer report", "Date,Amount,Description"],
-    ["Bank of Examples", "Generated: 2023-10-27", "Account: 123-456-789", "", "Transactiedatum;Omschrijving;Transactiebedrag"],
+    ["Spaarbank Voorbeeld", "Overzicht: 2019-05-06", "Klantnr: 770-310-429", "", "Transactiedatum;Omschrijving;Transactiebedrag"],
     ["Kontoauszug", "Datum;Betrag;Type;Verwendungszweck"],
     ["Date\tDescription\tCredit\tDebit", ""],
 ]

@@ -64,26 +64,63 @@ def test_one_date_format_per_statement(spark):
     assert [r["amount_ok"] for r in rows if r["statement_id"] == "de"] == [True, False]
 
 
-def test_demo_statement(spark):
+def test_whole_statement(spark):
     text = """
-        Bank of Somewhere - Account Statement
-        Generated: 2023-10-27
-        Account: 123-456-789
+        Sparkasse Probe: Umsatzliste
+        Abgerufen: 2019-05-06
+        Vertrag: 770-310-429
 
-        Disclaimer: This is not legal advice.
+        Hinweis: ohne Gewaehr.
 
-        Transaction Date;Valuta Date;Booking Text;Betrag EUR;Balance
-        01.10.2023;01.10.2023;Supermarket Purchase;-50,20;1.000,00
-        02.10.2023;02.10.2023;Monthly Salary;3.500,00;4.500,00
-        05.10.2023;05.10.2023;Coffee Shop;-4,50;4.495,50
+        Buchungstag;Valuta Date;Booking Text;Betrag EUR;Balance
+        11.04.2019;11.04.2019;Fahrrad Ost;-17,35;512,10
+        12.04.2019;12.04.2019;Zinsen April;1.088,00;1.600,10
+        15.04.2019;15.04.2019;Kiosk;-3,20;1.596,90
         """
     rows = by_line(normalize_statements(lines_of(spark, a=text)))
-    assert [r["amount"] for r in rows] == [-50.2, 3500.0, -4.5]
-    assert [r["date"].day for r in rows] == [1, 2, 5]
-    assert [r["description"] for r in rows] == ["Supermarket Purchase", "Monthly Salary", "Coffee Shop"]
+    assert [r["amount"] for r in rows] == [-17.35, 1088.0, -3.2]
+    assert [r["date"].day for r in rows] == [11, 12, 15]
+    assert [r["description"] for r in rows] == ["Fahrrad Ost", "Zinsen April", "Kiosk"]
 
 
 def test_equal_rows_are_counted_up(spark):
     lines = lines_of(spark, a="Date,Amount,Text\n" + "2023-01-01,1,x\n" * 3)
     out = number_occurrences(normalize_statements(lines)).orderBy("line_no").collect()
     assert [r["occurrence"] for r in out] == [1, 2, 3] and len({r["transaction_id"] for r in out}) == 1
+
+
+def test_dates_with_clock_times(spark):
+    from sparkledger.functions.dates import DATE_FORMATS, date_shape, date_text, parse_date
+
+    places = {fmt: i for i, (fmt, _) in enumerate(DATE_FORMATS)}
+    cases = [
+        ("2019-04-11T12:00:00Z", "yyyy-MM-dd", "2019-04-11 12:00:00"),
+        ("2019-04-11 12:00:00.250", "yyyy-MM-dd", "2019-04-11 12:00:00.25"),
+        ("2019-04-11 12:00", "yyyy-MM-dd", "2019-04-11 12:00:00"),
+        ("2019-04-11T12:00:00.123456+02:00", "yyyy-MM-dd", "2019-04-11 10:00:00.123456"),
+        ("2019-04-11 23:30:00 -0130", "yyyy-MM-dd", "2019-04-12 01:00:00"),
+        ("20190411 07:05", "yyyyMMdd", "2019-04-11 07:05:00"),
+        ("13/4/2019 14:03", "d/M/yyyy", "2019-04-13 14:03:00"),
+        ("4/13/2019 2:03 PM", "M/d/yyyy", "2019-04-13 14:03:00"),
+        ("13.04.19, 09:30:15", "d.M.yy", "2019-04-13 09:30:15"),
+        ("11 Apr 2019 12:15 am", "d MMM yyyy", "2019-04-11 00:15:00"),
+        ("Apr 11, 2019 08:00", "MMM d, yyyy", "2019-04-11 08:00:00"),
+        ("2019-04-11", "yyyy-MM-dd", "2019-04-11 00:00:00"),
+        ("2019-04-11 25:00", "yyyy-MM-dd", None),
+        ("2019-04-11 soon", "yyyy-MM-dd", None),
+        ("word " * 4000, "yyyy-MM-dd", None),
+        (None, "yyyy-MM-dd", None),
+    ]
+    df = spark.createDataFrame([(i, t, places[f]) for i, (t, f, _) in enumerate(cases)], "i int, t string, f int")
+    text = date_text(F.col("t"))
+    got = df.select("i", parse_date(text, date_shape(text), F.col("f")).cast("string").alias("d")).orderBy("i").collect()
+    assert [r["d"] for r in got] == [want for _, _, want in cases]
+
+
+def test_own_amount_parser_leaves_the_others_alone(spark):
+    from sparkledger.functions.amounts import amount, us_number, with_amount_parser
+
+    parsers = with_amount_parser("'", lambda c: us_number(F.replace(c, F.lit("'"), F.lit(""))))
+    df = spark.createDataFrame([("1'234.56", "'"), ("1.234,56", None), ("1.234,56", ",")], "v string, s string")
+    assert [r[0] for r in df.select(amount(F.col("v"), F.col("s"), parsers=parsers)).collect()] == [1234.56] * 3
+    assert df.filter("s is null").select(amount(F.col("v"), F.col("s"))).first()[0] == 1234.56
