@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkledger.llm import decontaminate, language, mixing, neardup, substrings
-from sparkledger.session import ship_package, stage_table
+from sparkledger.llm.registry import prepare
+from sparkledger.session import stage_table
 
 SIMILARITY_PERCENT = 80
 
@@ -26,25 +27,25 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from all rows with a language; texts go in which none holds a third of the letters."""
-    ship_package(spark)
+    prepare(spark)
     return language.keep_identified(docs, language.learn(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    ship_package(spark)
+    prepare(spark)
     return neardup.drop_near_copies(docs, SIMILARITY_PERCENT)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document of a smaller id holds are cut out; emptied documents go."""
-    ship_package(spark)
+    prepare(spark)
     return _recount(substrings.cut_repeats(docs).filter("text is null or text <> ''"))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a close edit of one, go."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

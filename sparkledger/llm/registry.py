@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS = "1000"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """What the corpus operators want of a session: their source on the executors, small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return ship_package(spark)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)``; ``sql`` gives the same rows in plain SQL."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(ship_package(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn
