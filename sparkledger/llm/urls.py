@@ -68,7 +68,8 @@ def rule_for(rules: Sequence[tuple[str, str, str]], host: str = "host", path: st
         )
         for v, h, p in rules
     ]
-    return F.greatest(*fitting, F.lit(None), F.lit(None))
+    none = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
+    return F.greatest(none, none, *fitting)
 
 
 def mine(labelled: DataFrame) -> DataFrame:
