@@ -69,13 +69,13 @@ def find_by_alias(names: DataFrame, entities: DataFrame, name: str = "name") ->
 def match_aliases(texts: DataFrame, aliases: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """(key, canonical_name, default_category, alias_key): the longest alias in a text.
 
-    Aliases match at word borders. Texts are taken apart into runs of 1..W words,
-    W being the longest alias, and meet the aliases by equality: the work grows
-    with the text, not with texts times aliases, and only true hits come out.
-    ``key`` identifies a text; without it the text itself does.
+    Aliases match at word borders. Texts are taken apart into runs of as many
+    words as aliases have, and meet the aliases by equality: the work grows with
+    the text, not with texts times aliases, and only true hits come out. ``key``
+    identifies a text and goes with every run; without it the text itself does.
     """
     key = key or text
-    longest = aliases.agg(F.max("n_words")).first()[0] or 0
+    lengths = sorted(r[0] for r in aliases.select("n_words").distinct().collect() if r[0])
     words = F.col("_words")
     runs = F.flatten(
         F.array(
@@ -86,7 +86,7 @@ def match_aliases(texts: DataFrame, aliases: DataFrame, text: str = "text", key:
                     ),
                     (lambda m: lambda i: F.array_join(F.slice(words, i, m), " "))(n),
                 )
-                for n in range(1, longest + 1)
+                for n in lengths
             ],
             F.array().cast("array<string>"),
         )
@@ -116,7 +116,9 @@ def categorize(
     rules array<struct<contains_keyword, assign_category>>).
     """
     texts = transactions.select(F.col(description).alias("_text")).filter(F.col(description).isNotNull()).distinct()
-    found = match_aliases(texts, aliases, "_text")
+    # Runs of words carry a digest instead of the whole text.
+    texts = texts.withColumn("_id", F.md5("_text"))
+    found = match_aliases(texts, aliases, "_text", "_id").join(texts, "_id")
     if rules is not None:
         found = found.join(rules, "canonical_name", "left").withColumn(
             "default_category", apply_context_rules(F.col("default_category"), F.col("rules"), F.col("_text"))

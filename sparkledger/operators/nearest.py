@@ -115,6 +115,8 @@ def _nearest_broadcast(queries, merchants, threshold, key, vector):
 
 def _nearest_tiled(queries, merchants, threshold, key, vector, tile_rows=TILE_ROWS, max_pivots=MAX_PIVOTS):
     spark = queries.sparkSession
+    # Equal rows are asked once and answered as often as they occur.
+    queries = queries.groupBy(key, vector).agg(F.count(F.lit(1)).alias("_n")).withColumn("_id", F.xxhash64(key, vector))
     # At most max_pivots vectors, spread evenly by the hash of their names.
     wanted = max(1, min(max_pivots, math.isqrt(merchants.count())))
     picked = merchants.orderBy(F.xxhash64("canonical_name"), "canonical_name").limit(wanted).toPandas()
@@ -151,8 +153,8 @@ def _nearest_tiled(queries, merchants, threshold, key, vector, tile_rows=TILE_RO
     tiles = placed.withColumn("part", F.pmod(F.xxhash64("canonical_name"), part_count).cast("int")).select(
         "pivot", "part", "canonical_name", "default_category", "vector_embedding"
     )
-    visits = queries.select(key, vector, F.explode(tiles_in_reach(vector)).alias("_t")).select(
-        key, vector, "_t.pivot", "_t.part"
+    visits = queries.select(key, "_id", "_n", vector, F.explode(tiles_in_reach(vector)).alias("_t")).select(
+        key, "_id", "_n", vector, "_t.pivot", "_t.part"
     )
     # Tiles asked by very many queries are repeated, their queries dealt out.
     salts = visits.groupBy("pivot", "part").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
@@ -163,10 +165,10 @@ def _nearest_tiled(queries, merchants, threshold, key, vector, tile_rows=TILE_RO
         *tiles.columns, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
     key_type = queries.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, canonical_name string, default_category string, similarity double"
+    schema = f"{key} {key_type}, _id bigint, _n bigint, canonical_name string, default_category string, similarity double"
 
     def compare(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], "canonical_name": [], "default_category": [], "similarity": []})
+        empty = pd.DataFrame({key: [], "_id": [], "_n": [], "canonical_name": [], "default_category": [], "similarity": []})
         if not len(asked) or not len(members):
             return empty
         members = members.sort_values("canonical_name", ignore_index=True)
@@ -175,6 +177,8 @@ def _nearest_tiled(queries, merchants, threshold, key, vector, tile_rows=TILE_RO
         return pd.DataFrame(
             {
                 key: asked[key].to_numpy()[hit],
+                "_id": asked["_id"].to_numpy()[hit],
+                "_n": asked["_n"].to_numpy()[hit],
                 "canonical_name": members["canonical_name"].to_numpy()[place[hit]],
                 "default_category": members["default_category"].to_numpy()[place[hit]],
                 "similarity": best[hit],
@@ -186,4 +190,5 @@ def _nearest_tiled(queries, merchants, threshold, key, vector, tile_rows=TILE_RO
     # Highest similarity, then the smallest name: the winner of every tile is
     # compared again, so the answer does not depend on the tiles.
     best = F.min_by(F.struct("canonical_name", "default_category", "similarity"), F.struct(-F.col("similarity"), F.col("canonical_name")))
-    return per_tile.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    found = per_tile.groupBy(key, "_id", "_n").agg(best.alias("b"))
+    return found.select(key, "b.*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")

@@ -110,6 +110,21 @@ def test_nearest_equals_brute_force(spark, monkeypatch, threshold):
     assert read(tiled) == want
 
 
+def test_both_nearest_forms_answer_repeated_keys_alike(spark):
+    ms, qs, _ = merchants_and_queries(spark, 60, 8, 5)
+    other = qs.filter("query_id = 4").selectExpr("3 as query_id", "vector")
+    asked = qs.unionByName(qs.filter("query_id < 5")).unionByName(other)
+    rows = lambda df: sorted((r["query_id"], r["canonical_name"], round(r["similarity"], 6)) for r in df.collect())
+    tiled = N._nearest_tiled(asked, ms, 0.2, "query_id", "vector", tile_rows=16, max_pivots=4)
+    assert rows(tiled) == rows(N.nearest_merchant(asked, ms, 8, 0.2))
+
+
+def test_one_long_alias_makes_one_branch(spark):
+    long = " ".join(f"word{i}" for i in range(200))
+    ents = entities(spark, ("Long", "A", [long]), ("Short", "B", ["kiosk"]))
+    assert categories(spark, ents, [f"see {long} there", "the kiosk", long[:-1]]) == ["A", "B", "Uncategorized"]
+
+
 def test_unit_vectors_and_dimension(spark):
     basis = lambda i: [1.0 if k == i else 0.0 for k in range(384)]
     ms = spark.createDataFrame([("Target", "Shopping", basis(0)), ("Shell", "Transport", basis(1)), ("Bad", "x", [1.0])], "canonical_name string, default_category string, vector_embedding array<double>")
