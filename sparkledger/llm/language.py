@@ -248,8 +248,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
     return kept.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 1 / 3) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 1 / 3, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Rows of ``docs`` whose text has a language that holds at least ``min_score`` of its letters; columns unchanged."""
-    names = docs.columns
-    judged = identify(docs.select(*names), model)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= min_score)).select(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            langs, score, _ = _judge(shared.value, penalty, batch.column(batch.schema.get_field_index(text)).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, score)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ def test_languages_and_spans(shipped):
     model = model_of(shipped, LATIN + GREEK + [(None, "en"), ("lost", None)])
     assert model.langs == ["de", "el", "en"]
     mixed = "the king and the house of the cat " * 4 + "und das haus von dem mann nicht auf die " * 4
-    texts = [("the house of the king", "x"), ("σκύλος και σπίτι", "x"), (mixed, "x"), (None, "x"), ("", "x"), ("12 !!", "x"), ("текст", "x"), ("и", None)]
+    texts = [("the house of the king", "x"), ("σκύλος και σπίτι", "x"), (mixed, "x"), (None, "x"), ("", "x"), ("12 !!", "x"), ("текст", "x"), ("и", "x")]
     df = shipped.createDataFrame([(*t, i) for i, t in enumerate(texts)], "text string, lang_pred string, i int")
     out = {r.i: r for r in language.identify(df, model).collect()}
     assert [out[i].lang_pred for i in range(6)] == ["en", "el", out[2].lang_pred, "und", "und", "und"]
@@ -22,7 +22,7 @@ def test_languages_and_spans(shipped):
     assert [(s.start, s.end) for s in out[2].lang_spans] == [(0, 32), (32, 68)]
     assert out[6].lang_pred in model.langs and all(0 <= r.lang_score <= 1 for r in out.values())
     kept = language.keep_identified(df, model)
-    assert kept.columns == df.columns and {r.i for r in kept.collect()} == {0, 1, 2, 6, 7}
+    assert kept.columns == df.columns and sorted((r.i, r.text, r.lang_pred) for r in kept.collect()) == [(i, *texts[i]) for i in (0, 1, 2, 6, 7)]
 
 
 def test_long_text_equals_short_slices(shipped, monkeypatch):
