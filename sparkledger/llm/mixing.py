@@ -89,7 +89,8 @@ def cuts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     cut = inside.withColumn("so_far", so_far).filter("so_far < rest and rest <= so_far + size")
     cut = cut.select(F.col("source").alias("its"), F.col("key").alias("cut"), F.expr("(rest - so_far) div n").alias("at_cut"))
     whole = goal.select("source", "source_size", "target", "epochs")
-    return whole.join(cut, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
+    # Staged, so that Spark knows its size: a small table is broadcast, a large one meets splittable partitions.
+    return stage_table(whole.join(cut, F.col("source").eqNullSafe(F.col("its")), "left").drop("its"), "mix-cuts")
 
 
 def _with_cut(docs: DataFrame, found: DataFrame, doc_id: str, text: str, source: str, size: Column) -> DataFrame:
