@@ -26,9 +26,9 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all rows with a language; texts go in which none holds a third of the letters."""
+    """Learn from all rows with a language; texts go in which none holds a third of the letters, or that are in none of them."""
     prepare(spark)
-    return language.keep_identified(docs, language.learn(docs))
+    return language.keep_learned(docs, language.learn(docs), language.learn_background(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ label form a span, so a text that mixes languages gets several spans.
 * nothing learned (no row with text and language): ``und`` everywhere;
 * a script no language was seen in: all languages stay candidates;
 * ties: the language that sorts first.
+
+``keep_learned`` also rejects texts that are in no learned language: most letters
+are of a script no language was seen in, or the trigrams of the labels explain the
+letters no better than a background, the chain of letter pairs of all languages.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: A language is a candidate for a script that holds this share of its letters.
 SCRIPT_SHARE = 0.001
+#: Share of the background in a label's trigrams: one trigram speaks for or against a text by at most its log.
+BACKGROUND_SHARE = 0.05
+#: A text is not rejected on less evidence than this, in nats in all and for each letter.
+LEAST_EVIDENCE, LEAST_MEAN = 12.0, 0.01
 _STEP = 1 << 20
 
 # First and last code point of the scripts' main blocks (Unicode block chart).
@@ -103,17 +111,44 @@ class _Letters:
             yield a, b
             a = b
 
-    def buckets(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram buckets of words a to b, one for each letter, and where each word's begin."""
+    def _keys(self, a: int, b: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For words a to b: keys of each code point's predecessor, itself and its successor, places of the letters, where each word's begin."""
         low, high = self.start[a], self.end[b - 1]
         code = np.zeros(high - low + 2, dtype=np.uint64)
         code[1:-1] = np.where(self.script[low:high] > 0, self.code[low:high], 0)
-        key = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:] * np.uint64(0x165667B19E3779F9)
-        key ^= key >> np.uint64(29)
-        key *= np.uint64(0xBF58476D1CE4E5B9)
         lengths = self.end[a:b] - self.start[a:b]
         at = runs(self.start[a:b] - low, lengths)
-        return (key[at] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.cumsum(lengths) - lengths
+        keys = [code[:-2] * np.uint64(0x9E3779B97F4A7C15), code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F), code[2:] * np.uint64(0x165667B19E3779F9)]
+        return keys, at, np.cumsum(lengths) - lengths
+
+    def buckets(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Trigram buckets of words a to b, one for each letter, and where each word's begin."""
+        (before, here, behind), at, begin = self._keys(a, b)
+        return _bucket(before + here + behind, at), begin
+
+    def pairs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of each letter of words a to b with its predecessor, alone, and with its successor."""
+        (before, here, behind), at, _ = self._keys(a, b)
+        return _bucket(before + here, at), _bucket(here, at), _bucket(here + behind, at)
+
+
+def _bucket(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    key = key ^ (key >> np.uint64(29))
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return (key[at] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of ``_Letters.pairs`` of a task's texts, added up before they leave the task."""
+    size = 1 << BUCKET_BITS
+    total = np.zeros(3 * size, dtype=np.int64)
+    for batch in pieces(batches):
+        letters = _Letters(batch.column(0).to_pylist())
+        for a, b in letters.slices():
+            for k, bucket in enumerate(letters.pairs(a, b)):
+                total[k * size : (k + 1) * size] += np.bincount(bucket, minlength=size)
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +169,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageModel:
-    """Log probability of every trigram bucket, and the scripts, by language. At most 2^BUCKET_BITS numbers a language."""
+    """Log probability of every trigram bucket, and the scripts, by language. At most 2^BUCKET_BITS numbers a language.
+
+    ``seen``: scripts of some language; ``unseen``: log probability of a bucket without a count, by language.
+    """
 
-    def __init__(self, langs: list[str], scores: np.ndarray, candidates: np.ndarray):
-        self.langs, self.scores, self.candidates = langs, scores, candidates
+    def __init__(self, langs: list[str], scores: np.ndarray, candidates: np.ndarray, seen: np.ndarray, unseen: np.ndarray):
+        self.langs, self.scores, self.candidates, self.seen, self.unseen = langs, scores, candidates, seen, unseen
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -156,11 +194,36 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
         table[np.searchsorted(langs, rows["lang"]), rows["slot"]] = rows["n"]
     grams, scripts = table[:, :size], table[:, size + 1 :]
     known = max(1, int((grams.sum(axis=0) > 0).sum()))
-    scores = np.log((grams + SMOOTHING) / (grams.sum(axis=1, keepdims=True) + SMOOTHING * known))
+    size_of = grams.sum(axis=1, keepdims=True) + SMOOTHING * known
+    scores = np.log((grams + SMOOTHING) / size_of)
     candidates = np.ones((OTHER_SCRIPT + 1, len(langs)), dtype=bool)
     candidates[1:] = (scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T
-    candidates[~candidates.any(axis=1)] = True
-    return LanguageModel(langs, scores.T.astype(np.float32).copy(), candidates)
+    seen = candidates.any(axis=1)
+    candidates[~seen] = True
+    return LanguageModel(langs, scores.T.astype(np.float32).copy(), candidates, seen, np.log(SMOOTHING / size_of[:, 0]))
+
+
+def learn_background(docs: DataFrame, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """What a letter is worth in the chain of letter pairs of all languages together, learned from the rows ``learn`` takes.
+
+    Three rows of 2^BUCKET_BITS logs, to be added for each letter: of its pair with the
+    letter before, less of itself, of its pair with the letter behind.
+    """
+    rows = (
+        docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+        .filter("text is not null and lang is not null")
+        .select("text")
+        .mapInArrow(_count_pairs, "slot long, n long")
+        .groupBy("slot")
+        .agg(F.sum("n").alias("n"))
+        .toPandas()
+    )
+    counts = np.zeros(3 << BUCKET_BITS)
+    counts[rows["slot"]] = rows["n"]
+    before, here, behind = counts.reshape(3, -1)
+    logs = lambda n: np.log(n + SMOOTHING)
+    out = np.stack([logs(before) - np.log(max(1.0, before.sum()) + SMOOTHING * max(1, (before > 0).sum())), -logs(here), logs(behind)])
+    return out.astype(np.float32)
 
 
 def _viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -248,6 +311,54 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
     return kept.mapInArrow(run, schema)
 
 
+def _is_learned(model: LanguageModel, background: np.ndarray, min_score: float, penalty: float, texts: list[str | None]) -> np.ndarray:
+    """For every text whether its letters are in the learned languages, each word read in the language of its label."""
+    letters = _Letters(texts)
+    n, k = len(texts), len(model.langs)
+    if not k or not len(letters.start):
+        return np.zeros(n, dtype=bool)
+    doc = np.repeat(np.arange(n), np.diff(letters.first))
+    size = letters.end - letters.start
+    label = _labelled(letters, model, penalty)
+    better = np.zeros(len(size))
+    strange = np.zeros(len(size), dtype=np.int64)
+    for a, b in letters.slices():
+        bucket, begin = letters.buckets(a, b)
+        lang = np.repeat(label[a:b], size[a:b])
+        # Without the smoothing, so that what was never seen has no share. Even chances for all buckets are the least background.
+        own = np.exp(model.scores[bucket, lang]) - np.exp(model.unseen)[lang]
+        chain = np.exp(sum(part[at] for part, at in zip(background, letters.pairs(a, b))))
+        ratio = np.maximum(own, 0) / np.maximum(chain, 0.5**BUCKET_BITS)
+        better[a:b] = np.add.reduceat(np.minimum(np.log(BACKGROUND_SHARE + (1 - BACKGROUND_SHARE) * ratio), -np.log(BACKGROUND_SHARE)), begin)
+        at = runs(letters.start[a:b], size[a:b])
+        strange[a:b] = np.add.reduceat((~model.seen[letters.script[at]]).astype(np.int64), begin)
+    total = np.bincount(doc, size, n)
+    gain = np.bincount(doc, better, n)
+    explained = gain >= -np.maximum(LEAST_EVIDENCE, LEAST_MEAN * total)
+    share = np.bincount(doc * k + label, size, n * k).reshape(n, k).max(axis=1)
+    return (total > 0) & (share >= min_score * total) & (2 * np.bincount(doc, strange, n) <= total) & explained
+
+
+def keep_learned(
+    docs: DataFrame, model: LanguageModel, background: np.ndarray, min_score: float = 1 / 3, text: str = "text", penalty: float = SWITCH_PENALTY
+) -> DataFrame:
+    """Rows of ``docs`` whose text is in the languages that were learned; columns unchanged.
+
+    ``background`` is of ``learn_background`` over the rows of the model. Rejected are the
+    texts that ``keep_identified`` rejects, those with more than half of their letters in
+    scripts no language was seen in, and those whose letters the background explains
+    better than their labels do. A label's rows are taken at their word: what one of
+    them alone holds counts as seen, which matters only in tables of few letters.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, background))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            yield batch.filter(pa.array(_is_learned(*shared.value, min_score, penalty, batch.column(batch.schema.get_field_index(text)).to_pylist())))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 1 / 3, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Rows of ``docs`` whose text has a language that holds at least ``min_score`` of its letters; columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -25,6 +25,23 @@ def test_languages_and_spans(shipped):
     assert kept.columns == df.columns and sorted((r.i, r.text, r.lang_pred) for r in kept.collect()) == [(i, *texts[i]) for i in (0, 1, 2, 6, 7)]
 
 
+def test_stage_rejects_what_was_not_learned(shipped):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(60))
+    finnish = "olipa kerran pieni tyttö joka asui metsän laidalla vanhan talon vieressä ja hänellä oli punainen takki"
+    learned = ["the king and the house of the cat", "und das haus von dem mann", "the house of the king und der hund", "σκύλος και σπίτι", "the king текст"]
+    strange = ["текст на другом языке", "漢字仮名交じり文", junk, finnish, finnish * 50, "the король и дом из слов"]
+    rows = [*LATIN, *GREEK, *[(t, None) for t in learned + strange]]
+    docs = shipped.createDataFrame(rows, "text string, lang string")
+    kept = corpus_pipeline.identify_language(shipped, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == sorted([t for t, _ in LATIN + GREEK] + learned)
+
+
 def test_long_text_equals_short_slices(shipped, monkeypatch):
     model = model_of(shipped, LATIN)
     texts = ["the king und das haus " * 500, "x" * 500 + " the king"]
