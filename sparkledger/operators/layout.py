@@ -20,6 +20,8 @@ from ..functions.text import strip_text
 CHUNK_LINES = 250_000
 MASK_BITS = 62
 NOT_BLANK = r"(?U)\S"
+#: An open record of more characters than this (lines times the longest line of the statement) stays in lines.
+OPEN_CHARS = 1 << 20
 
 
 # --- header detection -----------------------------------------------------
@@ -208,8 +210,11 @@ def join_quoted_lines(lines: DataFrame, layout: DataFrame, width: int = 1 << 18)
 
     Only lines after the header count, and only a quote at the start of a cell
     opens one; a quote inside a cell, or in the preamble, is text. A record
-    keeps the number of its first line and has as many lines as its cells need;
-    a cell that never closes takes the rest of its statement.
+    keeps the number of its first line and has as many lines as its cells need.
+    A cell that never closes takes the rest of its statement: up to OPEN_CHARS it
+    is one record too; a longer rest is not gathered, its lines come singly under
+    their own numbers. ``opened_at`` is the number of the line that opened such a
+    rest, in one record or in lines, and null for all other rows.
 
     Each line's effect is known for both states before it (inside a cell or
     not), so the state is carried inside ranges of ``width`` lines and over one
@@ -241,20 +246,34 @@ def join_quoted_lines(lines: DataFrame, layout: DataFrame, width: int = 1 << 18)
     starts = _state_before(ranges, ["statement_id"], "part").select("statement_id", "part", F.col("state").alias("open"))
     inside = F.when(F.col("known"), F.col("state")).otherwise(F.col("state") != F.col("open"))
     placed = local.join(starts, ["statement_id", "part"]).select(
-        "statement_id", "part", "line_no", "line", F.when(~inside, F.col("line_no")).alias("begin")
-    )
+        "statement_id", "part", "line_no", "line", F.when(~inside, F.col("line_no")).alias("begin"),
+        F.when(F.col("fixed"), F.col("ends")).otherwise(inside != F.col("flip")).alias("leaves"),
+    )
     so_far = Window.partitionBy("statement_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("statement_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = placed.groupBy("statement_id", "part").agg(F.max("begin").alias("_begin"))
-    carried = carried.select("statement_id", "part", F.max("_begin").over(earlier).alias("carried"))
+    whole = Window.partitionBy("statement_id")
+    carried = placed.groupBy("statement_id", "part").agg(
+        F.max("begin").alias("_begin"), F.max(F.struct("line_no", "leaves")).alias("_end"), F.max(F.length("line")).cast("bigint").alias("_longest")
+    )
+    end, last_begin = F.max("_end").over(whole), F.max("_begin").over(whole)
+    carried = carried.select(
+        "statement_id", "part", F.max("_begin").over(earlier).alias("carried"),
+        F.when(end["leaves"], last_begin).alias("open_from"),
+        ((end["line_no"] - last_begin + 1) * (F.max("_longest").over(whole) + 1) > OPEN_CHARS).alias("long"),
+    )
     records = placed.withColumn("_here", F.max("begin").over(so_far)).join(carried, ["statement_id", "part"])
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    first = F.coalesce("_here", "carried")
+    opened_at = F.when(first == F.col("open_from"), first)
+    number = F.when(opened_at.isNotNull() & F.col("long"), F.col("line_no")).otherwise(first)
     joined = (
-        records.groupBy("statement_id", F.coalesce("_here", "carried").alias("line_no"))
+        records.select("statement_id", number.alias("record"), opened_at.alias("opened_at"), "line_no", "line")
+        .groupBy("statement_id", "record", "opened_at")
         .agg(parts.alias("parts"))
-        .select("statement_id", "line_no", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"))
+        .select("statement_id", F.col("record").alias("line_no"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"), "opened_at")
     )
-    return lines.join(broken, "statement_id", "left_anti").select("statement_id", "line_no", "line").unionByName(joined)
+    unbroken = lines.join(broken, "statement_id", "left_anti").select("statement_id", "line_no", "line")
+    return unbroken.withColumn("opened_at", F.lit(None).cast(joined.schema["opened_at"].dataType)).unionByName(joined)
 
 
 def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
@@ -263,15 +282,18 @@ def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
     Blank lines are skipped, short rows padded with null, missing-value
     spellings read as null. Bad rows have more cells than the header or end
     inside a quoted cell that never closes (see ``join_quoted_lines``); ``line`` keeps their text.
+    Lines that such a cell holds are bad rows too, also blank ones; where ``lines`` has
+    ``opened_at``, so have they.
     """
     cells = split_fields(F.col("line"), F.col("delimiter"))
+    unclosed = F.col("opened_at").isNotNull() if "opened_at" in lines.columns else F.lit(False)
     return (
         join_statement(lines, layout)
-        .filter((F.col("line_no") > F.col("header_row")) & F.col("line").rlike(NOT_BLANK))
+        .filter((F.col("line_no") > F.col("header_row")) & (F.col("line").rlike(NOT_BLANK) | unclosed))
         .withColumn("_cells", cells)
         .withColumn(
             "bad",
-            (F.size("_cells") > F.size("columns")) | has_open_quote(F.col("line"), F.col("delimiter")),
+            unclosed | (F.size("_cells") > F.size("columns")) | has_open_quote(F.col("line"), F.col("delimiter")),
         )
         .withColumn(
             "fields",
@@ -282,11 +304,12 @@ def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def table_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(~F.col("bad"))
+    return parsed.filter(~F.col("bad")).drop("opened_at")
 
 
 def bad_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("bad").select("statement_id", "line_no", "line")
+    """(statement_id, line_no, line), with ``opened_at`` where the rows have it."""
+    return parsed.filter("bad").select("statement_id", "line_no", "line", *[c for c in parsed.columns if c == "opened_at"])
 
 
 # --- whole-column facts ---------------------------------------------------

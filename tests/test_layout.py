@@ -187,3 +187,21 @@ def test_all_records_are_accounted_for(spark):
     assert sorted(r["amount"] for r in done if r["statement_id"] == "long") == [*map(float, range(1, 10)), 20.0, 21.0]
     assert [r["description"] for r in done if r["amount"] == 20.0] == [cell]
     assert [r["line"] for r in unreadable_rows(lines).collect()] == ['2019-04-22,1.00,"open\nlost']
+
+
+@pytest.mark.parametrize("width", [3, 1 << 18])
+def test_a_long_rest_that_never_closes_stays_in_lines(spark, monkeypatch, width):
+    from sparkledger.plans.statements import normalize_statements, unreadable_rows
+
+    monkeypatch.setattr(L, "OPEN_CHARS", 300)
+    rest = [f"2019-05-01,{i}.00,text" if i % 7 else "" for i in range(40)]
+    text = "Date,Amount,Text\n" + "\n".join(['2019-04-11,1.00,"two\nlines"', '2019-04-12,2.00,"open', *rest]) + "\n"
+    lines = lines_of(spark, long=text, short='Date,Amount,Text\n2019-04-11,7.00,x\n2019-04-12,2.00,"open\nend\n')
+    joined = L.join_quoted_lines(lines, L.detect_layout(lines), width=width).collect()
+    got = {r["line_no"]: (r["line"], r["opened_at"]) for r in joined if r["statement_id"] == "long"}
+    want = {0: ("Date,Amount,Text", None), 1: ('2019-04-11,1.00,"two\nlines"', None), 3: ('2019-04-12,2.00,"open', 3)}
+    assert got == want | {4 + i: (x, 3) for i, x in enumerate(rest)}
+    assert [(r["line_no"], r["line"], r["opened_at"]) for r in joined if r["statement_id"] == "short" and r["line_no"] > 1] == [(2, '2019-04-12,2.00,"open\nend', 2)]
+    assert sorted(r["amount"] for r in normalize_statements(lines).collect()) == [1.0, 7.0]
+    bad = unreadable_rows(lines).collect()
+    assert sorted(r["line_no"] for r in bad if r["statement_id"] == "long") == list(range(3, 44)) and {r["opened_at"] for r in bad} == {2, 3}
