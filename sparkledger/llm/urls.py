@@ -72,12 +72,16 @@ def rule_for(rules: Sequence[tuple[str, str, str]], host: str = "host", path: st
     return F.greatest(none, none, *fitting)
 
 
-def mine(labelled: DataFrame) -> DataFrame:
-    """Rules (tokens, support, confidence) for ``block`` from labelled rows (tokens, label)."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """Rules (tokens, support, confidence) for ``block`` from labelled rows (tokens, label).
+
+    A rule has MIN_COUNT rows at least and ``min_support`` of all; with 0 the count
+    alone decides, at all sizes.
+    """
     blocked = F.when(F.col("label") == BLOCK, F.array(F.lit(_BLOCKED_ITEM))).otherwise(F.array().cast("array<string>"))
     rows = stage_table(labelled.filter("label is not null").select(F.concat("tokens", blocked).alias("items")), "url-labels")
     n = rows.count()
-    least = max(MIN_COUNT, math.ceil(MIN_SUPPORT * n))
+    least = max(MIN_COUNT, math.ceil(min_support * n))
     if n < least:
         return rows.select(F.col("items").alias("tokens"), F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence")).filter("false")
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(rows)
@@ -101,17 +105,24 @@ def minimal(rules: DataFrame) -> DataFrame:
     return rules.join(larger, "tokens", "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", own_labels: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``.
 
     A page's label, for mining, is the verdict of its rule; where none fits, that of
     ``labels`` (page_id, label). The verdict is the rule's, else ``block`` if a mined rule matches.
+
+    With ``own_labels`` only pages that no given rule decides are mined, by ``labels``
+    alone, and MIN_COUNT rows are support enough, so that neither the table's size nor
+    what the given rules decide hides a small host.
     """
     parts = with_parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")))
     parts = stage_table(parts.withColumn("given", rule_for(rules)).select("page_id", "host", "path", "tokens", "given"), "urls")
     known = labels.groupBy("page_id").agg(F.min("label").alias("label"))
-    labelled = parts.join(known, "page_id", "left").select("tokens", F.coalesce("given.verdict", "label").alias("label"))
-    kept = stage_table(minimal(stage_table(mine(labelled), "url-rules")), "url-rules")
+    if own_labels:
+        labelled = parts.filter("given is null").join(known, "page_id").select("tokens", "label")
+    else:
+        labelled = parts.join(known, "page_id", "left").select("tokens", F.coalesce("given.verdict", "label").alias("label"))
+    kept = stage_table(minimal(stage_table(mine(labelled, 0.0 if own_labels else MIN_SUPPORT), "url-rules")), "url-rules")
     sets = parts.filter("given is null").select("tokens").distinct()
     blocked = matches(sets, kept.select("tokens")).select("tokens").distinct().withColumn("blocked", F.lit(True))
     mined = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))

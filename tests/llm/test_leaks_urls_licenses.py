@@ -103,6 +103,16 @@ def test_lsh_recall_at_the_largest_distance():
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
 
 
+def test_own_labels_find_small_hosts(shipped):
+    """A host of 8 block labels in 1,000 pages is blocked; verdicts of given rules block no other page."""
+    rows = [(i, f"http://shop{i % 7}.org/a/{i}", "allow") for i in range(600)] + [(600 + i, f"http://net/es/{i}", None) for i in range(390)]
+    rows += [(1000 + i, f"http://adult.org/a/{i}", "block" if i < 8 else None) for i in range(12)] + [(2000, "http://other.info/es/1", None)]
+    pages = shipped.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = shipped.createDataFrame([(i, label) for i, _, label in rows if label], "page_id long, label string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels, RULES, own_labels=True).collect()}
+    assert got == {i: "block" if 600 <= i < 2000 else "allow" for i, _, _ in rows}
+
+
 def test_urls(shipped):
     rows = [
         ("http://WWW.Example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
