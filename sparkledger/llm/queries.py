@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls
+from . import bytebpe, decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls
 from .registry import query, table
 
 
@@ -210,3 +211,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Place of the public ranks of a byte-level vocabulary; another with SPARKLEDGER_RANKS.
+RANKS = os.environ.get("SPARKLEDGER_RANKS", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, forms=["packed"])
+    back = bytebpe.decode(encoded, RANKS, ids="packed")
+    return back.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
