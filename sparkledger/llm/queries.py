@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls
+from . import bytebpe, conversations, decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls
 from .registry import query, table
 
 
@@ -222,3 +222,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bytebpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, forms=["packed"])
     back = bytebpe.decode(encoded, RANKS, ids="packed")
     return back.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(conversations.damage(table(spark, sf_dir, "conversations")), times="times")
