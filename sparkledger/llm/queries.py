@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, conversations, decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls
+from . import bytebpe, conversations, decontaminate, language, licenses, mixing, neardup, substrings, tokens, topk, toxicity, urls, whitening
 from .registry import query, table
 
 
@@ -227,3 +227,20 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit(conversations.damage(table(spark, sf_dir, "conversations")), times="times")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, most=16)
+    explained = F.array(*(F.lit(float(e / model.trace)) for e in model.values)) if len(model.values) else F.lit(None).cast("array<double>")
+    cells = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return cells.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
