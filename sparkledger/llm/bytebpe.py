@@ -7,8 +7,8 @@ token's pair is what lower ranks make of its bytes. A match that is a token as a
 that token. So the ids are those that the ranks give directly.
 
 Texts go through the library in pieces, so memory does not follow a text's length. A piece
-ends where a match ends for certain: after a character that is no space, before a space. Long
-runs without such a place are cut inside a match, between two tokens of a window. That is
+ends where a match ends for certain: after a character that is no white space, before white
+space. Between two such places a task encodes each distinct stretch once. Long runs without such a place are cut inside a match, between two tokens of a window. That is
 right if the two tokens at the cut are what their joined bytes give: a row of tokens is the
 encoding of its bytes when every two neighbours are. Where they are not, the pieces are joined.
 
@@ -43,8 +43,16 @@ from .arrays import lists, pieces, runs
 
 #: Characters of a text that are encoded at once.
 PIECE_CHARS = 1 << 18
-#: A place where one match ends and the next begins, whatever stands around it.
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
+#: Characters of new stretches that go through the library in one call.
+JOINED_CHARS = 1 << 15
+#: Characters of stretches that a task remembers; with more it forgets them all and goes on.
+REMEMBERED_CHARS = 1 << 23
+#: The characters that Unicode calls white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A match never goes on from other characters to white space.
+_STRETCH = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_WHOLE = re.compile(f"[{_WHITE}].*[^{_WHITE}]\\Z", re.DOTALL)
+_BEFORE_SPACE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 #: A place inside a match, whose rest would match by itself: away from apostrophes, and two spaces at least.
 _MARK = r"[!-&(-/:-@\[-`{-~]"
 _INSIDE = re.compile(rf"(?<=[^\W\d_]{{3}})(?=[^\W\d_])|(?<=[0-9])(?=[0-9])|(?<={_MARK})(?={_MARK})|(?<=[ \t\r\n])(?=[ \t\r\n]{{2}})")
@@ -104,6 +112,7 @@ class ByteBPE:
         self.bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
         self.begin = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
         self.ranks = ranks
+        self._forget()
 
     def cuts(self, text: str) -> list[tuple[str, bool]]:
         """Pieces of about PIECE_CHARS, each with whether it begins inside a match."""
@@ -130,27 +139,69 @@ class ByteBPE:
         return None
 
     def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
     def _fits(self, left: int, right: int) -> bool:
         both = [self.decode(np.array([i])) for i in (left, right)]
         return merged(both[0] + both[1], self.ranks) == both
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        parts = [self.cuts(t) if t else [] for t in texts]
-        found = iter(self.tokenizer.encode_batch([p for ps in parts for p, _ in ps], add_special_tokens=False))
-        out = []
-        for ps in parts:
-            row: list[tuple[str, np.ndarray]] = []
-            for piece, inside in ps:
-                ids = np.array(next(found).ids, dtype=np.int32)
-                while inside and row and not self._fits(row[-1][1][-1], ids[0]):
-                    piece = row.pop()[0] + piece
+        parts = [(row, piece, inside) for row, t in enumerate(texts) if t for piece, inside in self.cuts(t)]
+        rows: list[list[tuple[str, np.ndarray]]] = [[] for _ in texts]
+        at = 0
+        while at < len(parts):
+            end, chars = at, 0
+            while end < len(parts) and chars < PIECE_CHARS:
+                chars += len(parts[end][1])
+                end += 1
+            for (row, piece, inside), ids in zip(parts[at:end], self._pieces([p for _, p, _ in parts[at:end]])):
+                while inside and rows[row] and not self._fits(rows[row][-1][1][-1], ids[0]):
+                    piece = rows[row].pop()[0] + piece
                     ids = self._raw(piece)
-                row.append((piece, ids))
-            out.append(np.concatenate([np.zeros(0, np.int32), *(ids for _, ids in row)]))
+                rows[row].append((piece, ids))
+            at = end
+        return [np.concatenate([np.zeros(0, np.int32), *(ids for _, ids in row)]) for row in rows]
+
+    def _pieces(self, pieces_: list[str]) -> list[np.ndarray]:
+        """Ids of pieces; every distinct stretch of spaces and what follows them goes through the library once."""
+        found = [_STRETCH.findall(p) for p in pieces_]
+        if self.chars > REMEMBERED_CHARS:
+            self._forget()
+        new = list(set().union(*found).difference(self.known))
+        encoded = self._stretches(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.chars += sum(map(len, new))
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in encoded], dtype=np.int64)])
+        self.store = np.concatenate([self.store, *encoded])
+        starts = np.cumsum(self.sizes) - self.sizes
+        out = []
+        for stretches in found:
+            at = np.fromiter(map(self.known.__getitem__, stretches), dtype=np.int64, count=len(stretches))
+            out.append(self.store[runs(starts[at], self.sizes[at])])
         return out
 
+    def _stretches(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of stretches: those from white space to another character lie end to end in a few calls."""
+        whole = [_WHOLE.match(t) is not None for t in texts]
+        out, run, chars = {}, [], 0
+        for text in [t for t, w in zip(texts, whole) if w] + [None]:
+            if run and (text is None or chars >= JOINED_CHARS):
+                ids = self._raw("".join(run))
+                ends = np.cumsum([len(t.encode()) for t in run])
+                cut = np.searchsorted(np.cumsum(self.length[ids]), ends, side="right")
+                out.update(zip(run, np.split(ids, cut[:-1])))
+                run, chars = [], 0
+            if text is not None:
+                run.append(text)
+                chars += len(text)
+        rest = [t for t, w in zip(texts, whole) if not w]
+        out.update(zip(rest, (np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        return [out[t] for t in texts]
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars, self.sizes, self.store = 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
     def offsets(self, ids: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last, from byte lengths."""
         raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
