@@ -1,12 +1,15 @@
 """Where a statement's table starts and how its lines split into cells.
 
-HDR3-HDR5, SRC3-SRC6. Every decision is an aggregate per statement over its
+HDR3-HDR5, SRC3-SRC6. Every decision is an aggregate per statement over facts of its
 first lines; the rows follow by a join on (statement, chunk of lines), so that
-one huge statement is spread over many tasks.
+one huge statement is spread over many tasks. Lines are laid out once in buckets of
+statement and chunk: what is decided comes to them, and their text is not shuffled again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +19,34 @@ from ..functions.binding import let
 from ..functions.dates import date_shape, format_counts
 from ..functions.lines import data_density, has_digit, has_separator, keyword_score
 from ..functions.text import strip_text
+from ..session import stage_bucketed, stage_table
 
 CHUNK_LINES = 250_000
 MASK_BITS = 62
 NOT_BLANK = r"(?U)\S"
-#: An open record of more characters than this (lines times the longest line of the statement) stays in lines.
-OPEN_CHARS = 1 << 20
+
+
+# --- lines in place -------------------------------------------------------
+
+def with_chunk(lines: DataFrame) -> DataFrame:
+    """Lines with ``chunk``, by their number where the reader gave none. Chunks are in the order of lines."""
+    if "chunk" in lines.columns:
+        return lines
+    return lines.withColumn("chunk", F.floor(F.col("line_no") / CHUNK_LINES).cast("bigint"))
+
+
+def lay_out(lines: DataFrame) -> DataFrame:
+    """lines(statement_id, line_no, line, chunk) in buckets of statement and chunk; those that have a chunk are."""
+    if "chunk" in lines.columns:
+        return lines
+    return stage_bucketed(with_chunk(lines.select("statement_id", "line_no", "line")), "lines", ["statement_id", "chunk"])
+
+
+def join_statement(lines: DataFrame, per_statement: DataFrame) -> DataFrame:
+    """Give every line its statement's row. Rows of a long statement are repeated
+    once per chunk of lines, so its lines spread over as many tasks and stay where they lie."""
+    met = with_chunk(lines).join(_chunk_rows(per_statement), ["statement_id", "chunk"])
+    return met if "chunk" in lines.columns else met.drop("chunk")
 
 
 # --- header detection -----------------------------------------------------
@@ -74,41 +99,53 @@ def header_by_keywords(lines: DataFrame) -> DataFrame:
     return inside.groupBy("statement_id").agg(_by_keywords().alias("header_row"))
 
 
-def detect_header(lines: DataFrame, structured_only: bool = True) -> DataFrame:
-    """(statement_id, n_lines, header_row, header_line, header_adjusted).
+def decide_header(lines: DataFrame, structured_only: bool = True) -> DataFrame:
+    """(statement_id, n_lines, chunks, header_row, header_chunk, header_adjusted).
 
-    One pass with partial aggregation. The window holds at most 20 lines per
-    statement. A blank header line is replaced by the last filled line above it;
-    if the whole window is blank, the first filled line is the header.
+    One pass with partial aggregation of numbers and flags, no text. The window holds at most 20
+    lines per statement. A blank header line is replaced by the last filled line above it;
+    if the whole window is blank, the first filled line is the header. Blank statements have none.
     """
-    scored = score_window(lines)
-    numbered = F.when(F.col("line_no") < WINDOW_LINES, F.struct("line_no", "line"))
+    scored = score_window(with_chunk(lines))
+    inside = F.col("line_no") < WINDOW_LINES
+    place = F.struct("line_no", "chunk")
     per_statement = scored.groupBy("statement_id").agg(
         (F.max("line_no") + 1).alias("n_lines"),
+        F.array_sort(F.collect_set("chunk")).alias("chunks"),
         F.coalesce(
             _by_density(structured_only),
-            F.max_by("line_no", F.when(F.col("line_no") < WINDOW_LINES, F.struct("keyword_score", -F.col("line_no")))),
+            F.max_by("line_no", F.when(inside, F.struct("keyword_score", -F.col("line_no")))),
             F.lit(0),
         ).alias("found"),
-        F.array_sort(F.collect_list(numbered)).alias("window"),
-        F.min(F.when(F.col("line").rlike(NOT_BLANK), F.struct("line_no", "line"))).alias("first_filled"),
+        F.array_sort(F.collect_list(F.when(inside & (strip_text(F.col("line")) != ""), place))).alias("filled"),
+        F.min(F.when(F.col("line").rlike(NOT_BLANK), place)).alias("first_filled"),
     )
-    filled = F.filter("window", lambda w: strip_text(w["line"]) != "")
-    above = F.filter(filled, lambda w: w["line_no"] <= F.col("found"))
-    header = F.coalesce(F.try_element_at(above, F.lit(-1)), F.try_element_at(filled, F.lit(1)), F.col("first_filled"))
+    above = F.filter("filled", lambda w: w["line_no"] <= F.col("found"))
+    header = F.coalesce(F.try_element_at(above, F.lit(-1)), F.try_element_at("filled", F.lit(1)), F.col("first_filled"))
     return (
         per_statement.withColumn("header", header)
         .filter(F.col("header").isNotNull())
         .select(
             "statement_id",
             "n_lines",
+            "chunks",
             F.col("header.line_no").alias("header_row"),
-            F.col("header.line").alias("header_line"),
+            F.col("header.chunk").alias("header_chunk"),
             (F.col("header.line_no") != F.col("found")).alias("header_adjusted"),
         )
     )
 
 
+def detect_header(lines: DataFrame, structured_only: bool = True) -> DataFrame:
+    """``decide_header`` with ``header_line``, taken from where the lines lie."""
+    lines = lay_out(lines)
+    decided = decide_header(lines, structured_only).withColumnRenamed("header_chunk", "chunk")
+    # An equality would become a key of the join, and the lines would be shuffled by it.
+    is_header = F.col("line_no").between(F.col("header_row"), F.col("header_row"))
+    found = lines.join(decided, ["statement_id", "chunk"]).filter(is_header)
+    return found.select("statement_id", "n_lines", "chunks", "header_row", F.col("line").alias("header_line"), "header_adjusted")
+
+
 # --- delimiter, columns, cells --------------------------------------------
 
 def choose_delimiter(header_line: Column) -> Column:
@@ -175,13 +212,11 @@ def detect_layout(lines: DataFrame, structured_only: bool = True) -> DataFrame:
     )
 
 
-def join_statement(lines: DataFrame, per_statement: DataFrame) -> DataFrame:
-    """Give every line its statement's row. Rows of a long statement are repeated
-    once per chunk of lines, so its lines spread over as many tasks."""
-    chunks = F.sequence(F.lit(0), F.floor((F.col("n_lines") - 1) / CHUNK_LINES).cast("int"))
-    return lines.withColumn("_chunk", F.floor(F.col("line_no") / CHUNK_LINES).cast("int")).join(
-        per_statement.withColumn("_chunk", F.explode(chunks)), ["statement_id", "_chunk"]
-    ).drop("_chunk")
+def _chunk_rows(per_statement: DataFrame) -> DataFrame:
+    """One row per statement and chunk."""
+    numbered = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_lines") - 1) / CHUNK_LINES).cast("bigint"))
+    chunks = F.col("chunks") if "chunks" in per_statement.columns else numbered
+    return per_statement.withColumn("chunk", F.explode(chunks)).drop("chunks")
 
 
 def _last_fixed(fixed: Column, order: str, state: Column, flips: Column) -> Column:
@@ -205,75 +240,92 @@ def _state_before(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return found.withColumn("known", F.col("_last").isNotNull()).withColumn("state", state).drop("_last", "_flips")
 
 
-def join_quoted_lines(lines: DataFrame, layout: DataFrame, width: int = 1 << 18) -> DataFrame:
+def quoted_parts(lines: DataFrame, layout: DataFrame) -> list[DataFrame]:
     """Put together the lines that a quoted cell with line breaks was cut into.
 
-    Only lines after the header count, and only a quote at the start of a cell
-    opens one; a quote inside a cell, or in the preamble, is text. A record
+    Each part has (statement_id, line_no, line, chunk, opened_at); together they are the
+    statements' records. Only lines after the header count, and only a quote at the
+    start of a cell opens one; a quote inside a cell, or in the preamble, is text. A record
     keeps the number of its first line and has as many lines as its cells need.
-    A cell that never closes takes the rest of its statement: up to OPEN_CHARS it
-    is one record too; a longer rest is not gathered, its lines come singly under
-    their own numbers. ``opened_at`` is the number of the line that opened such a
-    rest, in one record or in lines, and null for all other rows.
-
-    Each line's effect is known for both states before it (inside a cell or
-    not), so the state is carried inside ranges of ``width`` lines and over one
-    row for each range, and a long statement is not one task's work. Statements
-    in which no cell stays open pass unchanged.
+    A cell that never closes takes the rest of its statement: its lines come singly under
+    their own numbers, with the number of the line that opened it as ``opened_at``, which is null
+    for all other rows.
+
+    Each line's effect is known for both states before it (inside a cell or not), so
+    a chunk is one row that says for both how it ends and where its last record begins.
+    These rows are put in order for each statement; then every chunk joins its own lines where
+    they lie. Only pieces of records that run on from chunk to chunk are moved. Statements in which no
+    cell stays open pass unchanged.
     """
-    facts = layout.select("statement_id", "n_lines", "header_row", "delimiter")
+    lines = lay_out(lines)
+    keys = ["statement_id", "chunk"]
+    facts = layout.select("statement_id", *[c for c in ("n_lines", "chunks") if c in layout.columns], "header_row", "delimiter")
     line, sep = F.col("line"), F.col("delimiter")
     after = F.col("line_no") > F.col("header_row")
     quoted = join_statement(lines.filter(F.contains(line, F.lit('"'))), facts)
-    broken = quoted.filter(after & has_open_quote(line, sep)).select("statement_id").distinct()
+    broken = stage_table(quoted.filter(after & has_open_quote(line, sep)).select("statement_id").distinct(), "open-quotes")
+    never = F.lit(None).cast(lines.schema["line_no"].dataType)
+    if broken.isEmpty():
+        return [lines.select("statement_id", "line_no", "line", "chunk", never.alias("opened_at"))]
 
     begun = after & has_open_quote(line, sep)
     kept = after & (~F.contains(line, F.lit('"')) | has_open_quote(F.concat(F.lit('"'), line), sep))
-    effects = join_statement(lines.join(broken, "statement_id", "left_semi"), facts).select(
-        "statement_id", "line_no", "line", begun.alias("begun"), kept.alias("kept"), F.floor(F.col("line_no") / width).alias("part")
-    )
+    effects = join_statement(lines, facts.join(broken, "statement_id")).select(*keys, "line_no", "line", begun.alias("begun"), kept.alias("kept"))
     effects = effects.select(
-        "statement_id", "line_no", "line", "part",
+        *keys, "line_no", "line",
         (F.col("begun") == F.col("kept")).alias("fixed"), F.col("begun").alias("ends"), (F.col("begun") & ~F.col("kept")).alias("flip"),
     )
-    local = _state_before(effects, ["statement_id", "part"], "line_no")
-    last = Window.partitionBy("statement_id", "part").orderBy(F.desc("line_no"))
-    leaves = F.when(F.col("fixed"), F.col("ends")).otherwise(F.col("state") != F.col("flip"))
-    settled = F.col("known") | F.col("fixed")
-    ranges = local.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(
-        "statement_id", "part", settled.alias("fixed"), leaves.alias("ends"), (~settled & leaves).alias("flip")
-    )
-    starts = _state_before(ranges, ["statement_id"], "part").select("statement_id", "part", F.col("state").alias("open"))
-    inside = F.when(F.col("known"), F.col("state")).otherwise(F.col("state") != F.col("open"))
-    placed = local.join(starts, ["statement_id", "part"]).select(
-        "statement_id", "part", "line_no", "line", F.when(~inside, F.col("line_no")).alias("begin"),
-        F.when(F.col("fixed"), F.col("ends")).otherwise(inside != F.col("flip")).alias("leaves"),
+    local = _state_before(effects, keys, "line_no")
+    inside = lambda open_: F.when(F.col("known"), F.col("state")).otherwise(F.col("state") != open_)
+    leaves = lambda open_: F.when(F.col("fixed"), F.col("ends")).otherwise(inside(open_) != F.col("flip"))
+    begins = lambda open_: F.max(F.when(~inside(open_), F.col("line_no")))
+    closed, opened = F.lit(False), F.lit(True)
+    chunks = local.groupBy(*keys).agg(
+        begins(closed).alias("begin_closed"), begins(opened).alias("begin_open"),
+        F.max_by(leaves(closed), "line_no").alias("from_closed"), F.max_by(leaves(opened), "line_no").alias("from_open"),
     )
-    so_far = Window.partitionBy("statement_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("statement_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("statement_id")
-    carried = placed.groupBy("statement_id", "part").agg(
-        F.max("begin").alias("_begin"), F.max(F.struct("line_no", "leaves")).alias("_end"), F.max(F.length("line")).cast("bigint").alias("_longest")
-    )
-    end, last_begin = F.max("_end").over(whole), F.max("_begin").over(whole)
-    carried = carried.select(
-        "statement_id", "part", F.max("_begin").over(earlier).alias("carried"),
-        F.when(end["leaves"], last_begin).alias("open_from"),
-        ((end["line_no"] - last_begin + 1) * (F.max("_longest").over(whole) + 1) > OPEN_CHARS).alias("long"),
+    order = Window.partitionBy("statement_id").orderBy("chunk")
+    earlier, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("statement_id")
+    entered = _state_before(
+        chunks.withColumns(
+            {
+                "fixed": F.col("from_closed") == F.col("from_open"),
+                "ends": F.col("from_closed"),
+                "flip": F.col("from_closed") & ~F.col("from_open"),
+            }
+        ),
+        ["statement_id"],
+        "chunk",
+    ).select(*keys, F.col("state").alias("open"), *[F.when(F.col("state"), F.col(f"{c}_open")).otherwise(F.col(f"{c}_closed")).alias(c) for c in ("begin", "from")])
+    placed_chunks = entered.select(
+        *keys, "open", F.max("begin").over(earlier).alias("carried"),
+        F.when(F.max(F.struct("chunk", "from")).over(whole)["from"], F.max("begin").over(whole)).alias("open_from"),
     )
-    records = placed.withColumn("_here", F.max("begin").over(so_far)).join(carried, ["statement_id", "part"])
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    first = F.coalesce("_here", "carried")
-    opened_at = F.when(first == F.col("open_from"), first)
-    number = F.when(opened_at.isNotNull() & F.col("long"), F.col("line_no")).otherwise(first)
-    joined = (
-        records.select("statement_id", number.alias("record"), opened_at.alias("opened_at"), "line_no", "line")
-        .groupBy("statement_id", "record", "opened_at")
-        .agg(parts.alias("parts"))
-        .select("statement_id", F.col("record").alias("line_no"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"), "opened_at")
-    )
-    unbroken = lines.join(broken, "statement_id", "left_anti").select("statement_id", "line_no", "line")
-    return unbroken.withColumn("opened_at", F.lit(None).cast(joined.schema["opened_at"].dataType)).unionByName(joined)
+    runs_in = F.when(F.col("open") & ~F.col("carried").eqNullSafe(F.col("open_from")), F.col("carried"))
+    placed_chunks = placed_chunks.withColumn("runs_in", runs_in).withColumn("runs_on", F.lead("runs_in").over(order))
+    placed_chunks = stage_table(placed_chunks, "quote-chunks")
+
+    so_far = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = local.join(placed_chunks, keys)
+    first = F.coalesce(F.max(F.when(~inside(F.col("open")), F.col("line_no"))).over(so_far), F.col("carried"))
+    placed = placed.withColumn("_first", first).withColumn("opened_at", F.when(F.col("_first") == F.col("open_from"), F.col("_first")))
+    record = F.when(F.col("opened_at").isNotNull(), F.col("line_no")).otherwise(F.col("_first"))
+    runs_over = F.coalesce(record == F.col("runs_in"), F.lit(False)) | F.coalesce(record == F.col("runs_on"), F.lit(False))
+    text = lambda order_, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_, value))), lambda p: p[value]), "\n")
+    pieces = placed.groupBy(*keys, record.alias("record"), "opened_at", runs_over.alias("runs_over")).agg(text("line_no", "line").alias("line"))
+    row = ["statement_id", F.col("record").alias("line_no"), "line", "chunk", "opened_at"]
+    touched = _chunk_rows(facts.join(broken, "statement_id")).select(*keys)
+    unbroken = lines.join(touched, keys, "left_anti").select("statement_id", "line_no", "line", "chunk", never.alias("opened_at"))
+    parts = [unbroken, pieces.filter(~F.col("runs_over")).select(*row)]
+    if not placed_chunks.filter("runs_in is not null").isEmpty():
+        over = pieces.filter("runs_over").groupBy("statement_id", "record").agg(text("chunk", "line").alias("line"), F.min("chunk").alias("chunk"))
+        parts.append(over.withColumn("opened_at", never).select(*row))
+    return parts
+
+
+def join_quoted_lines(lines: DataFrame, layout: DataFrame) -> DataFrame:
+    """``quoted_parts`` in one DataFrame; steps that go on joining by statement do so part by part."""
+    return reduce(DataFrame.unionByName, quoted_parts(lines, layout))
 
 
 def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
@@ -281,7 +333,7 @@ def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
 
     Blank lines are skipped, short rows padded with null, missing-value
     spellings read as null. Bad rows have more cells than the header or end
-    inside a quoted cell that never closes (see ``join_quoted_lines``); ``line`` keeps their text.
+    inside a quoted cell that never closes (see ``quoted_parts``); ``line`` keeps their text.
     Lines that such a cell holds are bad rows too, also blank ones; where ``lines`` has
     ``opened_at``, so have they.
     """
@@ -299,7 +351,7 @@ def parse_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
             "fields",
             F.transform("columns", lambda _, i: null_if_missing(F.get("_cells", i))),
         )
-        .drop("_cells", "n_lines", "header_line")
+        .drop("_cells", "n_lines", "chunks", "header_line")
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators.entities import categorize
-from ..operators.layout import bad_rows, detect_layout, join_quoted_lines, parse_rows, table_rows
+from ..operators.layout import bad_rows, detect_layout, lay_out, parse_rows, quoted_parts, table_rows
 from ..operators.ledger import category_as_account, generate_splits
 from ..operators.mapping import resolve_mapping
 from ..operators.normalize import decide_formats, locate_columns, normalize
@@ -16,16 +18,22 @@ from ..operators.review import completed_rows, route
 from ..session import stage_table
 
 
-def statement_records(lines: DataFrame, structured_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(layouts, records): one row per statement, and its lines with quoted line
-    breaks joined. The layouts are needed several times and staged."""
+def statement_records(lines: DataFrame, structured_only: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """(layouts, parts): one row per statement, and its lines with quoted line
+    breaks joined. Lines and layouts are needed several times and staged."""
+    lines = lay_out(lines)
     layouts = stage_table(detect_layout(lines, structured_only), "layouts")
-    return layouts, join_quoted_lines(lines, layouts)
+    return layouts, quoted_parts(lines, layouts)
+
+
+def parse_parts(parts: list[DataFrame], per_statement: DataFrame) -> DataFrame:
+    """Rows of all parts. Each part meets the statements where its lines lie; a union would hide that."""
+    return reduce(DataFrame.unionByName, [parse_rows(part, per_statement) for part in parts])
 
 
-def _decide(layouts: DataFrame, records: DataFrame, cached: DataFrame | None, proposed: DataFrame | None) -> DataFrame:
+def _decide(layouts: DataFrame, parts: list[DataFrame], cached: DataFrame | None, proposed: DataFrame | None) -> DataFrame:
     located = stage_table(locate_columns(resolve_mapping(layouts, cached, proposed)), "mappings")
-    return stage_table(decide_formats(located, table_rows(parse_rows(records, located))), "decisions")
+    return stage_table(decide_formats(located, table_rows(parse_parts(parts, located))), "decisions")
 
 
 def decide_statements(
@@ -44,19 +52,19 @@ def normalize_statements(
 ) -> DataFrame:
     """Transactions of all statements in ``lines(statement_id, line_no, line)``.
 
-    Cells with line breaks are joined first. The lines are read for the header
-    window, for open quotes, for the whole-column facts and for the rows; what is
-    decided between, one row per statement, is staged.
+    The lines are laid out once in buckets of statement and chunk (``lay_out``), then read
+    there for the header window, for open quotes, for the whole-column facts and for the rows; what is
+    decided between, one row per statement, is staged and goes to the buckets.
     """
-    layouts, records = statement_records(lines, structured_only)
-    decisions = _decide(layouts, records, cached, proposed)
-    return normalize(table_rows(parse_rows(records, decisions)), mode)
+    layouts, parts = statement_records(lines, structured_only)
+    decisions = _decide(layouts, parts, cached, proposed)
+    return normalize(table_rows(parse_parts(parts, decisions)), mode)
 
 
 def unreadable_rows(lines: DataFrame, structured_only: bool = True) -> DataFrame:
     """(statement_id, line_no, line) of the records that cannot be read."""
-    layouts, records = statement_records(lines, structured_only)
-    return bad_rows(parse_rows(records, layouts))
+    layouts, parts = statement_records(lines, structured_only)
+    return bad_rows(parse_parts(parts, layouts))
 
 
 def route_statements(transactions: DataFrame, resolved: DataFrame) -> DataFrame:

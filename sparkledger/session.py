@@ -51,12 +51,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession) + "/checkpoints")
-    return df.checkpoint()
+def stage_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``keys`` and read it back.
+
+    Joins, windows and groups on the keys then read the buckets where they are; only
+    the other side of a join is shuffled to meet them. This is a table of the session's
+    catalog with files of its own; it is not dropped, as plans read it later.
+    """
+    spark = df.sparkSession
+    table = f"sparkledger_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/stage/{table}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 _shipped: set[str] = set()

@@ -2,7 +2,7 @@
 
 A statement file may be larger than any executor, so files are never read
 whole: Spark splits them, and exact line numbers come from the line counts of
-the splits.
+the splits. Lines are laid out once, in buckets of statement and chunk.
 """
 
 from __future__ import annotations
@@ -12,19 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINE_BREAK = r"\r\n|\n|\r"
-
+from ..session import stage_bucketed
 
-def pin_file_splits(spark: SparkSession) -> None:
-    """Fix how files are cut. They are scanned once to count lines and once to
-    read them, and both scans must agree also when executors come and go."""
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+LINE_BREAK = r"\r\n|\n|\r"
 
 
 def read_statements(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """lines(statement_id, line_no, line) of all text files under ``path``."""
-    pin_file_splits(spark)
+    """lines(statement_id, line_no, line, chunk) of all text files under ``path``."""
     files = spark.read.option("recursiveFileLookup", "true").text(path)
     return number_file_lines(
         files.select(
@@ -40,21 +34,21 @@ def number_file_lines(pieces: DataFrame) -> DataFrame:
 
     Inside a split the row position counts lines one by one, so a line's number
     is the number of lines in the earlier splits of its file plus its offset in
-    its own split. Only one small row per split is summed up in order.
+    its own split. The lines are read and written once, in buckets of statement and
+    split; one small row per split is summed up in order and meets them there. The
+    split stays as ``chunk``: all later steps join and group on it in place.
     """
-    placed = pieces.withColumn("position", F.monotonically_increasing_id())
-    blocks = placed.groupBy("statement_id", "block_start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position")
-    )
-    before = Window.partitionBy("statement_id").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "statement_id", "block_start", "first_position", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
-    )
+    placed = pieces.select("statement_id", F.col("block_start").cast("bigint").alias("chunk"), F.monotonically_increasing_id().alias("position"), "line")
+    placed = stage_bucketed(placed, "lines", ["statement_id", "chunk"])
+    blocks = placed.groupBy("statement_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"))
+    before = Window.partitionBy("statement_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("statement_id", "chunk", "first_position", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     line_no = F.col("offset") + F.col("position") - F.col("first_position")
-    return placed.join(offsets, ["statement_id", "block_start"]).select(
+    return placed.join(offsets, ["statement_id", "chunk"]).select(
         "statement_id",
         line_no.cast("bigint").alias("line_no"),
         F.when(line_no == 0, F.ltrim(F.col("line"), F.lit("\ufeff"))).otherwise(F.col("line")).alias("line"),
+        "chunk",
     )
 
 

@@ -17,12 +17,14 @@ from ..functions.identity import header_hash
 from ..functions.lines import data_density, keyword_score
 from ..operators.layout import (
     bad_rows,
+    decide_header,
     detect_header,
     detect_layout,
     header_by_density,
     header_by_keywords,
     numeric_columns,
     join_quoted_lines,
+    lay_out,
     parse_rows,
     split_fields,
     table_rows,
@@ -80,6 +82,10 @@ def src2(spark, d):
     return lines_from_content(V.texts(spark, d), "statement_id", "content")
 
 
+def _lines(spark, d):
+    return lay_out(V.statement_lines(spark, d))
+
+
 def _layouts(spark, d):
     return detect_layout(V.statement_lines(spark, d))
 
@@ -112,13 +118,13 @@ def src3(spark, d):
    ELSE [strftime(o_orderdate, '%m/%d/%Y'), description, CASE WHEN outgoing THEN NULL ELSE {V._PLAIN} END,
          CASE WHEN outgoing THEN {V._PLAIN} END] END AS fields FROM o""")
 def src4(spark, d):
-    lines = V.statement_lines(spark, d)
+    lines = _lines(spark, d)
     return table_rows(parse_rows(lines, detect_layout(lines))).select("statement_id", "line_no", "fields")
 
 
 @query("src4_bad_rows", LINES + " SELECT statement_id, line_no, line FROM lines WHERE line LIKE '%;too many'")
 def src4_bad(spark, d):
-    lines = V.statement_lines(spark, d)
+    lines = _lines(spark, d)
     return bad_rows(parse_rows(lines, detect_layout(lines)))
 
 
@@ -128,7 +134,7 @@ def src4_bad(spark, d):
  FROM (SELECT *, unnest(range(1, len(columns) + 1)) AS pos FROM headed)
  JOIN (SELECT statement_id, bool_and(cents < 100000) AS all_small FROM o GROUP BY 1) USING (statement_id)""")
 def src5(spark, d):
-    lines = V.statement_lines(spark, d)
+    lines = _lines(spark, d)
     return numeric_columns(table_rows(parse_rows(lines, detect_layout(lines))))
 
 
@@ -153,8 +159,8 @@ def src4_breaks(spark, d):
 @query("src6_header_only", LINES + " SELECT statement_id, line_no, [line] AS fields FROM lines WHERE false")
 def src6(spark, d):
     """Statements cut down to preamble and header, and empty texts, give no rows."""
-    lines = V.statement_lines(spark, d)
-    heads = lines.join(detect_header(lines).select("statement_id", "header_row"), "statement_id").filter(
+    lines = _lines(spark, d)
+    heads = lines.drop("chunk").join(detect_header(lines).select("statement_id", "header_row"), "statement_id").filter(
         "line_no <= header_row"
     ).drop("header_row")
     empty = lines_from_content(V.texts(spark, d).withColumn("content", F.lit("")), "statement_id", "content")
@@ -403,7 +409,7 @@ SELECT statement_id, header_row, header_row <> found AS header_adjusted FROM (
   SELECT statement_id, found, coalesce(max(line_no) FILTER (line_no <= found), min(line_no)) AS header_row
   FROM decided JOIN filled USING (statement_id) GROUP BY 1, 2)""")
 def hdr5(spark, d):
-    return detect_header(_all_lines(spark, d)).select("statement_id", "header_row", "header_adjusted")
+    return decide_header(_all_lines(spark, d)).select("statement_id", "header_row", "header_adjusted")
 
 
 # --- normalised rows and sinks ----------------------------------------------
@@ -442,7 +448,7 @@ def snk1(spark, d):
 def snk2(spark, d):
     """Two runs keep their own rejects; repeating a run does not double them."""
     path = work_dir(spark) + "/quarantine"
-    lines = V.statement_lines(spark, d)
+    lines = _lines(spark, d)
     rejects = bad_rows(parse_rows(lines, detect_layout(lines)))
     for run in ("run-a", "run-b", "run-a"):
         write_quarantine(rejects, path, run)

@@ -122,20 +122,24 @@ def test_open_quotes(spark):
     assert got == [True, False, False, False, True, True, False, True]
 
 
-def records_of(lines, width=1 << 18):
-    joined = L.join_quoted_lines(lines, L.detect_layout(lines), width=width)
+def records_of(lines):
+    joined = L.join_quoted_lines(lines, L.detect_layout(lines))
     return {(r["statement_id"], r["line_no"]): r["line"] for r in joined.collect()}
 
 
 def plain_records(text, header, sep):
-    """Records of a statement by reading it character by character."""
+    """Records of a statement by reading it character by character; a rest that never closes stays in lines."""
     lines, out, at = text.removesuffix("\n").split("\n"), {}, 0
     while at < len(lines):
         first, record = at, lines[at]
         while at > header and at + 1 < len(lines) and is_open(record, sep):
             at += 1
             record += "\n" + lines[at]
-        out[first], at = record, at + 1
+        if first > header and is_open(record, sep):
+            out |= dict(enumerate(lines[first:], first))
+        else:
+            out[first] = record
+        at += 1
     return out
 
 
@@ -157,7 +161,8 @@ def is_open(record, sep):
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 1 << 18])
-def test_cells_with_line_breaks(spark, width):
+def test_cells_with_line_breaks(spark, width, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_LINES", width)
     head = "Date,Amount,Text\n"
     texts = {
         "two": head + '2019-04-11,1.00,"two\n\nlines, here"\n2019-04-12,2.00,plain\n2019-04-13,3.00,"again\nbroken"\n',
@@ -169,7 +174,7 @@ def test_cells_with_line_breaks(spark, width):
         "turns": head + '2019-04-11,1.00,"a\n","b\n","c\n"\n2019-04-12,2.00,z\n',
     }
     lines = lines_of(spark, **texts)
-    got = records_of(lines, width)
+    got = records_of(lines)
     for name, text in texts.items():
         header = 2 if name == "preamble" else 0
         want = plain_records(text, header, ",")
@@ -186,22 +191,65 @@ def test_all_records_are_accounted_for(spark):
     done = normalize_statements(lines).collect()
     assert sorted(r["amount"] for r in done if r["statement_id"] == "long") == [*map(float, range(1, 10)), 20.0, 21.0]
     assert [r["description"] for r in done if r["amount"] == 20.0] == [cell]
-    assert [r["line"] for r in unreadable_rows(lines).collect()] == ['2019-04-22,1.00,"open\nlost']
+    assert sorted(r["line"] for r in unreadable_rows(lines).collect()) == ['2019-04-22,1.00,"open', "lost"]
 
 
 @pytest.mark.parametrize("width", [3, 1 << 18])
-def test_a_long_rest_that_never_closes_stays_in_lines(spark, monkeypatch, width):
+def test_a_rest_that_never_closes_stays_in_lines(spark, monkeypatch, width):
     from sparkledger.plans.statements import normalize_statements, unreadable_rows
 
-    monkeypatch.setattr(L, "OPEN_CHARS", 300)
+    monkeypatch.setattr(L, "CHUNK_LINES", width)
     rest = [f"2019-05-01,{i}.00,text" if i % 7 else "" for i in range(40)]
     text = "Date,Amount,Text\n" + "\n".join(['2019-04-11,1.00,"two\nlines"', '2019-04-12,2.00,"open', *rest]) + "\n"
     lines = lines_of(spark, long=text, short='Date,Amount,Text\n2019-04-11,7.00,x\n2019-04-12,2.00,"open\nend\n')
-    joined = L.join_quoted_lines(lines, L.detect_layout(lines), width=width).collect()
+    joined = L.join_quoted_lines(lines, L.detect_layout(lines)).collect()
     got = {r["line_no"]: (r["line"], r["opened_at"]) for r in joined if r["statement_id"] == "long"}
     want = {0: ("Date,Amount,Text", None), 1: ('2019-04-11,1.00,"two\nlines"', None), 3: ('2019-04-12,2.00,"open', 3)}
     assert got == want | {4 + i: (x, 3) for i, x in enumerate(rest)}
-    assert [(r["line_no"], r["line"], r["opened_at"]) for r in joined if r["statement_id"] == "short" and r["line_no"] > 1] == [(2, '2019-04-12,2.00,"open\nend', 2)]
+    assert sorted((r["line_no"], r["line"], r["opened_at"]) for r in joined if r["statement_id"] == "short" and r["line_no"] > 1) == [(2, '2019-04-12,2.00,"open', 2), (3, "end", 2)]
     assert sorted(r["amount"] for r in normalize_statements(lines).collect()) == [1.0, 7.0]
     bad = unreadable_rows(lines).collect()
     assert sorted(r["line_no"] for r in bad if r["statement_id"] == "long") == list(range(3, 44)) and {r["opened_at"] for r in bad} == {2, 3}
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_line_text_is_shuffled_once(spark, monkeypatch, quoted):
+    """With broadcasts off, only the layout itself moves text: behind it no exchange has a line column."""
+    from sparkledger.plans import statements as P
+    from sparkledger.session import stage_table
+
+    cell = '"two\nlines"' if quoted else "text"
+    texts = {f"s{i}": "Date,Amount,Text\n" + "\n".join(f"2019-04-{d:02d},{d}.00,{cell}" for d in range(1, 20)) + "\n" for i in range(12)}
+    lines = stage_table(lines_of(spark, **texts), "test-lines")
+    shuffled = []
+    written = L.stage_bucketed
+    monkeypatch.setattr(L, "stage_bucketed", lambda *a: shuffled.append(a[1]) or written(*a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layouts, parts = P.statement_records(lines)
+        decisions = P._decide(layouts, parts, None, None)
+        rows = P.table_rows(P.parse_parts(parts, decisions))
+        assert rows.count() == 12 * 19 and shuffled == ["lines"]
+        for df in (rows, L.detect_header(L.lay_out(P.lay_out(lines)))):
+            found = df.select(*df.columns)
+            exchanged = _exchanged_columns(found)
+            assert exchanged and not any("line" in columns for columns in exchanged)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _exchanged_columns(df):
+    """Names of the columns that each shuffle of the plan moves."""
+    plan, out, todo = df._jdf.queryExecution().sparkPlan(), [], []
+    plan = df.sparkSession._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(df._jdf.sparkSession(), plan)
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange":
+            names = node.output()
+            out.append([names.apply(i).name() for i in range(names.size())])
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
