@@ -1,4 +1,4 @@
-"""Merchants by alias, fuzzy suggestion and discovery (JON2, JON7-JON10, AGG6, KNW4)."""
+"""Merchants by alias and discovery (JON2, JON7, JON8, JON10, AGG6, KNW4)."""
 
 from __future__ import annotations
 
@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import UNCATEGORIZED
 from ..functions.text import clean_text, match_key, match_words
-
-FUZZY_MIN_SCORE = 0.8
-ROUNDING = 1e-9
+from .fuzzy import rank_similar
 
 
 # --- phonebook ------------------------------------------------------------
@@ -66,39 +64,35 @@ def find_by_alias(names: DataFrame, entities: DataFrame, name: str = "name") ->
 
 # --- alias inside a text --------------------------------------------------
 
+def alias_postings(aliases: DataFrame, words: DataFrame) -> DataFrame:
+    """``aliases`` with ``posted`` and ``offset``: the alias's word that is rarest among ``words(word)``, and its 0-based place."""
+    parts = aliases.select("alias_key", F.posexplode(F.split("alias_key", " ")).alias("offset", "word"))
+    counts = words.join(parts.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = F.min_by(F.struct(F.col("word").alias("posted"), "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset"))
+    chosen = parts.join(counts, "word", "left").groupBy("alias_key").agg(rarest.alias("r"))
+    return aliases.join(chosen.select("alias_key", "r.*"), "alias_key")
+
+
 def match_aliases(texts: DataFrame, aliases: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """(key, canonical_name, default_category, alias_key): the longest alias in a text.
 
-    Aliases match at word borders. Texts are taken apart into runs of as many
-    words as aliases have, and meet the aliases by equality: the work grows with
-    the text, not with texts times aliases, and only true hits come out. ``key``
-    identifies a text and goes with every run; without it the text itself does.
+    Aliases match at word borders. Each alias is posted under its rarest word, and a text meets
+    the postings with each of its words once: the work grows with the words of the texts, not with
+    texts times aliases or words times lengths. What has met goes back to its text and is
+    compared with the neighbours in place. ``key`` identifies a text; without it the text itself does.
     """
     key = key or text
-    lengths = sorted(r[0] for r in aliases.select("n_words").distinct().collect() if r[0])
-    words = F.col("_words")
-    runs = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-                        F.array().cast("array<int>")
-                    ),
-                    (lambda m: lambda i: F.array_join(F.slice(words, i, m), " "))(n),
-                )
-                for n in lengths
-            ],
-            F.array().cast("array<string>"),
-        )
-    )
-    grams = texts.select(F.col(key), match_words(F.col(text)).alias("_words")).select(
-        key, F.explode(F.array_distinct(runs)).alias("alias_key")
-    )
-    hits = grams.join(aliases.select("alias_key", "canonical_name", "default_category"), "alias_key")
-    best = F.max_by(
-        F.struct("canonical_name", "default_category", "alias_key"), F.struct(F.length("alias_key"), F.col("alias_key"))
-    )
-    return hits.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    worded = texts.select(F.col(key).alias("_key"), match_words(F.col(text)).alias("_words"))
+    words = worded.select("_key", F.posexplode("_words").alias("at", "word"))
+    posted = alias_postings(aliases, words.select("word"))
+    met = words.join(posted, F.col("word") == F.col("posted")).select("_key", "alias_key", "n_words", "canonical_name", "default_category", (F.col("at") - F.col("offset")).alias("start"))
+    single = met.filter("n_words = 1")
+    run = F.array_join(F.slice("_words", F.col("start") + 1, F.col("n_words")), " ")
+    longer = met.filter("n_words > 1 and start >= 0").join(worded, "_key").filter(run == F.col("alias_key"))
+    fields = ["canonical_name", "default_category", "alias_key"]
+    hits = single.select("_key", *fields).unionByName(longer.select("_key", *fields))
+    best = F.max_by(F.struct(*fields), F.struct(F.length("alias_key"), F.col("alias_key")))
+    return hits.groupBy("_key").agg(best.alias("b")).select(F.col("_key").alias(key), "b.*")
 
 
 def apply_context_rules(category: Column, rules: Column, description: Column) -> Column:
@@ -131,73 +125,6 @@ def categorize(
     )
 
 
-# --- fuzzy suggestion -----------------------------------------------------
-
-def edit_score(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-
-
-def find_similar(
-    candidates: DataFrame, names: DataFrame, candidate: str = "candidate", name: str = "name",
-    min_score: float = FUZZY_MIN_SCORE,
-) -> DataFrame:
-    """(candidate, name, score) with 1 - edits / longer length >= ``min_score``.
-
-    Exact, without comparing all pairs. At a score of s, two texts of which the
-    longer has m characters differ by at most t = (1 - s) * m edits. Cut a name
-    into t + 1 segments: t edits leave one segment whole, shifted by at most t
-    places. Names and candidates therefore meet on equal segments, and only
-    those pairs are scored.
-    """
-    shortest = F.ceil(F.col("_len") * min_score - ROUNDING)
-    longest = F.floor(F.col("_len") / min_score + ROUNDING)
-    edits = lambda m: F.floor((1 - min_score) * m + ROUNDING).cast("int")
-
-    # A name of length n may meet candidates up to n / s long.
-    sides = names.select(F.col(name).alias("name")).filter(F.length(name) > 0).distinct()
-    sides = sides.withColumn("_len", F.length("name")).withColumn("_parts", edits(longest) + 1)
-    base, extra = F.floor(F.col("_len") / F.col("_parts")).cast("int"), (F.col("_len") % F.col("_parts")).cast("int")
-    cut = lambda i: (i * base + F.least(i, extra)).cast("int")
-    size = lambda i: (base + (i < extra).cast("int")).cast("int")
-    segment = lambda i: F.struct(i.alias("part"), F.substring(F.col("name"), cut(i) + 1, size(i)).alias("piece"))
-    segments = sides.select(
-        "name", "_len", F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), segment)).alias("s")
-    ).select("name", F.col("_len").alias("name_len"), "s.part", "s.piece")
-
-    asked = candidates.select(F.col(candidate).alias("candidate")).filter(F.length(candidate) > 0).distinct()
-    asked = asked.withColumn("_len", F.length("candidate"))
-    lengths = asked.select("candidate", F.explode(F.sequence(shortest, longest)).alias("name_len"))
-    n = F.col("name_len")
-    lengths = lengths.withColumn("_parts", edits(F.floor(n / min_score + ROUNDING)) + 1).withColumn("_t", edits(F.greatest(n, F.length("candidate"))))
-    lengths = lengths.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    base, extra = F.floor(n / F.col("_parts")).cast("int"), (n % F.col("_parts")).cast("int")
-    place, width = cut_place(base, extra), (base + (F.col("part") < extra).cast("int")).cast("int")
-    lengths = lengths.withColumns({"_at": place, "_w": width})
-    first = F.greatest(F.col("_at") - F.col("_t"), F.lit(0))
-    last = F.least(F.col("_at") + F.col("_t"), F.length("candidate") - F.col("_w"))
-    pieces = F.array_distinct(
-        F.transform(
-            F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.substring(F.col("candidate"), i + 1, F.col("_w")),
-        )
-    )
-    probes = lengths.select("candidate", n.cast("int").alias("name_len"), "part", F.explode(pieces).alias("piece"))
-    pairs = probes.join(segments, ["name_len", "part", "piece"]).select("candidate", "name")
-    score = edit_score(F.col("candidate"), F.col("name"))
-    return pairs.withColumn("score", score).filter(F.col("score") >= min_score - ROUNDING).distinct()
-
-
-def cut_place(base: Column, extra: Column) -> Column:
-    return (F.col("part") * base + F.least(F.col("part"), extra)).cast("int")
-
-
-def rank_similar(similar: DataFrame, best: int | None = None) -> DataFrame:
-    """Suggestions of a candidate in order; Spark keeps ``best`` per task before it shuffles."""
-    order = Window.partitionBy("candidate").orderBy(F.col("score").desc(), "name")
-    ranked = similar.withColumn("rank", F.row_number().over(order))
-    return ranked if best is None else ranked.filter(F.col("rank") <= best)
-
-
 # --- discovery ------------------------------------------------------------
 
 def discover_entities(

@@ -6,7 +6,8 @@ import pytest
 
 from sparkledger.operators import nearest as N
 from sparkledger.operators.classify import Categorizer, TextEmbedder, label_ids, uncertain_items
-from sparkledger.operators.entities import alias_table, categorize, discover_entities, find_similar, rank_similar, register_entities
+from sparkledger.operators.entities import alias_table, categorize, discover_entities, match_aliases, register_entities
+from sparkledger.operators.fuzzy import FUZZY_MIN_SCORE, find_similar, find_similar_inside, rank_similar, text_grams
 from sparkledger.operators.knowledge import merchants_from_text, resolve_entities
 
 ENTITY = "canonical_name string, default_category string, aliases array<string>"
@@ -87,6 +88,55 @@ def test_bad_match_has_no_suggestion(spark):
     assert rank_similar(found).count() == 0
 
 
+def runs_of(text):
+    words = text.split()
+    return {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
+
+
+@pytest.mark.parametrize("score", [0.5, 0.7, 0.8, 1.0])
+def test_name_inside_a_line_equals_all_runs(spark, score):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7)))
+    names = sorted({" ".join(word() for _ in range(rnd.randint(1, 4))) for _ in range(40)})
+    bent = lambda n: "".join(c for c in n if rnd.random() > 0.08)
+    lines = sorted({" ".join([*[word() for _ in range(rnd.randint(0, 9))], bent(rnd.choice(names)), *[word() for _ in range(rnd.randint(0, 9))]]) for _ in range(60)} | set(names[:5]))
+    df = lambda rows, c: spark.createDataFrame([(r,) for r in [*rows, None, "", " ,;"]], f"{c} string")
+    rows = find_similar_inside(df(lines, "line"), df(names, "name"), min_score=score).collect()
+    got = {(r["line"], r["name"]): r["score"] for r in rows}
+    rate = lambda a, b: 1 - distance(a, b) / max(len(a), len(b))
+    want = {(t, n): max(rate(run, n) for run in runs_of(t)) for t in lines for n in names if runs_of(t)}
+    want = {pair: s for pair, s in want.items() if s >= score - 1e-9}
+    assert got.keys() == want.keys() and want and all(got[p] == pytest.approx(s) for p, s in want.items())
+    assert all(r["found"] in runs_of(r["line"]) and rate(r["found"], r["name"]) == pytest.approx(r["score"]) for r in rows)
+
+
+def test_name_inside_a_bank_line(spark):
+    df = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    lines = ["kaart, probe fietsen vann oost 4711,pas907 nr:k771wq", "kaart, probe qorumix,pas907 nr:k771wq"]
+    found = find_similar_inside(df(lines, "line"), df(["Fietsen van Oost"], "name"), min_score=0.5).collect()
+    assert [(r["line"], r["name"], r["found"]) for r in found] == [(lines[0], "Fietsen van Oost", "fietsen vann oost")]
+    assert found[0]["score"] == pytest.approx(16 / 17)
+
+
+def test_probes_grow_with_the_text(spark):
+    rnd = random.Random(1)
+    counts = {}
+    for size in (20, 100, 200):
+        texts = spark.createDataFrame([("".join(rnd.choice("abcdefgh ") for _ in range(size)),)], "t string")
+        counts[size] = text_grams(texts, "t", "t", [3, 2, 1]).count()
+    assert counts == {size: 3 * size - 3 for size in counts}
+
+
+def test_aliases_of_many_lengths(spark):
+    """Aliases of 1 to 12 words that share all their words but one."""
+    words = [f"w{i}" for i in range(12)]
+    ents = entities(spark, *[(f"E{n:02d}", "c", [" ".join(words[:n])]) for n in range(1, 13)], ("Other", "c", ["w3 w2 w1"]))
+    texts = {n: "x " + " ".join(words[:n]) + " y " + " ".join(words[: n // 2]) for n in range(1, 13)} | {50: "w0 w0 w0 w1", 51: "w3 w2 w1 w0 w2", 52: "w1 w2", 53: None, 54: ""}
+    df = spark.createDataFrame(list(texts.items()), "i int, text string")
+    got = {r["i"]: r["canonical_name"] for r in match_aliases(df, alias_table(ents), "text", "i").collect()}
+    assert got == {n: f"E{n:02d}" for n in range(1, 13)} | {50: "E02", 51: "Other"}
+
+
 def merchants_and_queries(spark, n, dim, seed):
     rnd = np.random.default_rng(seed)
     centers = rnd.normal(size=(6, dim))
