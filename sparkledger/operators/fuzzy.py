@@ -2,8 +2,8 @@
 
 A score is 1 - edits / the longer length. Names and texts meet on q-grams: every edit spoils at
 most q of a name's grams (an insertion q - 1), so of a name's grams a known number can be lost, D. Of any
-D + 1 of them one is in the text as it is. Each name is posted under its D + 1 grams that are
-rarest in the texts; a text is probed with each of its grams once, so probes grow with its
+D + 1 of them one is in the text as it is. Each name is posted under its D + 1 grams that
+fewest names have; a text is probed with each of its grams once, so probes grow with its
 length. Where a text has the gram says where the name lies, give or take the edits; only
 that is scored. The results equal comparing all pairs.
 """
@@ -19,6 +19,8 @@ FUZZY_MIN_SCORE = 0.8
 ROUNDING = 1e-9
 #: Gram lengths, the best first. A name takes the first by which it has more grams than can be lost.
 GRAMS = (3, 2, 1)
+#: Places of a text that share a cell.
+CELL = 4
 
 
 def edit_score(a: Column, b: Column) -> Column:
@@ -62,32 +64,47 @@ def _named(names: DataFrame, name: str, min_score: float) -> DataFrame:
     return sides.select("name", "n", q.alias("q"), lost.alias("lost"))
 
 
-def meet(texts: DataFrame, key: str, text: str, names: DataFrame, min_score: float) -> DataFrame:
-    """(key, name, n, shift): the text has one of the name's grams ``shift`` places further on than the name has it.
+def _sizes(names: DataFrame) -> list[int]:
+    """The gram lengths that occur, at most len(GRAMS)."""
+    return sorted(r["q"] for r in names.select("q").distinct().collect()) or [1]
+
+
+def name_postings(names: DataFrame) -> DataFrame:
+    """(name, n, q, lost, gram, place): each name of ``_named`` under its ``lost`` + 1 grams that fewest names have."""
+    places = F.expr("transform(sequence(0, n - q), i -> struct(substring(name, i + 1, q) as gram, i as place))")
+    own = names.select("name", "n", "q", "lost", F.explode(places).alias("g")).select("name", "n", "q", "lost", "g.gram", "g.place")
+    shared = own.groupBy("q", "gram").agg(F.count("*").alias("held"))
+    rarest = Window.partitionBy("name").orderBy("held", "place")
+    ranked = own.join(shared, ["q", "gram"]).withColumn("_r", F.row_number().over(rarest))
+    return ranked.filter(F.col("_r") <= F.col("lost") + 1).drop("_r", "held")
 
-    ``names`` comes from ``_named``.
-    """
-    grams = text_grams(texts, key, text, list(GRAMS))
-    one_size = F.expr("transform(sequence(0, n - q), i -> struct(substring(name, i + 1, q) as gram, i as place))")
-    own = names.select("name", "n", "q", "lost", F.explode(one_size).alias("g")).select("name", "n", "q", "lost", "g.gram", "g.place")
-    met = grams.join(own.select("q", "gram").distinct(), ["q", "gram"])
-    counts = met.groupBy("q", "gram").agg(F.count("*").alias("held"))
-    rarest = Window.partitionBy("name").orderBy(F.coalesce("held", F.lit(0)), "place")
-    posted = own.join(counts, ["q", "gram"], "left").withColumn("_r", F.row_number().over(rarest)).filter(F.col("_r") <= F.col("lost") + 1)
-    posted = posted.filter("held is not null").select("name", "n", "q", "gram", "place")
-    return grams.join(posted, ["q", "gram"]).select(key, "name", "n", (F.col("at") - F.col("place")).alias("shift"))
+
+def _size_class(length: Column) -> Column:
+    return F.floor(2 * F.log2(length)).cast("int")
 
 
 def find_similar(
     candidates: DataFrame, names: DataFrame, candidate: str = "candidate", name: str = "name",
     min_score: float = FUZZY_MIN_SCORE,
 ) -> DataFrame:
-    """(candidate, name, score) of whole texts with a score of ``min_score`` or more (above 0)."""
+    """(candidate, name, score) of whole texts with a score of ``min_score`` or more (above 0).
+
+    A gram lies in a name's and a text's place alike, give or take the edits, and their lengths
+    are alike: postings say in which cells of places and classes of lengths a text may have it.
+    """
     asked = candidates.select(F.col(candidate).alias("candidate")).filter(F.length(candidate) > 0).distinct()
-    met = meet(asked, "candidate", "candidate", _named(names, name, min_score), min_score)
+    sides = _named(names, name, min_score)
+    grams = text_grams(asked, "candidate", "candidate", _sizes(sides))
+    most = _longest(F.col("n"), min_score)
+    least = F.ceil(F.col("n") * min_score - ROUNDING).cast("int")
+    cell = lambda place: F.floor(F.greatest(place, F.lit(0)) / CELL).cast("int")
+    moved = _edits(most, min_score)
+    posted = name_postings(sides).withColumn("cell", F.explode(F.sequence(cell(F.col("place") - moved), cell(F.col("place") + moved))))
+    posted = posted.withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(most))))
     m, n = F.length("candidate"), F.col("n")
     longer = F.greatest(m, n)
-    near = met.filter((F.least(m, n) >= longer * min_score - ROUNDING) & (F.abs("shift") <= _edits(longer, min_score)))
+    met = grams.withColumns({"cell": cell(F.col("at")), "size": _size_class(m)}).join(posted, ["q", "gram", "cell", "size"])
+    near = met.filter((F.least(m, n) >= longer * min_score - ROUNDING) & (F.abs(F.col("at") - F.col("place")) <= _edits(longer, min_score)))
     pairs = near.select("candidate", "name").distinct()
     score = edit_score(F.col("candidate"), F.col("name"))
     return pairs.withColumn("score", score).filter(F.col("score") >= min_score - ROUNDING)
@@ -106,18 +123,23 @@ def find_similar_inside(
     texts = texts.withColumn("_text", match_key(F.col("line"))).filter("_text <> ''").withColumn("_id", F.md5("line"))
     spelled = names.select(F.col(name).alias("name"), match_key(F.col(name)).alias("_name")).filter("_name <> ''").distinct()
     asked = _named(spelled, "_name", min_score)
-    met = meet(texts, "_id", "_text", asked, min_score)
+    grams = text_grams(texts, "_id", "_text", _sizes(asked))
+    met = grams.join(name_postings(asked), ["q", "gram"])
     # Hits near each other are one stretch of n places.
-    hits = met.select("_id", F.col("name").alias("_name"), "n", F.floor(F.col("shift") / F.col("n")).cast("int").alias("part")).distinct()
+    part = F.floor((F.col("at") - F.col("place")) / F.col("n")).cast("int")
+    hits = met.select("_id", F.col("name").alias("_name"), "n", "q", "lost", part.alias("part")).distinct()
     n, most = F.col("n"), _longest(F.col("n"), min_score)
     reach = _edits(most, min_score)
     low = F.greatest(F.col("part") * n - reach, F.lit(0))
     high = (F.col("part") + 1) * n + reach
     stretch = hits.join(texts, "_id").select(
-        "_id", "_name", "n", low.alias("low"), most.alias("most"), (high - low).alias("starts"),
+        "_id", "_name", "n", "q", "lost", low.alias("low"), most.alias("most"), (high - low).alias("starts"),
         # One place before, to see whether a word starts; as many behind as the longest run needs.
         F.substring(F.concat(F.lit(" "), "_text", F.lit(" ")), low + 1, high - low + most + 2).alias("_part"),
     )
+    # A run holds all of the name's grams but those that can be lost; a stretch with fewer has none.
+    held = F.expr("size(filter(sequence(0, n - q), i -> contains(_part, substring(_name, i + 1, q))))")
+    stretch = stretch.filter(held >= n - F.col("q") + 1 - F.col("lost"))
     places = F.expr("filter(sequence(0, length(_part) - 1), i -> substring(_part, i + 1, 1) = ' ')")
     stretch = stretch.withColumn("_spaces", places).filter(F.size("_spaces") > 1)
     shortest = F.ceil(n * min_score - ROUNDING).cast("int")

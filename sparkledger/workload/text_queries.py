@@ -189,15 +189,15 @@ def srt3(spark, d):
     return rank_similar(_similar(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-# Brute force: every run of up to four of a line's words; a name of two words scores 0.8 with no longer one.
+# Brute force: every run of up to four of a line's words; a name of two words scores 0.9 with no longer one.
 INSIDE_SQL = f"""
 plain AS (SELECT conv_id, turn, translate({V.match_key_sql('text')}, '{ACCENTED}', '{PLAIN}') AS k FROM conversations),
 names AS (SELECT DISTINCT array_to_string(string_split(translate({V.match_key_sql('text')}, '{ACCENTED}', '{PLAIN}'), ' ')[1:2], ' ') AS name FROM benchmark),
 lines AS (SELECT DISTINCT k AS line, string_split(k, ' ') AS w FROM plain WHERE k <> ''),
 runs AS (SELECT line, i, array_to_string(w[i:i + m - 1], ' ') AS found FROM (SELECT line, w, unnest(range(1, len(w) + 1)) AS i FROM lines), range(1, 5) t(m) WHERE i + m - 1 <= len(w)),
 pairs AS (SELECT line, i, found, name, 1 - levenshtein(found, name) / greatest(length(found), length(name)) AS score FROM runs JOIN names
-  ON name <> '' AND abs(length(found) - length(name)) <= 0.2 * greatest(length(found), length(name)) + 1e-9
-  WHERE levenshtein(found, name) <= 0.2 * greatest(length(found), length(name)) + 1e-9),
+  ON name <> '' AND abs(length(found) - length(name)) <= 0.1 * greatest(length(found), length(name)) + 1e-9
+  WHERE levenshtein(found, name) <= 0.1 * greatest(length(found), length(name)) + 1e-9),
 best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY line, name ORDER BY score DESC, i, length(found)) = 1)"""
 
 
@@ -206,7 +206,7 @@ def jon9_inside(spark, d):
     """The first two words of each benchmark item as a name, inside every conversation turn."""
     plain = lambda t: table(spark, d, t).select(F.translate(match_key(F.col("text")), ACCENTED, PLAIN).alias("k")).filter("k <> ''")
     names = plain("benchmark").select(F.substring_index("k", " ", 2).alias("name")).distinct()
-    return find_similar_inside(plain("conversations").withColumnRenamed("k", "line"), names)
+    return find_similar_inside(plain("conversations").withColumnRenamed("k", "line"), names, min_score=0.9)
 
 
 @query("jon10_context_rules", """
