@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
@@ -43,11 +45,22 @@ def _feature_stages(dim: int) -> list:
 class TextEmbedder:
     """Cleaned text to a unit vector of hashed character runs.
 
-    Another encoder takes its place by offering the same ``transform``.
+    Another encoder takes its place by offering the same ``transform``, ``text`` and
+    ``version``. Vectors of different versions are not comparable: merchant rows carry theirs.
     """
 
     def __init__(self, model: PipelineModel, text: str):
         self.model, self.text = model, text
+        # The weights are as many numbers as a vector has.
+        weights = model.stages[1].idf.toArray()
+        self.version = hashlib.md5(f"{GRAM}:{len(weights)}:".encode() + weights.tobytes()).hexdigest()
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str, text: str = "cleaned_description") -> TextEmbedder:
+        return cls(PipelineModel.load(path), text)
 
     @classmethod
     def fit(cls, texts: DataFrame, text: str = "cleaned_description", dim: int = VECTOR_DIM) -> TextEmbedder:
@@ -59,6 +72,23 @@ class TextEmbedder:
         return out.withColumn(vector, vector_to_array("_features")).drop("_grams", "_counts", "_weights", "_features")
 
 
+class LetterEncoder:
+    """Cleaned text to a unit vector of its counts of the letters A to Z: nothing to learn, nothing hashed."""
+
+    ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    version = "letters-1"
+
+    def __init__(self, text: str = "cleaned_description"):
+        self.text = text
+
+    def transform(self, df: DataFrame, vector: str = "vector") -> DataFrame:
+        text = F.upper(F.coalesce(F.col(self.text), F.lit("")))
+        counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in self.ALPHABET])
+        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        unit = let(counts, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
+        return df.withColumn(vector, unit)
+
+
 # --- labels ---------------------------------------------------------------
 
 def label_ids(labelled: DataFrame, label: str = "label") -> DataFrame:

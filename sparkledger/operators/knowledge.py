@@ -21,6 +21,19 @@ MERCHANTS_SCHEMA = T.StructType(
 )
 
 
+#: Merchants whose vectors say which encoder made them.
+ENCODED_SCHEMA = T.StructType([*MERCHANTS_SCHEMA.fields, T.StructField("encoder", T.StringType())])
+
+
+def check_encoder(merchants: DataFrame, embedder: TextEmbedder) -> None:
+    """An error where a merchant's vector was made by another encoder than ``embedder``."""
+    if "encoder" in merchants.columns:
+        others = merchants.filter(F.col("vector_embedding").isNotNull() & ~F.col("encoder").eqNullSafe(F.lit(embedder.version)))
+        found = others.select("canonical_name", "encoder").head(1)
+        if found:
+            raise ValueError(f"the vector of {found[0][0]!r} was made by encoder {found[0][1]}, not by {embedder.version}")
+
+
 def upsert_merchants(
     merchants: DataFrame, changes: DataFrame, dim: int = VECTOR_DIM, version: str | None = None
 ) -> DataFrame:
@@ -34,9 +47,10 @@ def merchants_from_text(additions: DataFrame, embedder: TextEmbedder) -> DataFra
     name where there is none, is cleaned and turned into the vector."""
     described = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name"))
     text = additions.withColumn(embedder.text, clean_text(described))
-    return embedder.transform(text, "vector_embedding").drop(embedder.text).withColumnsRenamed(
+    rows = embedder.transform(text, "vector_embedding").drop(embedder.text).withColumnsRenamed(
         {"name": "canonical_name", "category": "default_category"}
     ).drop("description")
+    return rows.withColumn("encoder", F.lit(embedder.version))
 
 
 def complete_feedback(labels: DataFrame) -> DataFrame:
@@ -53,14 +67,6 @@ def update_knowledge(
     return upsert_merchants(merchants, merchants_from_text(rows, embedder), dim, version)
 
 
-def all_labels(*rounds: DataFrame) -> DataFrame:
-    """Training rows of every round, so that early categories are not forgotten."""
-    out = rounds[0].select("description", "category")
-    for labels in rounds[1:]:
-        out = out.unionByName(labels.select("description", "category"))
-    return out
-
-
 def distinct_categories(merchants: DataFrame) -> DataFrame:
     return merchants.select("default_category").filter("default_category is not null").distinct()
 
@@ -70,6 +76,7 @@ def resolve_texts(
     threshold: float = RESOLVE_THRESHOLD, text: str = "cleaned_description",
 ) -> DataFrame:
     """(text, canonical_name, default_category, similarity) of distinct cleaned texts."""
+    check_encoder(merchants, embedder)
     # The length comes out of the aggregate: a filter on the cleaned text would
     # be pushed below it and clean every text a second time.
     asked = texts.groupBy(F.col(text).alias(embedder.text)).agg(F.max(F.length(text)).alias("_size"))

@@ -111,7 +111,7 @@ def still_unlabelled(state: DataFrame, feedback: DataFrame) -> DataFrame:
 def review_round(
     state: DataFrame, feedback: DataFrame, categorizer, threshold: float = REVIEW_THRESHOLD
 ) -> DataFrame:
-    """State after a round: labels first, then confident predictions for the rest."""
+    """State after labels first, then a given classifier's confident predictions for the rest."""
     labelled = apply_feedback(state, feedback)
     rest = labelled.filter(F.col("status") == NEEDS_REVIEW)
     return accept_predictions(labelled, categorizer.predict_texts(rest, threshold))

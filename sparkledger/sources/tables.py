@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,37 +27,93 @@ MAPPING_TYPE = T.StructType(
 MAPPINGS_SCHEMA = T.StructType([T.StructField("header_hash", T.StringType()), T.StructField("mapping", MAPPING_TYPE)])
 
 
+class CommitLog:
+    """Numbered commits of a folder, each the name of a subfolder that is written in full.
+
+    A number is taken by creating its file exclusively, so of two writers with the same base
+    one wins and the other sees that it must start again from the newer one. A commit may carry a
+    ``tag``, such as a micro-batch: what has been committed under it is not committed again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark._jvm
+        folder = self._path("")
+        self._fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._path("")):
+            return []
+        names = [status.getPath().getName() for status in self._fs.listStatus(self._path(""))]
+        return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("commit="))
+
+    def entry(self, version: int) -> tuple[str, str]:
+        """(subfolder, tag) of a commit."""
+        stream = self._fs.open(self._path(f"commit={version}"))
+        try:
+            folder, _, tag = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").partition("\n")
+        finally:
+            stream.close()
+        return folder, tag
+
+    def tagged(self, tag: str) -> int | None:
+        """The version committed under ``tag``."""
+        return next((v for v in reversed(self.versions()) if self.entry(v)[1] == tag), None)
+
+    def commit(self, version: int, folder: str, tag: str = "") -> bool:
+        """Take ``version`` for ``folder``; false if another writer has it."""
+        try:
+            stream = self._fs.create(self._path(f"commit={version}"), False)
+        except Py4JJavaError:
+            if self._fs.exists(self._path(f"commit={version}")):
+                return False
+            raise
+        stream.write(bytearray(f"{folder}\n{tag}".encode()))
+        stream.close()
+        return True
+
+
 class VersionedTable:
-    """A table whose every write makes a new ``version=N`` folder.
+    """A small table of which every write is a new version; readers take the newest commit.
 
-    Readers take the newest version that has been committed, so a job that dies
-    half-way leaves the last good version in place.
+    A job that dies half-way leaves the last good version in place. ``update`` makes the
+    new version from the newest; when another writer commits in between, it is made again from theirs, so
+    no change is lost.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.log = CommitLog(spark, path)
 
     def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [status.getPath() for status in fs.listStatus(folder)]
-        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n.split("=", 1)[1]) for n in done if n.startswith("version="))
+        return self.log.versions()
 
-    def read(self) -> DataFrame:
+    def read(self, version: int | None = None) -> DataFrame:
         versions = self.versions()
-        if not versions:
+        if version is None and not versions:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={versions[-1]}")
+        folder, _ = self.log.entry(versions[-1] if version is None else version)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
 
     def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
+        """A version that does not build on the one before."""
+        return self.update(lambda _: df)
+
+    def update(self, change: Callable[[DataFrame], DataFrame], tag: str = "") -> int:
+        """Commit ``change`` of the newest version; under a ``tag`` only once."""
         columns = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        return version
+        while True:
+            done = self.log.tagged(tag) if tag else None
+            if done is not None:
+                return done
+            base = (self.versions() or [0])[-1]
+            folder = f"data-{uuid.uuid4().hex}"
+            change(self.read(base) if base else self.read()).select(*columns).write.parquet(f"{self.path}/{folder}")
+            if self.log.commit(base + 1, folder, tag):
+                return base + 1
 
 
 def upsert(
@@ -86,4 +144,4 @@ def read_mappings(table: VersionedTable) -> DataFrame:
 def save_mappings(table: VersionedTable, mapped: DataFrame) -> int:
     """Insert or replace the mappings of all header hashes in ``mapped``."""
     fresh = mapped.groupBy("header_hash").agg(F.max("mapping").alias("mapping"))
-    return table.write(upsert(table.read(), fresh, "header_hash"))
+    return table.update(lambda stored: upsert(stored, fresh, "header_hash"))

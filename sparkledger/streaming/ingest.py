@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..operators.ledger import generate_splits
 from ..operators.quality import split_quarantine
 from ..operators.review import PROCESSED
 from ..plans.statements import normalize_statements, route_statements
+from ..session import stage_table
 from ..sources.statements import number_file_lines
 from ..sources.tables import VersionedTable
 
@@ -34,6 +36,26 @@ def first_copies(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.min("statement_id").alias("statement_id"))
 
 
+class Learner(NamedTuple):
+    """Merchants that grow while files come in.
+
+    ``feedback`` gives what users have said by now, or None; ``learn`` makes the new merchants of the stored ones
+    and the feedback, an upsert by name; ``resolve`` gives (cleaned_description, canonical_name,
+    default_category, similarity) of transactions by the merchants.
+    """
+
+    merchants: VersionedTable
+    feedback: Callable[[], DataFrame | None]
+    learn: Callable[[DataFrame, DataFrame], DataFrame]
+    resolve: Callable[[DataFrame, DataFrame], DataFrame]
+
+    def take_in(self, batch: str) -> None:
+        """Commit the merchants once for each batch; a batch that is run again finds its commit."""
+        said = self.feedback()
+        if said is not None:
+            self.merchants.update(lambda stored: self.learn(stored, said), tag=batch)
+
+
 def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files:
@@ -49,13 +71,20 @@ class StatementIngest:
     """New files to transactions, ledger, quarantine and review queue.
 
     Every micro-batch writes its own ``batch`` folder, named by the query's id and
-    the batch number, so a repeated batch replaces itself. A file whose content was taken in before is left out. The
-    resolver reads the newest merchants when the batch starts.
+    the batch number, so a repeated batch replaces itself. A file whose content was taken in before is left out
+    and listed in ``skipped`` with its fingerprint. A ``Learner`` upserts merchants from what users have said when a
+    batch starts and resolves by the version committed for that batch, so a batch run again gives the same.
     """
 
-    def __init__(self, spark: SparkSession, out: str, resolver: Resolver, mappings: VersionedTable | None = None):
+    def __init__(self, spark: SparkSession, out: str, resolver: Resolver | Learner, mappings: VersionedTable | None = None):
         self.spark, self.out, self.resolver, self.mappings = spark, out.rstrip("/"), resolver, mappings
 
+    def _resolved(self, transactions: DataFrame, batch: str) -> DataFrame:
+        if not isinstance(self.resolver, Learner):
+            return self.resolver(transactions)
+        merchants = self.resolver.merchants
+        return self.resolver.resolve(transactions, merchants.read(merchants.log.tagged(batch)))
+
     def _seen(self, batch: str) -> DataFrame | None:
         if not self._exists("statements"):
             return None
@@ -76,15 +105,19 @@ class StatementIngest:
         query_id = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = f"{query_id}-{batch_id}"
         lines = number_file_lines(pieces)
-        fresh = first_copies(statement_fingerprints(lines))
+        if isinstance(self.resolver, Learner):
+            self.resolver.take_in(batch)
+        prints = stage_table(statement_fingerprints(lines), "fingerprints")
+        fresh = first_copies(prints)
         seen = self._seen(batch)
         if seen is not None:
             fresh = fresh.join(seen, "fingerprint", "left_anti")
         fresh = self._write(fresh, "statements", batch)
+        self._write(prints.join(fresh, "statement_id", "left_anti"), "skipped", batch)
         lines = lines.join(fresh.select("statement_id"), "statement_id", "left_semi")
         cached = self.mappings.read() if self.mappings else None
         transactions = self._write(normalize_statements(lines, cached), "transactions", batch)
-        state = self._write(route_statements(transactions, self.resolver(transactions)), "state", batch)
+        state = self._write(route_statements(transactions, self._resolved(transactions, batch)), "state", batch)
         ledger, rejected = split_quarantine(generate_splits(state.filter(F.col("status") == PROCESSED)))
         self._write(ledger, "ledger", batch)
         self._write(rejected, "quarantine", batch)
@@ -95,7 +128,7 @@ def ingest_statements(
     incoming: str,
     out: str,
     checkpoint: str,
-    resolver: Resolver,
+    resolver: Resolver | Learner,
     mappings: VersionedTable | None = None,
     max_files: int | None = None,
 ) -> StreamingQuery:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..functions.vectors import best_class
-from ..operators.classify import Categorizer, TextEmbedder, char_grams, class_centroids, label_ids, predict_by_centroid, uncertain_items
+from ..operators.classify import Categorizer, LetterEncoder, TextEmbedder, char_grams, class_centroids, label_ids, predict_by_centroid, uncertain_items
 from ..operators.knowledge import (
     complete_feedback,
     distinct_categories,
@@ -18,6 +18,7 @@ from ..operators.knowledge import (
 from ..operators.nearest import nearest_merchant, split_by_dimension
 from . import views as V
 from .registry import query, table
+from .statement_queries import work_dir
 
 DIM = V.VECTOR_SIZE
 
@@ -66,6 +67,27 @@ def fea1(spark, d):
     return TextEmbedder.fit(docs).transform(docs).select("doc_id", grams.alias("n_grams"), F.round(norm, 6).alias("norm"))
 
 
+@query("udf3_encoder", f"""
+WITH c AS (SELECT doc_id, {V.clean_sql('text')} AS clean FROM documents),
+counts AS (SELECT doc_id, clean, [(length(clean) - length(replace(clean, chr((65 + i)::int), '')))::double FOR i IN range(26)] AS v FROM c),
+norms AS (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM counts)
+SELECT doc_id, CASE WHEN n > 0 THEN [round(x / n, 6) FOR x IN v] ELSE v END AS letters, true AS same_when_loaded, clean <> '' AS other_when_refit FROM norms""")
+def udf3(spark, d):
+    """Two encoders for one text: letter counts in value; hashed runs as saved and loaded, and against a model fitted on other texts."""
+    docs = table(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned_description"))
+    path = work_dir(spark) + "/encoder"
+    hashed = TextEmbedder.fit(docs)
+    hashed.save(path)
+    refit = TextEmbedder.fit(table(spark, d, "benchmark").select(clean_text(F.col("text")).alias("cleaned_description")))
+    rows = LetterEncoder().transform(docs, "letters")
+    for name, encoder in {"own": hashed, "loaded": TextEmbedder.load(path), "refit": refit}.items():
+        rows = encoder.transform(rows, name)
+    return rows.select(
+        "doc_id", F.transform("letters", lambda x: F.round(x, 6)).alias("letters"), (F.col("own") == F.col("loaded")).alias("same_when_loaded"),
+        (F.col("own") != F.col("refit")).alias("other_when_refit"),
+    )
+
+
 @query("fea2_dimension_check", """
 SELECT vec_id, vec_id % 9 <> 0 AS right_dimension FROM embeddings""")
 def fea2(spark, d):

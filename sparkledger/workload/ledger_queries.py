@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_text
 from ..functions.trades import is_investment, trade_details
-from ..operators.entities import alias_table
+from ..operators.entities import alias_table, match_aliases, register_entities
 from ..operators.ledger import (
     balances,
     category_as_account,
@@ -17,7 +18,8 @@ from ..operators.ledger import (
 )
 from ..operators.quality import collect_errors, count_failures, mark_quarantine, split_quarantine
 from ..plans.statements import statements_to_ledger
-from ..streaming.ingest import ingest_statements
+from ..sources.tables import VersionedTable
+from ..streaming.ingest import Learner, ingest_statements
 from . import views as V
 from .registry import query, table
 from .statement_queries import work_dir
@@ -223,3 +225,42 @@ def str1(spark, d):
     return ledger.select(
         F.regexp_extract("statement_id", r"statement_id=([^/]+)", 1).alias("statement_id"), "date", "description", "account", "amount"
     )
+
+
+@query("str1_learned_between_batches", "WITH " + V.ORDERS_BY_FILE_SQL + """
+, signed AS (SELECT statement_id, (o_orderkey // 16) % 3 AS delivery, strftime(o_orderdate, '%Y-%m-%d') AS date, description,
+   CASE WHEN outgoing THEN -o_totalprice ELSE o_totalprice END AS amount, o_orderpriority FROM o),
+hit AS (SELECT * FROM signed WHERE (o_orderpriority = '1-URGENT' AND delivery >= 1) OR (o_orderpriority = '2-HIGH' AND delivery = 2))
+SELECT statement_id, date, description, 'Assets:Current:Bank' AS account, amount, 2::bigint AS commits FROM hit
+UNION ALL SELECT statement_id, date, description, CASE WHEN delivery = 1 OR o_orderpriority = '2-HIGH' THEN 'Expenses:' || o_orderpriority ELSE 'Expenses:Rush' END, -amount, 2 FROM hit""")
+def str1_learned(spark, d):
+    """Three deliveries; after each one users name a merchant, which resolves the rows of the later ones.
+
+    After the second delivery the first merchant's category changes too: an upsert by name.
+    """
+    base = work_dir(spark)
+    lines = V.statement_lines(spark, d)
+    part = F.substring("statement_id", 2, 9).cast("long") % 3
+    schema = "canonical_name string, default_category string, alias string, version bigint"
+    said = []
+    phonebook = VersionedTable(spark, f"{base}/phonebook", T.StructType.fromDDL("canonical_name string, default_category string, aliases array<string>"))
+
+    def resolve(transactions, merchants):
+        texts = transactions.select("description").distinct()
+        found = match_aliases(texts, alias_table(merchants), "description")
+        return found.select(
+            clean_text(F.col("description")).alias("cleaned_description"), "canonical_name", "default_category", F.lit(1.0).alias("similarity")
+        ).distinct()
+
+    learner = Learner(phonebook, lambda: spark.createDataFrame(said, schema) if said else None, register_entities, resolve)
+    words = {0: [], 1: [("1-URGENT", "Expenses:1-URGENT", "urgent", 1)], 2: [("1-URGENT", "Expenses:Rush", "urgent", 2), ("2-HIGH", "Expenses:2-HIGH", "high", 1)]}
+    for delivery, named in words.items():
+        said += named
+        rows = lines.filter(part == delivery).repartition("statement_id").sortWithinPartitions("statement_id", "line_no")
+        rows.select("statement_id", "line").write.partitionBy("statement_id").text(f"{base}/incoming/{delivery}")
+        ingest_statements(spark, f"{base}/incoming", f"{base}/out", f"{base}/checkpoint", learner).awaitTermination()
+    ledger = _day(spark.read.parquet(f"{base}/out/ledger"))
+    return ledger.select(
+        F.regexp_extract("statement_id", r"statement_id=([^/]+)", 1).alias("statement_id"), "date", "description", "account", "amount",
+        F.lit(len(phonebook.versions())).cast("bigint").alias("commits"),
+    )

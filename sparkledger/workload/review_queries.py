@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..operators.classify import TextEmbedder
+from ..operators.learning import Knowledge, learning_round
 from ..operators.ledger import generate_splits
 from ..operators.review import (
     accept_predictions,
@@ -17,15 +19,16 @@ from ..operators.review import (
     merge_processed,
     next_batch,
     review_items,
-    review_round,
     route,
     still_unlabelled,
     suggest,
     summarize,
     uncategorized,
 )
+from ..session import stage_table
 from . import views as V
 from .registry import query, table
+from .statement_queries import work_dir
 
 # Events in review: purchases and sign-ups are known merchants, clicks are
 # labelled by the user, errors are predicted, views stay open.
@@ -54,15 +57,6 @@ def _predictions(spark, d):
     return texts.select("cleaned_description", F.when(sure, "Auto").alias("category"), F.when(sure, 0.9).otherwise(0.4).alias("confidence"))
 
 
-class _FixedModel:
-    """Stands in for a trained classifier: five-letter texts are certain."""
-
-    def predict_texts(self, rows, threshold):
-        texts = rows.select("cleaned_description").distinct()
-        sure = F.length("cleaned_description") == 5
-        return texts.select("cleaned_description", F.when(sure, "Auto").alias("category"), F.when(sure, 0.9).otherwise(0.4).alias("confidence"))
-
-
 STATE_SQL = """
 state AS (SELECT user_id AS statement_id, event_id AS line_no, event_type, value AS amount,
   CASE WHEN event_type IN ('purchase', 'signup') THEN upper(event_type[1:1]) || event_type[2:] END AS entity,
@@ -86,22 +80,84 @@ def rvw2(spark, d):
     return suggest(_state(spark, d), _predictions(spark, d)).select(*KEEP)
 
 
-ROUND_SQL = STATE_SQL + """
-, round AS (SELECT statement_id, line_no, event_type, amount,
-  CASE event_type WHEN 'click' THEN 'Click Shop' ELSE entity END AS entity,
-  CASE event_type WHEN 'click' THEN 'Cat:CLICK' WHEN 'error' THEN 'Auto' ELSE account END AS account,
-  CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 0.9 ELSE confidence END AS confidence,
-  CASE event_type WHEN 'click' THEN 'manual_user' WHEN 'error' THEN 'setfit_v2' ELSE method END AS method,
-  CASE WHEN event_type = 'view' THEN 'needs_review' ELSE 'processed' END AS status FROM state)"""
+# Rounds that learn: a text is an event type and one of 26 words. Users label the words A to M of
+# some types; the words N to Z of these types are left to the model that the round trains.
+WORDED_SQL = """
+worded AS (SELECT event_id // 3 AS statement_id, event_id AS line_no, event_type, value AS amount,
+  event_type IN ('purchase', 'signup') AS known, user_id % 26 < 13 AS said FROM events)"""
+
+
+def _outcome_sql(learned: str) -> str:
+    """Rows after rounds that taught the types of ``learned`` (a condition)."""
+    return f"""SELECT statement_id, line_no, amount,
+  CASE WHEN known THEN 'Known' WHEN {learned} AND said THEN 'Shop ' || event_type END AS entity,
+  CASE WHEN known THEN 'Cat:Known' WHEN {learned} THEN 'Cat:' || event_type END AS account,
+  CASE WHEN known THEN 'vector_search' WHEN {learned} AND said THEN 'manual_user' WHEN {learned} THEN 'setfit_v2' END AS method,
+  CASE WHEN known OR {learned} THEN 'processed' ELSE 'needs_review' END AS status FROM worded"""
+
+
+TAUGHT = "event_type IN ('click', 'error')"
+ROUND_SQL = WORDED_SQL + f", round AS ({_outcome_sql(TAUGHT)})"
+ROUND_KEEP = ["line_no", "entity", "account", "method", "status"]
+
+
+def _worded_state(spark, d):
+    word = F.repeat(F.chr(65 + F.col("user_id") % 26), F.lit(3))
+    rows = table(spark, d, "events").select(
+        F.floor(F.col("event_id") / 3).alias("statement_id"), F.col("event_id").alias("line_no"), F.col("event_id").cast("string").alias("transaction_id"),
+        F.col("ts").cast("timestamp").alias("date"), F.col("value").alias("amount"), F.col("event_type").alias("description"),
+        F.concat(F.upper("event_type"), F.lit(" "), word).alias("cleaned_description"),
+    )
+    known = rows.filter("description in ('purchase', 'signup')").select("cleaned_description").distinct()
+    lit = lambda v, n: F.lit(v).alias(n)
+    return route(rows, known.select("*", lit("Known", "canonical_name"), lit("Cat:Known", "default_category"), lit(0.9, "similarity")))
+
+
+def _said(spark, d, *types):
+    """What users say of some types: each text of a word from A to M once."""
+    rows = table(spark, d, "events").filter(F.col("event_type").isin(*types) & (F.col("user_id") % 26 < 13))
+    word = F.repeat(F.chr(97 + F.col("user_id") % 26), F.lit(3))
+    return rows.select(
+        F.concat("event_type", F.lit(" "), word).alias("raw"), F.concat(F.lit("Shop "), "event_type").alias("name"), F.concat(F.lit("Cat:"), "event_type").alias("category")
+    ).distinct()
+
+
+def _knowledge(spark, d):
+    texts = _worded_state(spark, d).select("cleaned_description").distinct()
+    return Knowledge.at(spark, work_dir(spark) + "/knowledge", TextEmbedder.fit(texts))
 
 
 def _round(spark, d):
-    return review_round(_state(spark, d), _feedback(spark, d), _FixedModel())
+    return learning_round(_worded_state(spark, d), _said(spark, d, "click", "error"), _knowledge(spark, d))
 
 
-@query("rvw3_review_round", f"WITH {ROUND_SQL} SELECT line_no, entity, account, confidence, method, status FROM round")
+@query("rvw3_review_round", f"WITH {WORDED_SQL} {_outcome_sql('NOT known')}")
 def rvw3(spark, d):
-    return _round(spark, d).select(*KEEP)
+    """Two rounds, even events first. Labels of the first count for the texts of the second,
+    and its model still knows what the first was taught."""
+    knowledge, state = _knowledge(spark, d), _worded_state(spark, d)
+    first = learning_round(state.filter("line_no % 2 = 0"), _said(spark, d, "click", "error"), knowledge, tag="round-1")
+    both = stage_table(first, "round-1").unionByName(state.filter("line_no % 2 = 1"))
+    done = learning_round(both, _said(spark, d, "view"), knowledge, tag="round-2")
+    return done.select("statement_id", "amount", *ROUND_KEEP)
+
+
+@query("rvw3_first_round", f"WITH {ROUND_SQL} SELECT line_no, entity, account, method, status FROM round")
+def rvw3_first(spark, d):
+    """One round with two types taught: the third stays open, the model is not sure of it."""
+    return _round(spark, d).select(*ROUND_KEEP)
+
+
+@query("knw3_learned_merchants", f"""WITH {WORDED_SQL} SELECT 'Shop ' || event_type AS canonical_name, 'Cat:' || event_type AS default_category,
+ 2::bigint AS versions FROM worded WHERE NOT known AND said GROUP BY event_type""")
+def knw3_learned(spark, d):
+    """Merchants after two rounds, the second one run twice."""
+    knowledge = _knowledge(spark, d)
+    knowledge.learn(_said(spark, d, "click"), "round-1")
+    for _ in range(2):
+        knowledge.learn(_said(spark, d, "error", "view"), "round-2")
+    versions = F.lit(len(knowledge.merchants.versions())).cast("bigint").alias("versions")
+    return knowledge.merchants.read().select("canonical_name", "default_category", versions)
 
 
 @query("rvw4_completion", f"WITH {ROUND_SQL} SELECT statement_id, bool_and(status = 'processed') AS completed FROM round GROUP BY 1")

@@ -215,7 +215,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (
         F.when(flag == "A", F.concat_ws(" ", F.lit("Buy"), quantity, ticker, F.lit("@"), price))
         .when(flag == "R", F.concat_ws(" ", F.lit("Verkoop"), quantity, ticker, F.lit("@"), F.replace(price, F.lit("."), F.lit(","))))
-        .when(status == "O", F.concat(F.lit("Supermarket Purchase "), price))
+        .when(status == "O", F.concat(F.lit("Greengrocer Order "), price))
         .otherwise(F.lit("Salary"))
     )
     sign = F.when(flag == "R", 1.0).when((flag == "N") & (status == "F"), 1.0).otherwise(-1.0)
@@ -236,7 +236,7 @@ trades AS (
          l_quantity::bigint::varchar AS q, l_extendedprice::decimal(18,2)::varchar AS p, l_returnflag, l_linestatus,
          CASE l_returnflag WHEN 'A' THEN 'Buy ' || q || ' ' || ticker || ' @ ' || p
               WHEN 'R' THEN 'Verkoop ' || q || ' ' || ticker || ' @ ' || replace(p, '.', ',')
-              ELSE CASE WHEN l_linestatus = 'O' THEN 'Supermarket Purchase ' || p ELSE 'Salary' END END AS description,
+              ELSE CASE WHEN l_linestatus = 'O' THEN 'Greengrocer Order ' || p ELSE 'Salary' END END AS description,
          l_extendedprice * CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'F') THEN 1.0 ELSE -1.0 END AS amount,
          CASE WHEN l_linestatus = 'O' THEN 'Expenses:Goods' END AS account
   FROM lineitem)"""

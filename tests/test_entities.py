@@ -177,35 +177,35 @@ def test_one_long_alias_makes_one_branch(spark):
 
 def test_unit_vectors_and_dimension(spark):
     basis = lambda i: [1.0 if k == i else 0.0 for k in range(384)]
-    ms = spark.createDataFrame([("Target", "Shopping", basis(0)), ("Shell", "Transport", basis(1)), ("Bad", "x", [1.0])], "canonical_name string, default_category string, vector_embedding array<double>")
+    ms = spark.createDataFrame([("Radhaus", "Shopping", basis(0)), ("Lind", "Transport", basis(1)), ("Bad", "x", [1.0])], "canonical_name string, default_category string, vector_embedding array<double>")
     near = [0.99 if k == 1 else 0.01 if k == 2 else 0.0 for k in range(384)]
     qs = spark.createDataFrame([(0, basis(0)), (1, near), (2, basis(5)), (3, [0.0] * 384), (4, [1.0])], "query_id int, vector array<double>")
     for limit in (1 << 20, 0):
         found = {r["query_id"]: r["canonical_name"] for r in N.nearest_merchant(qs, ms, 384, 0.9, broadcast_bytes=limit).collect()}
-        assert found == {0: "Target", 1: "Shell"}
+        assert found == {0: "Radhaus", 1: "Lind"}
 
 
 def test_resolve_by_text_vector(spark):
-    seeds = spark.createDataFrame([("Amazon", "Shopping", "AMAZON.COM SEATTLE"), ("Shell", "Fuel", None)], "name string, category string, description string")
-    embedder = TextEmbedder.fit(spark.createDataFrame([("AMAZON COM SEATTLE",), ("SHELL",), ("NEW SHOP",), ("COFFEE BAR",)], "cleaned_description string"))
-    rows = spark.createDataFrame([("visa amazon.com seattle",), ("NEW UNKNOWN SHOP",), ("",), ("Shell",)], "Description string")
+    seeds = spark.createDataFrame([("Radhaus", "Shopping", "RADHAUS.DE LINZ"), ("Lind", "Fuel", None)], "name string, category string, description string")
+    embedder = TextEmbedder.fit(spark.createDataFrame([("RADHAUS DE LINZ",), ("LIND",), ("GREENGROCER",), ("TEA ROOM",)], "cleaned_description string"))
+    rows = spark.createDataFrame([("visa radhaus.de linz",), ("CORNER GREENGROCER",), ("",), ("Lind",)], "Description string")
     found = resolve_entities(rows, "Description", merchants_from_text(seeds, embedder), embedder)
     assert {r["Description"]: r["canonical_name"] for r in found.collect()} == {
-        "visa amazon.com seattle": "Amazon", "NEW UNKNOWN SHOP": None, "": None, "Shell": "Shell",
+        "visa radhaus.de linz": "Radhaus", "CORNER GREENGROCER": None, "": None, "Lind": "Lind",
     }
-    norm = embedder.transform(spark.createDataFrame([("COFFEE BAR",)], "cleaned_description string")).first()["vector"]
+    norm = embedder.transform(spark.createDataFrame([("TEA ROOM",)], "cleaned_description string")).first()["vector"]
     assert len(norm) == 384 and math.isclose(sum(x * x for x in norm), 1.0, rel_tol=1e-9)
 
 
 def test_classifier(spark):
     labelled = spark.createDataFrame(
-        [("NEW UNKNOWN SHOP", "General"), ("CORNER SHOP", "General"), ("SHELL GAS STATION", "Transport"), ("GAS PUMP", "Transport")],
+        [("CORNER GREENGROCER", "General"), ("OLD GREENGROCER", "General"), ("LIND FUEL DEPOT", "Transport"), ("FUEL PUMP", "Transport")],
         "cleaned_description string, category string",
     )
     model = Categorizer.train(labelled)
-    texts = spark.createDataFrame([("NEW UNKNOWN SHOP LONDON",), ("SHELL GAS",), ("",)], "cleaned_description string")
+    texts = spark.createDataFrame([("CORNER GREENGROCER GRAZ",), ("LIND FUEL",), ("",)], "cleaned_description string")
     got = {r["cleaned_description"]: r for r in model.predict(texts, 0.0).collect()}
-    assert got["NEW UNKNOWN SHOP LONDON"]["category"] == "General" and got["SHELL GAS"]["category"] == "Transport"
+    assert got["CORNER GREENGROCER GRAZ"]["category"] == "General" and got["LIND FUEL"]["category"] == "Transport"
     strict = model.predict(texts, 1.01)
     assert uncertain_items(strict).count() == 3 and strict.first()["confidence"] > 0
     assert not Categorizer.train(labelled.limit(0)).trained

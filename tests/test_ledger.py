@@ -13,17 +13,17 @@ def splits(spark, description, amount, account=None):
 
 
 def test_standard_pair(spark):
-    s = splits(spark, "Grocery Store", -50.0, "Expenses:Groceries")
-    assert s["Assets:Current:Bank"]["amount"] == -50.0 and s["Expenses:Groceries"]["amount"] == 50.0
+    s = splits(spark, "Corner Greengrocer", -42.0, "Expenses:Greens")
+    assert s["Assets:Current:Bank"]["amount"] == -42.0 and s["Expenses:Greens"]["amount"] == 42.0
     assert "Expenses:Uncategorized" in splits(spark, None, -1.0)
 
 
 @pytest.mark.parametrize(
     "text, ticker, units, shown",
     [
-        ("Buy 10 AAPL @ 150.00", "AAPL", 10.0, "Buy 10.0 AAPL @ 150.0"),
-        ("Koop 5 IBM @ 100.00", "IBM", 5.0, "Koop 5.0 IBM @ 100.0"),
-        ("Verkoop 5 IBM @ 100,50", "IBM", -5.0, "Verkoop 5.0 IBM @ 100.5"),
+        ("Buy 12 LNDX @ 31.50", "LNDX", 12.0, "Buy 12.0 LNDX @ 31.5"),
+        ("Koop 7 RDH @ 18.00", "RDH", 7.0, "Koop 7.0 RDH @ 18.0"),
+        ("Verkoop 7 RDH @ 19,50", "RDH", -7.0, "Verkoop 7.0 RDH @ 19.5"),
         ("aankoop 3 abc @ 1", "ABC", 3.0, "aankoop 3.0 abc @ 1.0"),
         ("SOLD 20000000 XY @ 12345678.25", "XY", -20000000.0, "SOLD 20000000.0 XY @ 12345678.25"),
     ],
@@ -35,7 +35,7 @@ def test_trades(spark, text, ticker, units, shown):
     assert s[ticker]["account"] == f"Assets:Investments:{ticker}"
 
 
-@pytest.mark.parametrize("text", ["Supermarket Purchase", "Buy 10 AAPL @ 1.234,56", "Buy ten AAPL @ 5"])
+@pytest.mark.parametrize("text", ["Greengrocer Order", "Buy 12 LNDX @ 1.234,56", "Buy twelve LNDX @ 5"])
 def test_unreadable_trade_gets_a_standard_pair(spark, text):
     assert set(splits(spark, text, -5.0)) == {"Assets:Current:Bank", "Expenses:Uncategorized"}
 
