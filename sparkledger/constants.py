@@ -87,3 +87,30 @@ REVIEW_THRESHOLD = 0.8
 REVIEW_BATCH = 5
 DISCOVERY_BATCH = 50
 VECTOR_DIM = 384
+
+# Month names and weekdays of the five header languages (English, Dutch, German, French,
+# Spanish) without accents, each month's names in the order of the year; and words that stand beside them.
+MONTH_NAMES = [
+    "jan january januari januar jaenner janner janvier janv enero ene",
+    "feb february februari februar fevrier fevr fev febrero",
+    "mar march maart mrt marz maerz mars marzo",
+    "apr april avril avr abril abr",
+    "may mei mai mayo",
+    "jun june juni juin junio",
+    "jul july juli juillet juil julio",
+    "aug august augustus aout agosto ago",
+    "sep sept september septembre septiembre",
+    "oct october oktober okt octobre octubre",
+    "nov november novembre noviembre",
+    "dec december dezember dez decembre diciembre dic",
+]
+WEEKDAY_NAMES = [
+    "mon monday maandag ma montag mo lundi lun lunes",
+    "tue tues tuesday dinsdag di dienstag mardi mar martes",
+    "wed wednesday woensdag wo mittwoch mi mercredi mer miercoles mie",
+    "thu thur thurs thursday donderdag do donnerstag jeudi jeu jueves jue",
+    "fri friday vrijdag vr freitag fr vendredi ven viernes vie",
+    "sat saturday zaterdag za samstag sonnabend sa samedi sam sabado sab",
+    "sun sunday zondag zo sonntag so dimanche dim domingo dom",
+]
+DATE_FILLERS = "st nd rd th of the de del den der le el er am"

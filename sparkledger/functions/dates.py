@@ -1,10 +1,17 @@
-"""Date text: candidate formats and parsing (NRM8)."""
+"""Date text: spelled dates, candidate formats and parsing (NRM8).
+
+Dates with a month's name are read by their tokens: the name, two numbers and words that may stand
+beside them; what the numbers are follows from their place and length. They and ISO
+week dates become plain year-month-day text. Only dates of numbers can be ambiguous, and
+these are settled for a whole statement by its formats.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import DATE_FILLERS, MONTH_NAMES, WEEKDAY_NAMES
 from .binding import let
 
 # (pattern, shapes a text may have to be parsed with it; 9 stands for a digit).
@@ -22,16 +29,60 @@ PAIRED_FORMATS = [
     for sep in (".", "/", "-")
     for first, second in (("d", "M"), ("M", "d"))
 ]
-NAMED_FORMATS = [
-    ("d MMM yyyy", ["9 AAA 9999", "99 AAA 9999"]),
-    ("MMM d, yyyy", ["AAA 9, 9999", "AAA 99, 9999"]),
-]
-DATE_FORMATS = [*ISO_FORMATS, *PAIRED_FORMATS, *NAMED_FORMATS]
+DATE_FORMATS = [*ISO_FORMATS, *PAIRED_FORMATS]
+
+#: A longer text is no date.
+LONGEST_DATE = 64
+ACCENTED, PLAIN = "äáàâãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"
+ISO_WEEK = r"^([0-9]{4})-?[Ww]([0-9]{2})(?:-?([1-7]))?$"
+
+
+def _iso_week_day(text: Column) -> Column:
+    """The day of '2024-W05-3'; a week stands for its Monday. Null for a week that the year does not have."""
+    piece = lambda i: F.regexp_extract(text, ISO_WEEK, i)
+    fourth = F.make_date(piece(1).try_cast("int"), F.lit(1), F.lit(4))  # lies in week 1
+    week, day = piece(2).try_cast("int"), F.coalesce(piece(3).try_cast("int"), F.lit(1))
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    found = F.date_add(monday, (week - 1) * 7 + day - 1)
+    return F.when(text.rlike(ISO_WEEK) & (F.weekofyear(found) == week), found)
+
+
+def _named_day(text: Column) -> Column:
+    """The day of '5 March 2024', 'Mi., 15. März 24' or 'marzo 5, 2024'; null where it has other words or numbers."""
+    months = F.create_map(*[F.lit(x) for i, names in enumerate(MONTH_NAMES, 1) for name in names.split() for x in (name, i)])
+    beside = F.array(*[F.lit(w) for names in (*WEEKDAY_NAMES, DATE_FILLERS) for w in names.split()])
+    folded = F.translate(F.lower(text), ACCENTED, PLAIN)
+
+    def read(tokens: Column) -> Column:
+        words, numbers = (F.filter(tokens, lambda t: t.rlike(f"^[{kind}]")) for kind in ("a-z", "0-9"))
+        named = F.filter(words, lambda w: F.map_contains_key(months, w))
+        known = F.forall(words, lambda w: F.map_contains_key(months, w) | F.array_contains(beside, w))
+        # 'mar' is a weekday too: of two names the last is the month.
+        month = F.element_at(months, F.try_element_at(named, F.lit(-1)))
+        first, second = F.get(numbers, 0), F.get(numbers, 1)
+        year_first = F.length(first) == 4
+        year, day = F.when(year_first, first).otherwise(second), F.when(year_first, second).otherwise(first)
+        sizes = F.length(year).isin(2, 4) & (F.length(day) <= 2)
+        whole = F.when(F.length(year) == 2, year.try_cast("int") + 2000).otherwise(year.try_cast("int"))
+        text_ = F.format_string("%04d-%02d-%02d", whole, month, day.try_cast("int"))
+        fine = known & (F.size(named) >= 1) & (F.size(numbers) == 2) & sizes & (F.size(words) <= 4)
+        return F.when(fine, F.try_to_date(text_, "yyyy-MM-dd"))
+
+    return let(F.regexp_extract_all(folded, F.lit("[a-z]+|[0-9]+"), F.lit(0)), read)
+
+
+def _spelled(text: Column) -> Column:
+    """Text whose date has letters with the date as year, month and day; its clock time stays."""
+    day = day_part(text)
+    found = let(day, lambda d: F.when(d.rlike(r"\p{L}"), F.coalesce(_iso_week_day(d), _named_day(d))))
+    return F.coalesce(F.concat(F.date_format(found, "yyyy-MM-dd"), F.substr(text, F.length(day) + 1)), text)
 
 
 def date_text(c: Column) -> Column:
-    """Text of a date cell; '20240831.0' (a number read as float) loses '.0'."""
-    return F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
+    """Text of a date cell; '20240831.0' (a number read as float) loses '.0', names and ISO weeks become numbers."""
+    plain = F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
+    spelled = lambda t: F.when((F.length(t) <= LONGEST_DATE) & t.rlike(r"\p{L}"), _spelled(t)).otherwise(t)
+    return let(plain, spelled)
 
 
 # A clock time behind any date: 1 the date, 2 hours, 3 minutes, 4 seconds with
@@ -65,9 +116,8 @@ def _clock(text: Column) -> Column:
 
 
 def date_shape(text: Column) -> Column:
-    """The date, without clock time, with 9 for digits and AAA for a month's short name."""
-    digits = F.translate(day_part(text), "0123456789", "9999999999")
-    return F.regexp_replace(digits, "(?<![A-Za-z])[A-Za-z]{3}(?![A-Za-z])", "AAA")
+    """The date, without clock time, with 9 for digits."""
+    return F.translate(day_part(text), "0123456789", "9999999999")
 
 
 def _parsed(text: Column, shape: Column, fmt: str, shapes: list[str]) -> Column:

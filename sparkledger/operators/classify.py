@@ -10,12 +10,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PREDICT_THRESHOLD, VECTOR_DIM
 from ..functions.binding import let
 from ..functions.vectors import best_class
+from ..session import stage_table
 from .nearest import nearest_merchant
 
 GRAM = 3
@@ -92,10 +93,18 @@ class LetterEncoder:
 # --- labels ---------------------------------------------------------------
 
 def label_ids(labelled: DataFrame, label: str = "label") -> DataFrame:
-    """(label, label_id): distinct labels numbered in sorted order from 0."""
-    indexer = StringIndexer(inputCol=label, outputCol="_id", stringOrderType="alphabetAsc", handleInvalid="skip")
-    names = labelled.select(F.col(label).cast("string").alias(label)).distinct()
-    return indexer.fit(names).transform(names).select(label, F.col("_id").cast("bigint").alias("label_id"))
+    """(label, label_id): distinct labels numbered in sorted order from 0.
+
+    Labels are dealt to key ranges, numbered in their range and moved on by the counts of the ranges
+    before; only these counts, one row a range, meet in order. Null is no label.
+    """
+    names = labelled.select(F.col(label).cast("string").alias(label)).filter(F.col(label).isNotNull()).distinct()
+    # Ranges are drawn from a sample, so they are written once.
+    ranged = stage_table(names.repartitionByRange(label).withColumn("_range", F.spark_partition_id()), "label-ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    numbered = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(label)))
+    return numbered.join(shifts, "_range").select(label, (F.col("_shift") + F.col("_place") - 1).cast("bigint").alias("label_id"))
 
 
 # --- logistic regression --------------------------------------------------

@@ -1,16 +1,18 @@
 """Nearest merchant by cosine similarity (JON1, SRT1, FEA2).
 
-Exact in both forms. A merchant table of checked size goes to every task and
-each batch of queries is compared by one matrix product. A larger one is cut
-into tiles of near vectors; a query meets only tiles that, by the triangle
-inequality on angles, may hold a vector within the threshold, and queries of
-one tile are salted over many tasks.
+Exact, in one form for any size. Merchants are cut into blocks of checked size; one block at a time
+goes to every task, where each batch of queries meets it in place. Queries are not shuffled:
+what a block gives is (query, best) of its hits, and the bests of all blocks are compared at the end.
+
+Within a block most products are never finished. The first part of the components gives a
+partial product, and the norms of the remaining components bound what the rest can add; only
+pairs that may reach the threshold, or a query's best so far, are multiplied in full.
 """
 
 from __future__ import annotations
 
-import math
 import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,18 @@ from pyspark.sql import functions as F
 
 from ..constants import RESOLVE_THRESHOLD
 from ..functions.vectors import has_dimension
+from ..session import shared_dir, stage_table
 
 # The functions below run inside tasks. They travel with the job, so executors
 # need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BROADCAST_BYTES = 64 << 20
-TILE_ROWS = 1024
-MAX_PIVOTS = 512
-SALT_ROWS = 20_000
-SLACK = 1e-6
+#: Merchants that are compared at once, and the part of the components that is multiplied first.
+STRIP = 1024
+HEAD = 0.25
+#: Room for rounding in the bound; similarities count to nine digits.
+SLACK = 1e-8
 
 
 def split_by_dimension(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -45,22 +49,34 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return matrix / np.where(norm > 0, norm, np.nan)
 
 
-def _best(queries: np.ndarray, merchants: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row number of the best merchant (-1 for none) and its similarity.
+def best_in_block(queries: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row number of each query's best vector in ``block`` (-1 for none), its similarity, and how many pairs were multiplied in full.
 
-    Merchants come sorted by name, so the first of equal similarities, to 9
-    digits, is the smallest name in every form of the join.
+    Both sides are unit vectors (nan: none). Merchants come sorted by name, so the first of equal
+    similarities, to 9 digits, is the smallest name.
     """
-    place = np.full(len(queries), -1)
-    best = np.full(len(queries), -np.inf)
-    for start in range(0, len(queries), 2048):
-        sims = np.round(queries[start : start + 2048] @ merchants.T, 9)
-        sims = np.where(np.isnan(sims) | (sims < threshold), -np.inf, sims)
+    head = max(1, int(block.shape[1] * HEAD))
+    queries, block = np.nan_to_num(queries), np.nan_to_num(block)
+    rest_q, rest_m = (np.linalg.norm(x[:, head:], axis=1) for x in (queries, block))
+    usable_q, usable_m = queries.any(axis=1), block.any(axis=1)
+    place, best, full = np.full(len(queries), -1), np.full(len(queries), -np.inf), 0
+    for low in range(0, len(block), STRIP):
+        strip = slice(low, low + STRIP)
+        floor = np.maximum(best, threshold) - SLACK
+        may = queries[:, :head] @ block[strip, :head].T + np.outer(rest_q, rest_m[strip]) >= floor[:, None]
+        may &= usable_q[:, None] & usable_m[strip]
+        rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(rows):
+            continue
+        full += len(rows) * len(columns)
+        sims = np.round(queries[rows] @ block[strip][columns].T, 9)
+        sims[~may[np.ix_(rows, columns)] | (sims < threshold)] = -np.inf
         at = sims.argmax(axis=1)
         top = sims[np.arange(len(at)), at]
-        place[start : start + 2048] = np.where(np.isneginf(top), -1, at)
-        best[start : start + 2048] = top
-    return place, best
+        better = top > best[rows]
+        best[rows[better]] = top[better]
+        place[rows[better]] = low + columns[at[better]]
+    return place, best, full
 
 
 def nearest_merchant(
@@ -72,23 +88,37 @@ def nearest_merchant(
     vector: str = "vector",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(key, canonical_name, default_category, similarity) of queries with a hit.
+    """(key, canonical_name, default_category, similarity) of queries with a hit, one row for each query row.
 
     ``merchants`` is (canonical_name, default_category, vector_embedding). Rows
-    of another dimension take no part; ``split_by_dimension`` reports them.
+    of another dimension take no part; ``split_by_dimension`` reports them. ``broadcast_bytes``
+    bounds a block of merchants, names and categories included.
     """
     asked, _ = split_by_dimension(queries.select(key, vector), vector, dim)
-    known, _ = split_by_dimension(merchants, "vector_embedding", dim)
-    limit = max(1, broadcast_bytes // (8 * dim + 64))
-    small = known.limit(limit + 1).count() <= limit
-    join = _nearest_broadcast if small else _nearest_tiled
-    return join(asked, known, threshold, key, vector)
-
-
-def _nearest_broadcast(queries, merchants, threshold, key, vector):
+    known, _ = split_by_dimension(merchants.select("canonical_name", "default_category", "vector_embedding"), "vector_embedding", dim)
+    texts = F.length("canonical_name") + F.coalesce(F.length("default_category"), F.lit(0))
+    rows, size = known.agg(F.count(F.lit(1)), F.sum(texts.cast("bigint") + 8 * dim + 32)).first()
+    blocks = min(rows, -(-(size or 0) // max(1, broadcast_bytes))) or 1
+    if blocks == 1:
+        return _compare(asked, known, threshold, key, vector)
+    asked = stage_table(asked.withColumn("_row", F.monotonically_increasing_id()), "questions")
+    part = F.pmod(F.xxhash64("canonical_name", "vector_embedding"), F.lit(blocks)).cast("int")
+    known = stage_table(known.withColumn("_block", part).repartition("_block"), "merchants")
+    hits = f"{shared_dir(queries.sparkSession)}/stage/hits-{uuid.uuid4().hex}"
+    for block in range(blocks):
+        found = _compare(asked, known.filter(F.col("_block") == block).drop("_block"), threshold, key, vector, "_row")
+        found.write.mode("append").parquet(hits)
+        schema = found.schema
+    best = F.min_by(F.struct(key, "canonical_name", "default_category", "similarity"), F.struct(-F.col("similarity"), F.col("canonical_name")))
+    return queries.sparkSession.read.schema(schema).parquet(hits).groupBy("_row").agg(best.alias("b")).select("b.*")
+
+
+def _compare(queries: DataFrame, merchants: DataFrame, threshold: float, key: str, vector: str, *more: str) -> DataFrame:
+    """(key, canonical_name, default_category, similarity, more) of queries with a hit among a block of merchants, which goes to every task."""
     table = merchants.toPandas().sort_values("canonical_name", ignore_index=True)
-    key_type = queries.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, canonical_name string, default_category string, similarity double"
+    kept = [key, *more]
+    kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in kept)
+    schema = f"{kinds}, canonical_name string, default_category string, similarity double"
     if table.empty:
         return queries.sparkSession.createDataFrame([], schema)
     shared = queries.sparkSession.sparkContext.broadcast(
@@ -99,96 +129,10 @@ def _nearest_broadcast(queries, merchants, threshold, key, vector):
         names, categories, matrix = shared.value
         for batch in batches:
             if len(batch):
-                place, best = _best(_unit(batch[vector]), matrix, threshold)
+                place, best, _ = best_in_block(_unit(batch[vector]), matrix, threshold)
                 hit = place >= 0
-                yield pd.DataFrame(
-                    {
-                        key: batch[key].to_numpy()[hit],
-                        "canonical_name": names[place[hit]],
-                        "default_category": categories[place[hit]],
-                        "similarity": best[hit],
-                    }
-                )
+                out = {c: batch[c].to_numpy()[hit] for c in kept}
+                found = {"canonical_name": names[place[hit]], "default_category": categories[place[hit]], "similarity": best[hit]}
+                yield pd.DataFrame({**out, **found})
 
     return queries.mapInPandas(compare, schema)
-
-
-def _nearest_tiled(queries, merchants, threshold, key, vector, tile_rows=TILE_ROWS, max_pivots=MAX_PIVOTS):
-    spark = queries.sparkSession
-    # Equal rows are asked once and answered as often as they occur.
-    queries = queries.groupBy(key, vector).agg(F.count(F.lit(1)).alias("_n")).withColumn("_id", F.xxhash64(key, vector))
-    # At most max_pivots vectors, spread evenly by the hash of their names.
-    wanted = max(1, min(max_pivots, math.isqrt(merchants.count())))
-    picked = merchants.orderBy(F.xxhash64("canonical_name"), "canonical_name").limit(wanted).toPandas()
-    pivots = spark.sparkContext.broadcast(_unit(picked["vector_embedding"]))
-
-    @F.pandas_udf("struct<pivot:int,angle:double>")
-    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
-        sims = np.nan_to_num(_unit(vectors) @ pivots.value.T, nan=-1.0)
-        at = sims.argmax(axis=1)
-        return pd.DataFrame({"pivot": at, "angle": np.arccos(np.clip(sims[np.arange(len(at)), at], -1, 1))})
-
-    placed = merchants.withColumn("_p", nearest_pivot("vector_embedding")).select(
-        "*", F.col("_p.pivot").alias("pivot"), F.col("_p.angle").alias("angle")
-    )
-    # One row per pivot: the angle of its farthest member, and its tiles.
-    cells = placed.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
-    radii = {r["pivot"]: (r["radius"], math.ceil(r["n"] / tile_rows)) for r in cells.collect()}
-    reach = spark.sparkContext.broadcast(
-        (
-            np.array([radii.get(p, (-np.inf, 0))[0] for p in range(wanted)]),
-            [radii.get(p, (0.0, 0))[1] for p in range(wanted)],
-        )
-    )
-    limit_angle = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
-
-    @F.pandas_udf("array<struct<pivot:int,part:int>>")
-    def tiles_in_reach(vectors: pd.Series) -> pd.Series:
-        radius, parts = reach.value
-        angles = np.arccos(np.clip(np.nan_to_num(_unit(vectors) @ pivots.value.T, nan=-1.0), -1, 1))
-        near = angles <= limit_angle + radius
-        return pd.Series([[(int(p), t) for p in np.flatnonzero(row) for t in range(parts[p])] for row in near])
-
-    part_count = F.element_at(F.array(*[F.lit(max(1, n)) for n in reach.value[1]]), F.col("pivot") + 1)
-    tiles = placed.withColumn("part", F.pmod(F.xxhash64("canonical_name"), part_count).cast("int")).select(
-        "pivot", "part", "canonical_name", "default_category", "vector_embedding"
-    )
-    visits = queries.select(key, "_id", "_n", vector, F.explode(tiles_in_reach(vector)).alias("_t")).select(
-        key, "_id", "_n", vector, "_t.pivot", "_t.part"
-    )
-    # Tiles asked by very many queries are repeated, their queries dealt out.
-    salts = visits.groupBy("pivot", "part").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    dealt = visits.join(salts, ["pivot", "part"]).withColumn(
-        "salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int")
-    ).drop("salts")
-    copies = tiles.join(salts, ["pivot", "part"]).select(
-        *tiles.columns, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    )
-    key_type = queries.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, _id bigint, _n bigint, canonical_name string, default_category string, similarity double"
-
-    def compare(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], "_id": [], "_n": [], "canonical_name": [], "default_category": [], "similarity": []})
-        if not len(asked) or not len(members):
-            return empty
-        members = members.sort_values("canonical_name", ignore_index=True)
-        place, best = _best(_unit(asked[vector]), _unit(members["vector_embedding"]), threshold)
-        hit = place >= 0
-        return pd.DataFrame(
-            {
-                key: asked[key].to_numpy()[hit],
-                "_id": asked["_id"].to_numpy()[hit],
-                "_n": asked["_n"].to_numpy()[hit],
-                "canonical_name": members["canonical_name"].to_numpy()[place[hit]],
-                "default_category": members["default_category"].to_numpy()[place[hit]],
-                "similarity": best[hit],
-            }
-        )
-
-    on = ["pivot", "part", "salt"]
-    per_tile = dealt.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(compare, schema)
-    # Highest similarity, then the smallest name: the winner of every tile is
-    # compared again, so the answer does not depend on the tiles.
-    best = F.min_by(F.struct("canonical_name", "default_category", "similarity"), F.struct(-F.col("similarity"), F.col("canonical_name")))
-    found = per_tile.groupBy(key, "_id", "_n").agg(best.alias("b"))
-    return found.select(key, "b.*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")

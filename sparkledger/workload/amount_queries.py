@@ -138,6 +138,34 @@ def nrm8(spark, d):
     return texts.join(best, "statement_id").select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd").alias("date"))
 
 
+@query("nrm8_spelled_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")
+def nrm8_spelled(spark, d):
+    """Order dates with weekday and month spelled in five languages, or as ISO weeks, read back."""
+    o = table(spark, d, "orders")
+    months = [
+        "January February March April May June July August September October November December",
+        "januari februari maart april mei juni juli augustus september oktober november december",
+        "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+        "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+        "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    ]
+    days = ["Monday Tuesday Wednesday Thursday Friday Saturday Sunday", "ma di wo do vr za zo", "Mo Di Mi Do Fr Sa So", "lun mar mer jeu ven sam dim", "lunes martes miércoles jueves viernes sábado domingo"]
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names.split()]), at)
+    day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
+    month, weekday = [pick(m, F.month("o_orderdate")) for m in months], [pick(w, F.weekday("o_orderdate") + 1) for w in days]
+    week = F.concat(F.expr("extract(YEAROFWEEK FROM o_orderdate)").cast("string"), F.lit("-W"), F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0"), F.lit("-"), (F.weekday("o_orderdate") + 1).cast("string"))
+    written = [
+        F.concat(weekday[0], F.lit(", "), month[0], F.lit(" "), day, F.lit(", "), year),
+        F.concat(weekday[1], F.lit(" "), day, F.lit(" "), month[1], F.lit(" "), year),
+        F.concat(weekday[2], F.lit("., "), day, F.lit(". "), month[2], F.lit(" "), year),
+        F.concat(weekday[3], F.lit(". "), day, F.lit(" "), month[3], F.lit(" "), year),
+        F.concat(weekday[4], F.lit(", "), day, F.lit(" de "), month[4], F.lit(" de "), year, F.lit(" 10:30")),
+        week,
+    ]
+    rows = o.select("o_orderkey", F.element_at(F.array(*written), (F.col("o_custkey") % 6).cast("int") + 1).alias("v"))
+    return rows.select("o_orderkey", F.substring(date_text(F.col("v")), 1, 10).alias("date"))
+
+
 ID_SQL = """
 , ids AS (SELECT *, sha256(strftime(date, '%Y-%m-%d %H:%M:%S') || amount::decimal(18,2)::varchar || description) AS h FROM txn)"""
 UUID_SQL = "h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]"

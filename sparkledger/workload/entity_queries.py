@@ -44,7 +44,7 @@ def jon1(spark, d):
 @query("jon1_nearest_merchant_tiles", NEAREST_SQL.format(threshold=0.85))
 def jon1_tiles(spark, d):
     """The form for merchant tables too large to send to every task."""
-    return _nearest(spark, d, 0.85, broadcast_bytes=0)
+    return _nearest(spark, d, 0.85, broadcast_bytes=100_000)
 
 
 @query("srt1_top_similarity", NEAREST_SQL.format(threshold=-1.0))

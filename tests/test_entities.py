@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkledger.operators import nearest as N
 from sparkledger.operators.classify import Categorizer, TextEmbedder, label_ids, uncertain_items
@@ -149,24 +150,39 @@ def merchants_and_queries(spark, n, dim, seed):
     return ms, qs, unit(q) @ unit(m).T
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.9])
+@pytest.mark.parametrize("threshold", [-1.0, 0.5, 0.9])
 def test_nearest_equals_brute_force(spark, monkeypatch, threshold):
     ms, qs, sims = merchants_and_queries(spark, 300, 16, 3)
     want = {i: (f"m{row.argmax():05d}", round(row.max(), 6)) for i, row in enumerate(sims) if row.max() >= threshold}
     read = lambda df: {r["query_id"]: (r["canonical_name"], round(r["similarity"], 6)) for r in df.collect()}
     assert read(N.nearest_merchant(qs, ms, 16, threshold)) == want
-    monkeypatch.setattr(N, "SALT_ROWS", 20)
-    tiled = N._nearest_tiled(qs, ms, threshold, "query_id", "vector", tile_rows=16, max_pivots=8)
-    assert read(tiled) == want
+    monkeypatch.setattr(N, "STRIP", 32)
+    assert read(N.nearest_merchant(qs, ms, 16, threshold, broadcast_bytes=12_000)) == want
 
 
-def test_both_nearest_forms_answer_repeated_keys_alike(spark):
+def test_one_block_and_many_answer_repeated_keys_alike(spark):
     ms, qs, _ = merchants_and_queries(spark, 60, 8, 5)
     other = qs.filter("query_id = 4").selectExpr("3 as query_id", "vector")
     asked = qs.unionByName(qs.filter("query_id < 5")).unionByName(other)
     rows = lambda df: sorted((r["query_id"], r["canonical_name"], round(r["similarity"], 6)) for r in df.collect())
-    tiled = N._nearest_tiled(asked, ms, 0.2, "query_id", "vector", tile_rows=16, max_pivots=4)
-    assert rows(tiled) == rows(N.nearest_merchant(asked, ms, 8, 0.2))
+    assert rows(N.nearest_merchant(asked, ms, 8, 0.2, broadcast_bytes=2000)) == rows(N.nearest_merchant(asked, ms, 8, 0.2))
+
+
+def test_most_products_are_not_finished():
+    """Vectors without clusters: norms of the remaining components rule nearly all pairs out."""
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries, merchants = unit(rng.normal(size=(400, 384))), unit(rng.normal(size=(5000, 384)))
+    merchants[17] = queries[3]
+    merchants[40] = unit(queries[5:6] + 0.3 * merchants[40])[0]
+    place, best, full = N.best_in_block(queries, merchants, 0.85)
+    assert full < 0.01 * 400 * 5000
+    assert {i: p for i, p in enumerate(place) if p >= 0} == {3: 17, 5: 40} and best[3] == 1.0
+    sims = np.round(queries @ merchants.T, 9)
+    place, best, _ = N.best_in_block(queries, merchants, -1.0)
+    assert (place == sims.argmax(axis=1)).all() and (best == sims.max(axis=1)).all()
+    none, _, _ = N.best_in_block(np.full((2, 384), np.nan), merchants, -1.0)
+    assert (none == -1).all()
 
 
 def test_one_long_alias_makes_one_branch(spark):
@@ -211,3 +227,12 @@ def test_classifier(spark):
     assert not Categorizer.train(labelled.limit(0)).trained
     assert Categorizer().predict(texts).first()["confidence"] == 0.0
     assert {r[0]: r[1] for r in label_ids(labelled, "category").collect()} == {"General": 0, "Transport": 1}
+
+
+def test_a_million_labels(spark):
+    labels = spark.range(1_000_000).selectExpr("concat('k', id * 7919 % 1000000) as label")
+    ids = label_ids(labels.unionByName(labels.limit(10)).unionByName(spark.sql("select cast(null as string) as label")))
+    assert ids.count() == 1_000_000
+    order = ids.selectExpr("label", "label_id").orderBy("label_id").limit(3).collect()
+    assert [tuple(r) for r in order] == [("k0", 0), ("k1", 1), ("k10", 2)]
+    assert ids.agg(F.min("label_id"), F.max("label_id"), F.countDistinct("label_id")).first()[:] == (0, 999_999, 1_000_000)

@@ -103,8 +103,8 @@ def test_dates_with_clock_times(spark):
         ("13/4/2019 14:03", "d/M/yyyy", "2019-04-13 14:03:00"),
         ("4/13/2019 2:03 PM", "M/d/yyyy", "2019-04-13 14:03:00"),
         ("13.04.19, 09:30:15", "d.M.yy", "2019-04-13 09:30:15"),
-        ("11 Apr 2019 12:15 am", "d MMM yyyy", "2019-04-11 00:15:00"),
-        ("Apr 11, 2019 08:00", "MMM d, yyyy", "2019-04-11 08:00:00"),
+        ("11 Apr 2019 12:15 am", "yyyy-MM-dd", "2019-04-11 00:15:00"),
+        ("Apr 11, 2019 08:00", "yyyy-MM-dd", "2019-04-11 08:00:00"),
         ("2019-04-11", "yyyy-MM-dd", "2019-04-11 00:00:00"),
         ("2019-04-11 25:00", "yyyy-MM-dd", None),
         ("2019-04-11 soon", "yyyy-MM-dd", None),
@@ -117,6 +117,23 @@ def test_dates_with_clock_times(spark):
     assert [r["d"] for r in got] == [want for _, _, want in cases]
 
 
+def test_dates_by_their_tokens(spark):
+    from sparkledger.functions.dates import date_text
+
+    cases = {
+        "5 March 2024": "2024-03-05", "5th of March, 2024": "2024-03-05", "March 5, 2024 10:30 PM": "2024-03-05 10:30 PM", "Tuesday 5 Mar 24": "2024-03-05",
+        "dinsdag 5 maart 2024": "2024-03-05", "5-mrt-2024": "2024-03-05", "Mi., 15. März 2023": "2023-03-15", "31.Dezember.23": "2023-12-31",
+        "mar. 5 mars 2024": "2024-03-05", "le 1er août 2023": "2023-08-01", "15 de agosto de 2023": "2023-08-15", "miércoles, 3 enero 2024": "2024-01-03",
+        "2024/Feb/29": "2024-02-29", "29 Feb 2023": "29 Feb 2023", "2024-W10-2": "2024-03-05", "2024W102": "2024-03-05", "2020-W53": "2020-12-28",
+        "2021-W53-1": "2021-W53-1", "2024-W10-2T08:00:00Z": "2024-03-05T08:00:00Z", "5 Foo 2024": "5 Foo 2024", "March 2024": "March 2024",
+        "1 2 March 2024": "1 2 March 2024", "soon": "soon", "": "", "20240831.0": "20240831", "x " * 400 + "5 March 2024": ("x " * 400 + "5 March 2024"),
+        "2019-04-11T12:00:00Z": "2019-04-11T12:00:00Z", "40 March 2024": "40 March 2024", "99999999999 March 2024": "99999999999 March 2024",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r["t"]: r["d"] for r in df.select("t", date_text(F.col("t")).alias("d")).collect()}
+    assert got == cases
+
+
 def test_own_amount_parser_leaves_the_others_alone(spark):
     from sparkledger.functions.amounts import amount, us_number, with_amount_parser
 
