@@ -146,6 +146,17 @@ def cls_lr(spark, d):
     return model.predict(docs).select("doc_id", "lang", "category", F.round("confidence", 4).alias("confidence"))
 
 
+@query("cls1_cls2_regression_by_marker", "SELECT o_orderkey, o_orderpriority AS category, true AS sure FROM orders")
+def cls_marked(spark, d):
+    """Texts that carry their label in words: learned from the orders of even customers, predicted for all."""
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", F.concat("o_orderpriority", F.lit(" ORDER OF "), (F.col("o_custkey") % 100).cast("string")).alias("cleaned_description")
+    )
+    model = Categorizer.train(orders.filter("o_custkey % 2 = 0"), label="o_orderpriority")
+    found = orders.join(model.predict_texts(orders), "cleaned_description")
+    return found.select("o_orderkey", "category", (F.col("confidence") >= 0.7).alias("sure"))
+
+
 @query("cls2_untrained", "SELECT doc_id, NULL::varchar AS category, 0.0::double AS confidence FROM documents")
 def cls2_untrained(spark, d):
     return Categorizer().predict(table(spark, d, "documents").select("doc_id"))

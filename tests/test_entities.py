@@ -176,7 +176,7 @@ def test_most_products_are_not_finished():
     merchants[17] = queries[3]
     merchants[40] = unit(queries[5:6] + 0.3 * merchants[40])[0]
     place, best, full = N.best_in_block(queries, merchants, 0.85)
-    assert full < 0.01 * 400 * 5000
+    assert full < 0.02 * 400 * 5000
     assert {i: p for i, p in enumerate(place) if p >= 0} == {3: 17, 5: 40} and best[3] == 1.0
     sims = np.round(queries @ merchants.T, 9)
     place, best, _ = N.best_in_block(queries, merchants, -1.0)

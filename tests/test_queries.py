@@ -15,6 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 CHECKED = [
     "hdr5_header_decision", "src5_numeric_columns", "map6_resolve_mapping", "nrm12_statement_meta", "txt5_clean_description",
     "jon1_nearest_merchant", "jon8_categorize", "jon9_fuzzy_suggestions", "agg6_discover_entities", "val3_statements_to_ledger",
+    "src4_quoted_line_breaks", "src6_header_only", "nrm8_spelled_dates", "jon9_name_inside_line", "udf3_encoder", "rvw3_review_round", "rvw4_completion",
+    "knw3_learned_merchants", "cls1_cls2_regression_by_marker",
 ]
 
 
