@@ -52,8 +52,8 @@ class Learner(NamedTuple):
     def take_in(self, batch: str) -> None:
         """Commit the merchants once for each batch; a batch that is run again finds its commit."""
         said = self.feedback()
-        if said is not None:
-            self.merchants.update(lambda stored: self.learn(stored, said), tag=batch)
+        # A batch without feedback commits too: run again later, it finds what it knew.
+        self.merchants.update(lambda stored: stored if said is None else self.learn(stored, said), tag=batch)
 
 
 def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

@@ -231,8 +231,8 @@ def str1(spark, d):
 , signed AS (SELECT statement_id, (o_orderkey // 16) % 3 AS delivery, strftime(o_orderdate, '%Y-%m-%d') AS date, description,
    CASE WHEN outgoing THEN -o_totalprice ELSE o_totalprice END AS amount, o_orderpriority FROM o),
 hit AS (SELECT * FROM signed WHERE (o_orderpriority = '1-URGENT' AND delivery >= 1) OR (o_orderpriority = '2-HIGH' AND delivery = 2))
-SELECT statement_id, date, description, 'Assets:Current:Bank' AS account, amount, 2::bigint AS commits FROM hit
-UNION ALL SELECT statement_id, date, description, CASE WHEN delivery = 1 OR o_orderpriority = '2-HIGH' THEN 'Expenses:' || o_orderpriority ELSE 'Expenses:Rush' END, -amount, 2 FROM hit""")
+SELECT statement_id, date, description, 'Assets:Current:Bank' AS account, amount, 3::bigint AS commits FROM hit
+UNION ALL SELECT statement_id, date, description, CASE WHEN delivery = 1 OR o_orderpriority = '2-HIGH' THEN 'Expenses:' || o_orderpriority ELSE 'Expenses:Rush' END, -amount, 3 FROM hit""")
 def str1_learned(spark, d):
     """Three deliveries; after each one users name a merchant, which resolves the rows of the later ones.
 

@@ -123,16 +123,17 @@ def test_merchants_learned_between_batches(spark, tmp_path):
     skipped = spark.read.parquet(f"{out}/skipped").collect()
     assert [r["statement_id"].rsplit("/", 1)[1] for r in skipped] == ["copy.csv"]
 
-    # A batch run again, with more feedback by then, changes neither merchants nor rows.
-    batch = spark.read.parquet(f"{out}/state").select(F.max("batch")).first()[0]
+    # Batches run again, with more feedback by then, change neither merchants nor rows.
     said += [("Teahouse", "Drinks", "TEAHOUSE KETTLE", 1)]
     before, versions = accounts(), merchants.versions()
     ingest = StatementIngest(spark, out, learner)
-    query_id, batch_id = batch.rsplit("-", 1)
-    pieces = spark.read.text([str(incoming / "b.csv"), str(incoming / "copy.csv")]).select(
-        F.col("_metadata.file_path").alias("statement_id"), F.col("_metadata.file_block_start").alias("block_start"), F.col("value").alias("line")
-    )
-    spark.sparkContext.setLocalProperty("sql.streaming.queryId", query_id)
-    ingest(pieces, int(batch_id))
+    batches = sorted(r[0] for r in spark.read.parquet(f"{out}/state").select("batch").distinct().collect())
+    for batch, files in zip(batches, (["a.csv"], ["b.csv", "copy.csv"]), strict=True):
+        query_id, batch_id = batch.rsplit("-", 1)
+        pieces = spark.read.text([str(incoming / f) for f in files]).select(
+            F.col("_metadata.file_path").alias("statement_id"), F.col("_metadata.file_block_start").alias("block_start"), F.col("value").alias("line")
+        )
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", query_id)
+        ingest(pieces, int(batch_id))
     spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
-    assert accounts() == before and merchants.versions() == versions
+    assert accounts() == before and merchants.versions() == versions == [1, 2]
