@@ -41,7 +41,7 @@ COORDINATES = 24
 ROWS = 3
 #: Chance that a pair exactly at the threshold has too few equal coordinates.
 MISS = 1e-6
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 _SEEDS = mix(np.arange(1, 2 * COORDINATES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SLICE = 1 << 16
 
@@ -98,20 +98,30 @@ def _sizes_fit(percent: int):
     return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
 
 
+def _intersections(batch: pa.RecordBatch) -> tuple[dict[str, pa.Array], np.ndarray, list[list[np.ndarray]], list[int]]:
+    """Columns of a batch of text pairs, which rows hold the texts of their classes, the sets, and how many shingles both have."""
+    col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    sets, own = [], []
+    for side in "ab":
+        grams, counts = Words(col[f"text_{side}"], lower=True).sets(SHINGLE_WORDS)
+        own.append(signed(_fingerprints(grams, counts)[0]) == col[f"f_{side}"].to_numpy())
+        sets.append(np.split(grams, np.cumsum(counts)[:-1]))
+    valid = own[0] & own[1]
+    return col, valid, sets, [len(np.intersect1d(a, b, assume_unique=True)) if ok else 0 for a, b, ok in zip(*sets, valid)]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text_a"):
+        col, valid, _, both = _intersections(batch)
+        columns = [*(col[c] for c in ("a", "f_a", "b", "f_b")), pa.array(both, pa.int64())]
+        yield pa.record_batch([c.filter(pa.array(valid)) for c in columns], names=["a", "f_a", "b", "f_b", "both"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text_a"):
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            sides = []
-            for side in "ab":
-                grams, counts = Words(col[f"text_{side}"], lower=True).sets(SHINGLE_WORDS)
-                own = signed(_fingerprints(grams, counts)[0]) == col[f"f_{side}"].to_numpy()
-                sides.append((np.split(grams, np.cumsum(counts)[:-1]), own))
-            (a, own_a), (b, own_b) = sides
-            linked = np.zeros(len(a), dtype=bool)
-            for k in np.flatnonzero(own_a & own_b):
-                both = len(np.intersect1d(a[k], b[k], assume_unique=True))
-                linked[k] = 100 * both >= percent * (len(a[k]) + len(b[k]) - both)
+            col, valid, (a, b), both = _intersections(batch)
+            linked = np.array([ok and 100 * k >= percent * (len(x) + len(y) - k) for x, y, k, ok in zip(a, b, both, valid)], dtype=bool)
             keep = pa.array(linked)
             yield pa.record_batch([col["a"].filter(keep), col["b"].filter(keep)], names=["u", "v"])
 
@@ -130,7 +140,8 @@ def _own_shingles(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, f1, own): how many shingles of each class (doc_id, f1) no other of these classes has."""
     rows = classes.join(texts, "doc_id").select("doc_id", "f1", "text").mapInArrow(_shingles, "doc_id long, f1 long, shingle long")
     single = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id"), F.min("f1").alias("f1")).filter("k = 1")
-    return single.groupBy("doc_id", "f1").agg(F.count("*").alias("own"))
+    found = single.groupBy("doc_id", "f1").agg(F.count("*").alias("own"))
+    return classes.join(found, ["doc_id", "f1"], "left").select("doc_id", "f1", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -139,9 +150,23 @@ def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, percent: i
         pairs = pairs.join(signatures.select(F.col("doc_id").alias(side), F.col("f1").alias(f"f_{side}"), F.col("sig").alias(f"sig_{side}")), [side, f"f_{side}"])
     equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = pairs.filter(equal >= needed(percent)).select("a", "f_a", "b", "f_b")
+    return _with_texts(near, texts).mapInArrow(_confirm(percent), "u long, v long")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     for side in "ab":
-        near = near.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return near.select("a", "f_a", "text_a", "b", "f_b", "text_b").mapInArrow(_confirm(percent), "u long, v long")
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.select("a", "f_a", "text_a", "b", "f_b", "text_b")
+
+
+def _kept_of_centre(now: DataFrame, texts: DataFrame) -> DataFrame:
+    """``now`` with ``both``: how many shingles a class shares with the most central class of the posting."""
+    centre = now.groupBy("posting").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "doc_id", "f1")).alias("c"))
+    centred = now.join(centre.select("posting", F.col("c.doc_id").alias("b"), F.col("c.f1").alias("f_b")), "posting")
+    pairs = centred.select(F.col("doc_id").alias("a"), F.col("f1").alias("f_a"), "b", "f_b").distinct()
+    kept = _with_texts(pairs, texts).mapInArrow(_shared, "a long, f_a long, b long, f_b long, both long").distinct()
+    kept = stage_table(kept.withColumnsRenamed({"a": "doc_id", "f_a": "f1"}), "centres")
+    return centred.join(kept, ["doc_id", "f1", "b", "f_b"])
 
 
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
@@ -170,30 +195,39 @@ def near_components(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     edges = members.join(tied.select("doc_id", "v"), "doc_id").select(F.col("rep").alias("u"), "v").filter("u <> v")
 
     edges = stage_table(edges, "links")
-    tested = None
-    for turn in range(LEADER_ROUNDS + 1):
+    tested = own = None
+    for turn in range(LEADER_ROUNDS + 2):
         comp = components(edges)
         now = met.join(comp, met.doc_id == comp.node, "left").select("posting", "place", "doc_id", "n", "f1", F.coalesce("component", "doc_id").alias("comp"))
         open_ = now.groupBy("posting").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("posting")
         now = stage_table(now.join(open_, "posting"), "open")
         if now.isEmpty():
             break
-        last = turn == LEADER_ROUNDS
+        last = turn == LEADER_ROUNDS + 1
+        if turn == LEADER_ROUNDS:
+            # Classes that are still open only get fewer: what no other has now, none of them has later.
+            own = stage_table(_own_shingles(now.select("doc_id", "f1").distinct(), texts), "own")
+        if own is not None:
+            more = own.join(signatures.select("doc_id", "f1", "sig"), ["doc_id", "f1"])
+            now = now.join(more, ["doc_id", "f1"])
+        possible = F.lit(True)
         if last:
-            own = _own_shingles(now.select("doc_id", "f1").distinct(), texts)
-            more = now.select("doc_id", "f1").distinct().join(own, ["doc_id", "f1"], "left").join(signatures.select("doc_id", "f1", "sig"), ["doc_id", "f1"])
-            now = now.join(more.select("doc_id", "f1", F.coalesce("own", F.lit(0)).alias("own"), "sig"), ["doc_id", "f1"])
-            mine, other = (_side(now, side, "own", "sig") for side in "ab")
+            now = _kept_of_centre(now, texts)
+            mine, other = (_side(now, side, "own", "both", "sig") for side in "ab")
             before_a, before_b = (F.slice(f"sig_{side}", 1, F.col("place_a")) for side in "ab")
-            possible = (
-                F.expr("doc_id_a > doc_id_b or (doc_id_a = doc_id_b and f1_a > f1_b)")
-                & (F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-                & ~F.arrays_overlap(before_a, before_b)
-            )
+            possible = F.expr("doc_id_a > doc_id_b or (doc_id_a = doc_id_b and f1_a > f1_b)") & ~F.arrays_overlap(before_a, before_b)
         else:
-            rank = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-            lead = now.groupBy("posting").agg(F.min(F.struct(rank.alias("rank"), "place", "doc_id", "n", "f1", "comp")).alias("x")).select("posting", "x.*")
-            mine, other, possible = _side(now, "a"), _side(lead, "b"), F.lit(True)
+            # The last leader is the most central class of a posting: the one with the smallest share of shingles of its own.
+            rank = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn)) if own is None else F.col("own") / F.col("n")
+            fields = ["place", "doc_id", "n", "f1", "comp", *(["own"] if own is not None else [])]
+            lead = now.groupBy("posting").agg(F.min(F.struct(rank.alias("rank"), *fields)).alias("x")).select("posting", "x.*")
+            mine, other = (_side(rows_, side, *fields[5:]) for rows_, side in ((now, "a"), (lead, "b")))
+        if own is not None:
+            most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+            if last:  # shingles of the centre that both have, and others that both have
+                beside = F.least(*(F.col(f"n_{x}") - F.col(f"both_{x}") - F.when(F.col(f"both_{x}") < F.col(f"n_{x}"), F.col(f"own_{x}")).otherwise(0) for x in "ab"))
+                most = F.least(most, F.least("both_a", "both_b") + beside)
+            possible = possible & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
         pairs = mine.join(other, "posting").filter(possible & (F.col("comp_a") != F.col("comp_b")) & _sizes_fit(percent))
         swap = F.col("doc_id_a") < F.col("doc_id_b")
         pairs = pairs.select(

@@ -35,6 +35,24 @@ def test_components_equal_all_pairs(messy):
         assert all(r.component_id is None for r in found if r.doc_id is None)
 
 
+def test_one_large_group_of_near_copies(shipped):
+    """Copies with zero to many edits: leaders leave many components of one text open, and bounds decide."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(150)] = rng.choice(["the", "of", f"e{rng.randrange(10**6)}"])
+        rows.append((i, " ".join(words)))
+    df = shipped.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent in (80, 85):
+        found = {r.doc_id: r.component_id for r in neardup.near_components(df, percent).collect()}
+        assert found == linked(rows, percent) and 1 < len(set(found.values())) < 400
+
+
 def test_needed_coordinates():
     assert neardup.needed(85) >= neardup.needed(80) >= 1
 
