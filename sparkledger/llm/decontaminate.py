@@ -8,8 +8,9 @@ is at most EDIT_SHARE * L word edits away from it.
    q-word runs, so only windows with that many runs go on. This loses nothing.
 2. CGK: each window takes random walks that step on or stay by a hash of step
    and word; edit distance becomes Hamming distance between the walks' outputs.
-3. LSH: each of REPEATS walks is sampled at BITS places; a window meets an item
-   if all samples of one walk agree.
+3. LSH: each of REPEATS walks is sampled at BITS places, all of which a walk reaches
+   before its last word but for a small chance; a window meets an item if all samples of
+   one walk agree, and a walk that is at its end agrees with nothing.
 4. Verification: the exact edit distance decides.
 
 The items go to every task in blocks of at most BLOCK_WORDS words; documents are
@@ -29,26 +30,29 @@ from pyspark.sql import functions as F
 from .arrays import Words, mix, pieces, runs
 
 EDIT_SHARE = 0.2
-#: With these, a window at the largest distance meets its item with a chance of 0.99 or more (measured in the tests).
-REPEATS, BITS = 48, 3
-STEPS = 3
+#: With these, a window at the largest distance meets its item with a chance of 0.99 or more, and an
+#: unrelated one with a chance below 0.05 (both measured on the LSH alone in the tests, 8 to 400 words).
+REPEATS, BITS = 96, 2
 GRAM = 3
 BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 20
 _UNIFORM = (mix(np.arange(1, REPEATS * BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).reshape(REPEATS, BITS) / 2.0**53
 _WALK = mix(np.arange(7, REPEATS + 7, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _END = np.uint64(0)
+#: Cells of a table of windows.
+_CELLS = 1 << 17
 
 
 def walk(text: np.ndarray, size: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Samples (REPEATS x BITS x windows) of the walks over windows.
+    """Samples (REPEATS x BITS x windows) of the walks over windows; 0 where a walk is at its end.
 
-    ``text`` (windows x longest) holds word hashes, ``size`` the words of each;
-    a walk has STEPS * ``steps`` places, and past the end it reads a mark.
+    ``text`` (windows x longest) holds word hashes, ``size`` the words of each. A walk over ``steps``
+    words has about twice as many places; samples keep two standard deviations off its end.
     """
     n = len(text)
     at = np.zeros((REPEATS, n), dtype=np.int64)
-    wanted = (_UNIFORM[:, :, None] * (STEPS * steps)).astype(np.int64)
+    places = np.maximum(1, 2 * steps - 2 * np.sqrt(2 * steps)).astype(np.int64)
+    wanted = (_UNIFORM[:, :, None] * places).astype(np.int64)
     out = np.zeros((REPEATS, BITS, n), dtype=np.uint64)
     column = np.arange(n)
     padded = np.concatenate([text, np.zeros((n, 1), dtype=np.uint64)], axis=1)
@@ -61,6 +65,23 @@ def walk(text: np.ndarray, size: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return out
 
 
+def meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which windows have all samples of one walk in common."""
+    return ((a == b) & (a != _END)).all(axis=1).any(axis=0)
+
+
+def alike(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of sizes in groups that are at most twice as long as each other, of a bounded table each: none is filled up to a far longer one."""
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        low = max(1, int(size[order[at]]))
+        end = int(np.searchsorted(size[order], 2 * low, side="left"))
+        end = min(end, at + max(1, _CELLS // (2 * low)))
+        yield order[at : max(end, at + 1)]
+        at = max(end, at + 1)
+
+
 def edits(windows: np.ndarray, size: np.ndarray, items: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Word edit distance of window i (its first ``size`` words) and item i (its first ``length``)."""
     n, wide = windows.shape
@@ -104,8 +125,9 @@ class Items:
                 maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
                 maybe[keys >> np.uint64(64 - _FILTER_BITS)] = True
                 self.postings[q] = keys, np.append(begin, len(grams)), item, maybe
-        all_items = np.arange(len(size))
-        self.samples = walk(self.words(all_items), size, size)
+        self.samples = np.zeros((REPEATS, BITS, len(size)), dtype=np.uint64)
+        for part in alike(size):
+            self.samples[:, :, part] = walk(self.words(part), size[part], size[part])
 
     def words(self, items: np.ndarray) -> np.ndarray:
         return table(self.hash, self.first[items], self.size[items])
@@ -145,12 +167,12 @@ class Items:
         """(text, item, first word in the text, edits): for each text and item its closest window, the first of equals."""
         text, item, start = self.candidates(words)
         kept = []
-        for low in range(0, len(text), 2048):
-            t, i, s = text[low : low + 2048], item[low : low + 2048], start[low : low + 2048]
+        for part in alike(self.size[item]):
+            t, i, s = text[part], item[part], start[part]
             size = np.minimum(self.size[i], words.first[t + 1] - s)
             windows = table(words.hash, s, size)
-            meets = (walk(windows, size, self.size[i]) == self.samples[:, :, i]).all(axis=1).any(axis=0)
-            t, i, s, size, windows = t[meets], i[meets], s[meets], size[meets], windows[meets]
+            met = meets(walk(windows, size, self.size[i]), self.samples[:, :, i])
+            t, i, s, size, windows = t[met], i[met], s[met], size[met], windows[met]
             distance = edits(windows, size, self.words(i), self.size[i])
             ok = distance <= self.most[i]
             kept.append((t[ok], i[ok], s[ok] - words.first[t[ok]], distance[ok]))

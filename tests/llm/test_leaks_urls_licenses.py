@@ -1,8 +1,10 @@
 import math
 import os
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,43 @@ def test_item_blocks_agree(shipped, leaky, monkeypatch):
     assert Counter(map(tuple, decontaminate.find_leaks(df, bench).collect())) == want
 
 
+def windows_of(lists):
+    wide = max(map(len, lists))
+    out = np.zeros((len(lists), wide), dtype=np.uint64)
+    for k, words in enumerate(lists):
+        out[k, : len(words)] = [zlib.crc32(w.encode()) + 1 for w in words]
+    return out, np.array([len(x) for x in lists])
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 50, 100, 400])
+def test_lsh_alone(n):
+    """Windows at the largest distance meet their item, unrelated ones seldom do."""
+    rng = random.Random(n)
+    text = lambda: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items, steps = [text() for _ in range(200)], np.full(200, n)
+    near = [edited(rng, item, most_edits(n))[:n] for item in items]
+    walks = [decontaminate.walk(*windows_of(rows), steps) for rows in (items, near, [text() for _ in items])]
+    assert decontaminate.meets(walks[0], walks[1]).mean() >= 0.99
+    assert decontaminate.meets(walks[0], walks[2]).mean() < 0.05
+
+
+def test_a_very_long_item_beside_short_ones():
+    """Items are grouped by length: none is filled up to the longest."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in [*rng.choices(range(6, 14), k=10_000), 50_000]]
+    tracemalloc.start()
+    items = decontaminate.Items(list(range(len(texts))), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20 and items.samples.shape[2] == 10_001
+    sizes = np.array([5, 5, 6, 11, 50_000, 7, 1, 0])
+    groups = [sizes[g].tolist() for g in decontaminate.alike(sizes)]
+    assert sorted(x for g in groups for x in g) == sorted(sizes.tolist()) and all(max(g) <= 2 * max(1, min(g)) for g in groups)
+
+
+
 def test_lsh_recall_at_the_largest_distance():
     import pyarrow as pa
 
