@@ -9,12 +9,12 @@ Collisions become candidate pairs, pairs whose sizes rule out the similarity
 are skipped, equal coordinates are counted over the whole signature, pairs
 below ``needed`` go, and what stays is confirmed on the full shingle sets.
 
-A posting of many classes is never expanded into all its pairs. First every
-class meets one leader of each posting, and confirmed links join them to
-components. Two classes of one component need no further proof, so what is left
-are pairs of *different* components. For these, shingles that no other open
-class has are counted: no intersection holds them, so it is at most what either
-class has besides, and pairs that this rules out are skipped, as are pairs
+A posting of many classes is never expanded into all its pairs. First every class meets one
+leader of each posting, then the most central class of each, the one with the smallest
+share of shingles that no other open class has; confirmed links join them to components. Two
+classes of one component need no further proof, so what is left are pairs of *different*
+components. An intersection has at most what either side shares with the centre, and besides it at most
+what either has that some open class has too; pairs that this rules out are skipped, as are pairs
 already met under an earlier coordinate. So every linked pair ends in one component, whatever the
 size of a group.
 
