@@ -1,11 +1,13 @@
 """Fuzzy suggestion of names, for whole texts and for names inside longer lines (JON9, SRT3).
 
-A score is 1 - edits / the longer length. Names and texts meet on q-grams: every edit spoils at
+A score is 1 - edits / the longer length. Whole texts meet names on q-grams: every edit spoils at
 most q of a name's grams (an insertion q - 1), so of a name's grams a known number can be lost, D. Of any
 D + 1 of them one is in the text as it is. Each name is posted under its D + 1 grams that
 fewest names have; a text is probed with each of its grams once, so probes grow with its
 length. Where a text has the gram says where the name lies, give or take the edits; only
-that is scored. The results equal comparing all pairs.
+that is scored. Inside a line a name is met by its pieces: cut into one piece more than there can
+be edits, one piece is in the line as it is. A piece is found by its first gram and compared
+whole on the spot. The results equal comparing all pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ ROUNDING = 1e-9
 GRAMS = (3, 2, 1)
 #: Places of a text that share a cell.
 CELL = 4
+#: Places that are read from one cut of a line.
+CUT = 64
 
 
 def edit_score(a: Column, b: Column) -> Column:
@@ -110,6 +114,38 @@ def find_similar(
     return pairs.withColumn("score", score).filter(F.col("score") >= min_score - ROUNDING)
 
 
+def name_pieces(names: DataFrame, min_score: float) -> DataFrame:
+    """(name, n, q, lost, size, gram, piece, place): the pieces of each name of ``_named``, of which a run within the score has one as it is.
+
+    There is one piece more than there can be edits. A name too short for that comes as its single
+    characters: an insertion spoils none of these. ``gram`` is the piece's first ``size`` characters.
+    """
+    n = F.col("n")
+    count = F.least(n, _edits(_longest(n, min_score), min_score) + 1)
+    cut = F.expr("transform(sequence(0, pieces - 1), i -> struct(cast(floor(i * n / pieces) as int) as a, cast(floor((i + 1) * n / pieces) as int) as b))")
+    cuts = names.withColumn("pieces", count).select("name", "n", "q", "lost", F.explode(cut).alias("c"))
+    pieces = cuts.select("name", "n", "q", "lost", F.expr("substring(name, c.a + 1, c.b - c.a)").alias("piece"), F.col("c.a").alias("place"))
+    size = F.least(F.length("piece"), F.lit(max(GRAMS)))
+    return pieces.withColumn("size", size).withColumn("gram", F.expr("substring(piece, 1, size)"))
+
+
+def _text_places(texts: DataFrame, key: str, text: str, sizes: list[int], ahead: int) -> DataFrame:
+    """(key, at, size, gram, ahead): every gram of every text with the ``ahead`` characters from its 0-based place on.
+
+    Texts are cut first: a place is then counted from its cut, not from the start of a long text.
+    """
+    cuts = texts.select(key, text, F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / CUT).cast("int"))).alias("_cut"))
+    cuts = cuts.select(key, (F.col("_cut") * CUT).alias("_from"), F.substring(F.col(text), F.col("_cut") * CUT + 1, F.lit(CUT + ahead)).alias("_part"))
+    last = F.least(F.length("_part"), F.lit(CUT)) - 1
+    places = cuts.select(key, "_from", "_part", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    places = places.select(key, (F.col("_from") + F.col("_i")).alias("at"), F.substring(F.col("_part"), F.col("_i") + 1, F.lit(ahead)).alias("ahead"))
+    if len(sizes) > 1:
+        places = places.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    else:
+        places = places.withColumn("size", F.lit(sizes[0]))
+    return places.withColumn("gram", F.expr("substring(ahead, 1, size)"))
+
+
 def find_similar_inside(
     lines: DataFrame, names: DataFrame, line: str = "line", name: str = "name", min_score: float = FUZZY_MIN_SCORE
 ) -> DataFrame:
@@ -117,14 +153,17 @@ def find_similar_inside(
 
     Lines and names are compared as ``match_key`` spells them: folded, words with one space
     between. The best run is taken, of equal ones the first, then the shorter. A text goes to its hits
-    once; a hit is a stretch of the line about as long as the name, whose runs alone are scored.
+    once, by a shuffle: lines of any number never meet in the driver. A hit is a stretch of the line
+    about as long as the name, whose runs alone are scored.
     """
     texts = lines.select(F.col(line).alias("line")).filter(F.col(line).isNotNull()).distinct()
     texts = texts.withColumn("_text", match_key(F.col("line"))).filter("_text <> ''").withColumn("_id", F.md5("line"))
     spelled = names.select(F.col(name).alias("name"), match_key(F.col(name)).alias("_name")).filter("_name <> ''").distinct()
     asked = _named(spelled, "_name", min_score)
-    grams = text_grams(texts, "_id", "_text", _sizes(asked))
-    met = grams.join(name_postings(asked), ["q", "gram"])
+    pieces = name_pieces(asked, min_score)
+    sizes = {r["size"]: r["longest"] for r in pieces.groupBy("size").agg(F.max(F.length("piece")).alias("longest")).collect()} or {1: 1}
+    places = _text_places(texts, "_id", "_text", sorted(sizes), max(sizes.values()))
+    met = places.join(pieces, ["size", "gram"]).filter(F.startswith("ahead", "piece"))
     # Hits near each other are one stretch of n places.
     part = F.floor((F.col("at") - F.col("place")) / F.col("n")).cast("int")
     hits = met.select("_id", F.col("name").alias("_name"), "n", "q", "lost", part.alias("part")).distinct()
@@ -132,7 +171,7 @@ def find_similar_inside(
     reach = _edits(most, min_score)
     low = F.greatest(F.col("part") * n - reach, F.lit(0))
     high = (F.col("part") + 1) * n + reach
-    stretch = hits.join(texts, "_id").select(
+    stretch = hits.join(texts.hint("merge"), "_id").select(
         "_id", "_name", "n", "q", "lost", low.alias("low"), most.alias("most"), (high - low).alias("starts"),
         # One place before, to see whether a word starts; as many behind as the longest run needs.
         F.substring(F.concat(F.lit(" "), "_text", F.lit(" ")), low + 1, high - low + most + 2).alias("_part"),
@@ -151,7 +190,7 @@ def find_similar_inside(
     scored = found.withColumn("score", edit_score(F.col("found"), F.col("_name"))).filter(F.col("score") >= min_score - ROUNDING)
     best = F.max_by(F.struct("found", "score"), F.struct(F.col("score"), -F.col("start"), -F.length("found")))
     best = scored.groupBy("_id", "_name").agg(best.alias("b")).select("_id", "_name", "b.*")
-    return best.join(texts.select("_id", "line"), "_id").join(spelled, "_name").select("line", "name", "found", "score")
+    return best.join(texts.select("_id", "line").hint("merge"), "_id").join(spelled, "_name").select("line", "name", "found", "score")
 
 
 def rank_similar(similar: DataFrame, best: int | None = None, candidate: str = "candidate") -> DataFrame:

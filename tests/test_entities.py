@@ -236,3 +236,23 @@ def test_a_million_labels(spark):
     order = ids.selectExpr("label", "label_id").orderBy("label_id").limit(3).collect()
     assert [tuple(r) for r in order] == [("k0", 0), ("k1", 1), ("k10", 2)]
     assert ids.agg(F.min("label_id"), F.max("label_id"), F.countDistinct("label_id")).first()[:] == (0, 999_999, 1_000_000)
+
+
+def test_lines_do_not_meet_in_the_driver(spark, tmp_path):
+    """Lines go to their hits by a shuffle, however small they are; a broadcast would pass them through the driver."""
+    path = str(tmp_path / "lines")
+    spark.range(50).selectExpr("concat('order at brot oost number ', id) as line").write.parquet(path)
+    found = find_similar_inside(spark.read.parquet(path), spark.createDataFrame([("brot oost",)], "name string"), min_score=0.9)
+    assert found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_id" not in plan and "SortMergeJoin [_id" in plan
+
+
+def test_places_of_long_lines_are_found(spark):
+    """Names lie across the cuts of a long line, at its start and at its end; one has an edit."""
+    words = ["w%03d" % i for i in range(400)]
+    line = " ".join(["kiosk noord", *words[:150], "brotoost laden", *words[150:], "letzte hale"])
+    names = ["kiosk noord", "brotoost lader", "letzte halle", *[f"{a} {b}" for a, b in zip(words[20:40], words[21:41])]]
+    df = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    got = {r["name"]: r["found"] for r in find_similar_inside(df([line], "line"), df(names, "name"), min_score=0.9).collect()}
+    assert got == {**{n: n for n in names}, "brotoost lader": "brotoost laden", "letzte halle": "letzte hale"}
