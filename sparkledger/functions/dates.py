@@ -30,6 +30,7 @@ PAIRED_FORMATS = [
     for first, second in (("d", "M"), ("M", "d"))
 ]
 DATE_FORMATS = [*ISO_FORMATS, *PAIRED_FORMATS]
+READABLE = [shape for _, shapes in DATE_FORMATS for shape in shapes]
 
 #: A longer text is no date.
 LONGEST_DATE = 64
@@ -120,6 +121,11 @@ def date_shape(text: Column) -> Column:
     return F.translate(day_part(text), "0123456789", "9999999999")
 
 
+def readable_text(text: Column, shape: Column) -> Column:
+    """The text if any format may read it: other text has no date, so it need not go along to its statement's format."""
+    return F.when(shape.isin(READABLE), text)
+
+
 def _parsed(text: Column, shape: Column, fmt: str, shapes: list[str]) -> Column:
     return F.when(shape.isin(shapes), F.try_to_timestamp(day_part(text), F.lit(fmt)))
 

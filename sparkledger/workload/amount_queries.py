@@ -14,7 +14,7 @@ from ..functions.amounts import (
     us_number,
     with_amount_parser,
 )
-from ..functions.dates import best_format, date_shape, date_text, format_counts, parse_date
+from ..functions.dates import best_format, date_shape, date_text, format_counts, parse_date, readable_text
 from ..functions.identity import json_names, random_id, row_json, transaction_id
 from ..functions.text import strip_text
 from ..operators.normalize import number_occurrences
@@ -134,8 +134,11 @@ def nrm8(spark, d):
     texts = rows.unionByName(words).withColumn("text", date_text(F.col("v"))).withColumn("shape", date_shape(F.col("text")))
     counts = texts.groupBy("statement_id").agg(F.bool_or("day_first").alias("day_first"), *format_counts(F.col("text"), F.col("shape")))
     best = counts.select("statement_id", best_format(F.col("day_first")).alias("date_format"))
+    # What goes to its statement's format is the dates, not the documents.
+    text = readable_text(F.col("text"), F.col("shape"))
+    dated = texts.select("o_orderkey", "statement_id", text.alias("text"), F.when(text.isNotNull(), F.col("shape")).alias("shape"))
     parsed = parse_date(F.col("text"), F.col("shape"), F.col("date_format"))
-    return texts.join(best, "statement_id").select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd").alias("date"))
+    return dated.join(best, "statement_id").select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd").alias("date"))
 
 
 @query("nrm8_spelled_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders")

@@ -141,3 +141,12 @@ def test_own_amount_parser_leaves_the_others_alone(spark):
     df = spark.createDataFrame([("1'234.56", "'"), ("1.234,56", None), ("1.234,56", ",")], "v string, s string")
     assert [r[0] for r in df.select(amount(F.col("v"), F.col("s"), parsers=parsers)).collect()] == [1234.56] * 3
     assert df.filter("s is null").select(amount(F.col("v"), F.col("s"))).first()[0] == 1234.56
+
+
+def test_documents_do_not_go_along_to_a_format(spark):
+    """Only text that a format may read is shuffled to its statement's format."""
+    from sparkledger.functions.dates import date_shape, readable_text
+
+    texts = ["2024-01-02", "1/2/24", "20240831", "02.01.2024 10:30", "word " * 5000, "2024-01", "", None]
+    got = apply(spark, lambda v: readable_text(v, date_shape(v)), texts)
+    assert got == [*texts[:4], None, None, None, None]
