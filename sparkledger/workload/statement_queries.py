@@ -40,7 +40,7 @@ from ..operators.mapping import (
 )
 from ..operators.normalize import constant_columns
 from ..plans.statements import normalize_statements
-from ..session import shared_dir
+from ..session import shared_dir, stage_table
 from ..sources.sinks import nan_to_null, write_ledger_csv, write_quarantine, write_records
 from ..sources.statements import lines_from_content, read_statements
 from ..sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings
@@ -90,6 +90,11 @@ def _layouts(spark, d):
     return detect_layout(V.statement_lines(spark, d))
 
 
+def _staged_layouts(spark, d):
+    """``_layouts`` for queries that need them more than once: the lines are laid out and read once."""
+    return stage_table(_layouts(spark, d).select("statement_id", "columns"), "layouts")
+
+
 # Header places and names of the four house styles, known by construction.
 STYLE_SQL = """
 , styles AS (
@@ -173,9 +178,9 @@ def src6(spark, d):
 
 # --- mappings ---------------------------------------------------------------
 
-def _mapping_table(spark, d):
+def _mapping_table(layouts):
     """A stored mapping for the German house style: its amount column is overridden."""
-    style = _layouts(spark, d).filter(F.array_contains("columns", "Betrag")).select("columns").distinct()
+    style = layouts.filter(F.array_contains("columns", "Betrag")).select("columns").distinct()
     mapping = resolve_mapping(style).withColumn("mapping", F.col("mapping").withField("date_col", F.lit("Valuta")))
     return mapping.select("header_hash", "mapping")
 
@@ -187,7 +192,7 @@ STORED = HEADED + f", stored AS (SELECT DISTINCT {HASH_SQL} AS header_hash, 'Val
 @query("src7_read_mapping_cache", STORED + " SELECT * FROM stored")
 def src7(spark, d):
     cache = VersionedTable(spark, work_dir(spark) + "/mappings", MAPPINGS_SCHEMA)
-    save_mappings(cache, _mapping_table(spark, d))
+    save_mappings(cache, _mapping_table(_layouts(spark, d)))
     return cache.read().select("header_hash", F.col("mapping.date_col").alias("date_col"))
 
 
@@ -196,8 +201,9 @@ def src7(spark, d):
 def src8(spark, d):
     """A second save replaces the stored German mapping and adds the other styles."""
     cache = VersionedTable(spark, work_dir(spark) + "/mappings", MAPPINGS_SCHEMA)
-    save_mappings(cache, _mapping_table(spark, d))
-    save_mappings(cache, resolve_mapping(_layouts(spark, d)))
+    layouts = _staged_layouts(spark, d)
+    save_mappings(cache, _mapping_table(layouts))
+    save_mappings(cache, resolve_mapping(layouts))
     n = len(cache.versions())
     return cache.read().select("header_hash", F.col("mapping.date_col").alias("date_col"), F.lit(n).cast("bigint").alias("versions"))
 
@@ -291,14 +297,14 @@ def map5(spark, d):
   CASE style WHEN 2 THEN 'direction' WHEN 3 THEN 'credit_debit' ELSE 'signed' END AS polarity FROM headed""")
 def map6(spark, d):
     """Cached, then proposed where valid (padded names, no amount), then heuristic."""
-    layouts = _layouts(spark, d)
+    layouts = _staged_layouts(spark, d)
     heads = resolve_mapping(layouts.select("columns").distinct())
     pad = F.col("mapping").withField("date_col", F.concat(F.lit(" "), F.col("mapping.date_col")))
     dutch = heads.filter(F.array_contains("columns", "Omschrijving")).select("header_hash", pad.alias("mapping"))
     broken = heads.filter(~F.array_contains("columns", "Omschrijving")).select(
         "header_hash", F.col("mapping").withField("desc_col", F.lit("")).alias("mapping")
     )
-    out = resolve_mapping(layouts, _mapping_table(spark, d), dutch.unionByName(broken))
+    out = resolve_mapping(layouts, _mapping_table(layouts), dutch.unionByName(broken))
     m = F.col("mapping")
     return out.select(
         "statement_id", "mapping_source", m["date_col"].alias("date_col"), m["amount_col"].alias("amount_col"),
@@ -310,8 +316,9 @@ def map6(spark, d):
 @query("jon3_mapping_lookup", STORED + f""" SELECT statement_id, {HASH_SQL} AS header_hash, date_col
  FROM headed LEFT JOIN stored ON {HASH_SQL} = header_hash""")
 def jon3(spark, d):
-    layouts = _headers(spark, d).withColumn("header_hash", header_hash(F.col("columns")))
-    return lookup_mapping(layouts, _mapping_table(spark, d)).select(
+    layouts = _staged_layouts(spark, d)
+    hashed = layouts.withColumn("header_hash", header_hash(F.col("columns")))
+    return lookup_mapping(hashed, _mapping_table(layouts)).select(
         "statement_id", "header_hash", F.col("cached.date_col").alias("date_col")
     )
 

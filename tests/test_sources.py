@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkledger.operators.mapping import resolve_mapping
@@ -74,3 +75,17 @@ def test_quarantine_runs_and_nan(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "q")).count() == 2
     nan = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
     assert sorted((r[0] is None) for r in nan_to_null(nan).collect()) == [False, True]
+
+
+@pytest.mark.parametrize("name", ["map6_resolve_mapping", "jon3_mapping_lookup", "src8_save_mapping_cache"])
+def test_lines_are_laid_out_once(spark, tmp_path, monkeypatch, name):
+    """The stored mapping and the statements take their headers from the same staged layouts."""
+    from sparkledger.operators import layout
+    from sparkledger.workload import QUERIES
+
+    row = "id as o_orderkey, id as o_custkey, 'F' as o_orderstatus, 12.5D as o_totalprice, timestamp'2024-05-06' as o_orderdate, '1-URGENT' as o_orderpriority"
+    spark.range(128).selectExpr(*row.split(", ")).write.parquet(str(tmp_path / "orders.parquet"))
+    made, stage = [], layout.stage_bucketed
+    monkeypatch.setattr(layout, "stage_bucketed", lambda *a: made.append(a[1]) or stage(*a))
+    assert QUERIES[name](spark, str(tmp_path)).count() == (4 if name.startswith("src8") else 8)
+    assert made == ["lines"]
