@@ -51,8 +51,12 @@ def join_statement(lines: DataFrame, per_statement: DataFrame) -> DataFrame:
 
 # --- header detection -----------------------------------------------------
 
-def score_window(lines: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """Adds density, keyword score and the data test of the first lines."""
+def score_window(lines: DataFrame, window: int = WINDOW_LINES, all_keywords: bool = True) -> DataFrame:
+    """Adds density, keyword score and the data test of the first lines.
+
+    A statement with a delimited data line finds its header by density and asks for no
+    keywords: without ``all_keywords`` such lines are not searched for them.
+    """
     inside = F.col("line_no") < window
     # Scores are taken of a column that is null beyond the window: later lines
     # cost nothing, and repeated parts of the scores are computed once.
@@ -63,11 +67,12 @@ def score_window(lines: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     scored = lines.withColumn("_line", F.when(inside, F.col("line"))).withColumns(
         {
             "density": data_density(line),
-            "keyword_score": keyword_score(line),
             "delimited": has_separator(line),
         }
     )
-    return scored.withColumn("is_data", inside & is_data).drop("_line")
+    scored = scored.withColumn("is_data", inside & is_data)
+    searched = F.lit(all_keywords) | ~F.coalesce(F.col("is_data") & F.col("delimited"), F.lit(False))
+    return scored.withColumn("keyword_score", F.when(searched, keyword_score(line)).otherwise(F.lit(0))).drop("_line")
 
 
 def _by_density(structured_only: bool) -> Column:
@@ -106,18 +111,18 @@ def decide_header(lines: DataFrame, structured_only: bool = True) -> DataFrame:
     lines per statement. A blank header line is replaced by the last filled line above it;
     if the whole window is blank, the first filled line is the header. Blank statements have none.
     """
-    scored = score_window(with_chunk(lines))
+    scored = score_window(with_chunk(lines), all_keywords=False)
     inside = F.col("line_no") < WINDOW_LINES
     place = F.struct("line_no", "chunk")
     per_statement = scored.groupBy("statement_id").agg(
         (F.max("line_no") + 1).alias("n_lines"),
-        F.array_sort(F.collect_set("chunk")).alias("chunks"),
+        F.sort_array(F.collect_set("chunk")).alias("chunks"),
         F.coalesce(
             _by_density(structured_only),
             F.max_by("line_no", F.when(inside, F.struct("keyword_score", -F.col("line_no")))),
             F.lit(0),
         ).alias("found"),
-        F.array_sort(F.collect_list(F.when(inside & (strip_text(F.col("line")) != ""), place))).alias("filled"),
+        F.sort_array(F.collect_list(F.when(inside & (strip_text(F.col("line")) != ""), place))).alias("filled"),
         F.min(F.when(F.col("line").rlike(NOT_BLANK), place)).alias("first_filled"),
     )
     above = F.filter("filled", lambda w: w["line_no"] <= F.col("found"))

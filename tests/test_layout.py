@@ -253,3 +253,13 @@ def _exchanged_columns(df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return out
+
+
+def test_data_lines_are_not_searched_for_keywords(spark):
+    """A delimited data line settles the header by density; only other lines are searched, unless all are asked for."""
+    from sparkledger.operators.layout import score_window
+
+    lines = lines_of(spark, a="Date;Amount\n2024-01-01;12,50\nmemo 12345678\n")
+    scores = lambda **kw: [r["keyword_score"] for r in score_window(lines, **kw).orderBy("line_no").collect()]
+    assert scores() == [3, 1, 1]
+    assert scores(all_keywords=False) == [3, 0, 1]
