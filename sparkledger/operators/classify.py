@@ -20,25 +20,32 @@ from ..session import stage_table
 from .nearest import nearest_merchant
 
 GRAM = 3
+COUNTS = "_counts"
 
 
 # --- features -------------------------------------------------------------
 
 def char_grams(text: Column, size: int = GRAM) -> Column:
     """Runs of ``size`` characters of the text between two blanks."""
-    chars = F.split(F.concat(F.lit(" "), text, F.lit(" ")), "")
-    starts = lambda cs: F.when(F.size(cs) >= size, F.sequence(F.lit(1), F.size(cs) - (size - 1)))
-    run = lambda cs, i: F.concat(*[F.element_at(cs, i + k) for k in range(size)])
-    # Characters are taken from an array: substring would read the text up to
-    # its place for every run.
-    runs = let(chars, lambda cs: F.transform(starts(cs), lambda i: run(cs, i)))
+    # Each match takes one character and looks ahead for its run: one compiled pass over the text.
+    run = "(?s)(?=(" + "." * size + "))."
+    runs = F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(run), 1)
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
+def count_runs(df: DataFrame, text: str = "cleaned_description", dim: int = VECTOR_DIM) -> DataFrame:
+    """Adds the counts of the text's hashed runs.
+
+    This is the dear part of a vector, and no model is needed for it: texts that are learned from and then
+    encoded, or read in several rounds, are counted and staged first, without the text.
+    """
+    return _feature_stages(dim)[0].transform(df.withColumn("_grams", char_grams(F.col(text)))).drop("_grams")
+
+
 def _feature_stages(dim: int) -> list:
     return [
-        HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weights"),
+        HashingTF(inputCol="_grams", outputCol=COUNTS, numFeatures=dim),
+        IDF(inputCol=COUNTS, outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="_features"),
     ]
 
@@ -65,12 +72,19 @@ class TextEmbedder:
 
     @classmethod
     def fit(cls, texts: DataFrame, text: str = "cleaned_description", dim: int = VECTOR_DIM) -> TextEmbedder:
-        grams = texts.select(char_grams(F.col(text)).alias("_grams"))
-        return cls(Pipeline(stages=_feature_stages(dim)).fit(grams), text)
+        """Learn the weights from texts, or from rows of ``count_runs``."""
+        hashing, *weighing = _feature_stages(dim)
+        counted = texts if COUNTS in texts.columns else count_runs(texts, text, dim)
+        fitted = Pipeline(stages=weighing).fit(counted.select(COUNTS))
+        return cls(PipelineModel([hashing, *fitted.stages]), text)
 
     def transform(self, df: DataFrame, vector: str = "vector") -> DataFrame:
-        out = self.model.transform(df.withColumn("_grams", char_grams(F.col(self.text))))
-        return out.withColumn(vector, vector_to_array("_features")).drop("_grams", "_counts", "_weights", "_features")
+        """Adds the vector of the text; rows of ``count_runs`` need no text."""
+        hashing, *weighing = self.model.stages
+        counted = df if COUNTS in df.columns else count_runs(df, self.text, hashing.getNumFeatures())
+        out = PipelineModel(weighing).transform(counted)
+        made = [c for c in (COUNTS, "_weights", "_features") if c not in df.columns]
+        return out.withColumn(vector, vector_to_array("_features")).drop(*made)
 
 
 class LetterEncoder:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..functions.vectors import best_class
-from ..operators.classify import Categorizer, LetterEncoder, TextEmbedder, char_grams, class_centroids, label_ids, predict_by_centroid, uncertain_items
+from ..operators.classify import Categorizer, LetterEncoder, TextEmbedder, char_grams, class_centroids, count_runs, label_ids, predict_by_centroid, uncertain_items
 from ..operators.knowledge import (
     complete_feedback,
     distinct_categories,
@@ -16,6 +16,7 @@ from ..operators.knowledge import (
     merchants_from_text,
 )
 from ..operators.nearest import nearest_merchant, split_by_dimension
+from ..session import stage_table
 from . import views as V
 from .registry import query, table
 from .statement_queries import work_dir
@@ -64,7 +65,8 @@ def fea1(spark, d):
     v = F.col("vector")
     grams = F.size(char_grams(F.col("cleaned_description"))).cast("double")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return TextEmbedder.fit(docs).transform(docs).select("doc_id", grams.alias("n_grams"), F.round(norm, 6).alias("norm"))
+    counted = stage_table(count_runs(docs.withColumn("n_grams", grams)).drop("cleaned_description"), "runs")
+    return TextEmbedder.fit(counted).transform(counted).select("doc_id", "n_grams", F.round(norm, 6).alias("norm"))
 
 
 @query("udf3_encoder", f"""
@@ -75,6 +77,7 @@ SELECT doc_id, CASE WHEN n > 0 THEN [round(x / n, 6) FOR x IN v] ELSE v END AS l
 def udf3(spark, d):
     """Two encoders for one text: letter counts in value; hashed runs as saved and loaded, and against a model fitted on other texts."""
     docs = table(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned_description"))
+    docs = stage_table(count_runs(docs), "runs")
     path = work_dir(spark) + "/encoder"
     hashed = TextEmbedder.fit(docs)
     hashed.save(path)

@@ -2,10 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkledger.functions.text import clean_text
-from sparkledger.operators.classify import LetterEncoder, TextEmbedder
+from sparkledger.operators.classify import LetterEncoder, TextEmbedder, char_grams, count_runs
 from sparkledger.operators.knowledge import ENCODED_SCHEMA, merchants_from_text, resolve_texts, upsert_merchants
 from sparkledger.operators.learning import Knowledge, learning_round
 from sparkledger.operators.review import route
+from sparkledger.session import stage_table
 from sparkledger.sources.tables import MAPPINGS_SCHEMA, VersionedTable, upsert
 from sparkledger.streaming.ingest import Learner, StatementIngest, ingest_statements
 
@@ -137,3 +138,23 @@ def test_merchants_learned_between_batches(spark, tmp_path):
         ingest(pieces, int(batch_id))
     spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
     assert accounts() == before and merchants.versions() == versions == [1, 2]
+
+
+def test_runs_of_characters_in_order(spark):
+    """Runs are of characters, also where one takes two units of UTF-16; HashingTF counts them as before."""
+    texts = ["LIND FUEL", "A", "", "X\nY", "A\U0001F600B\U0001F600\U0001F601", None]
+    want = [[t[i : i + 3] for i in range(len(t) - 2)] if t else [] for t in [None if t is None else f" {t} " for t in texts]]
+    want[2] = []
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, cleaned_description string")
+    assert [r[0] for r in df.orderBy("i").select(char_grams(F.col("cleaned_description"))).collect()] == want
+    assert [sum(r["_counts"].values) for r in count_runs(df).orderBy("i").collect()] == [len(w) for w in want]
+
+
+def test_counted_texts_are_encoded_alike(spark):
+    """Rows whose runs were counted and staged give the model and the vectors that texts give."""
+    texts = rows_of(spark, "LIND FUEL DEPOT", "TEAHOUSE KETTLE", "LIND", "")
+    counted = stage_table(count_runs(texts).drop("cleaned_description"), "runs")
+    plain, staged = TextEmbedder.fit(texts), TextEmbedder.fit(counted)
+    assert plain.version == staged.version
+    vectors = lambda df: sorted(r["vector"] for r in df.collect())
+    assert vectors(plain.transform(texts)) == vectors(staged.transform(counted))
