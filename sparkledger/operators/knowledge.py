@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from ..constants import RESOLVE_THRESHOLD, VECTOR_DIM
 from ..functions.text import clean_text
+from ..session import stage_table
 from ..sources.tables import upsert
-from .classify import TextEmbedder
+from .classify import COUNTS, TextEmbedder, count_runs
 from .nearest import nearest_merchant, split_by_dimension
 
 MERCHANTS_SCHEMA = T.StructType(
@@ -44,12 +45,14 @@ def upsert_merchants(
 
 def merchants_from_text(additions: DataFrame, embedder: TextEmbedder) -> DataFrame:
     """(name, category, description) to merchant rows: the description, or the
-    name where there is none, is cleaned and turned into the vector."""
-    described = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name"))
-    text = additions.withColumn(embedder.text, clean_text(described))
-    rows = embedder.transform(text, "vector_embedding").drop(embedder.text).withColumnsRenamed(
+    name where there is none, is cleaned and turned into the vector. Rows of ``counted_feedback`` are turned into it at once."""
+    text = additions
+    if COUNTS not in additions.columns:
+        described = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name"))
+        text = additions.withColumn(embedder.text, clean_text(described)).drop("description")
+    rows = embedder.transform(text, "vector_embedding").drop(embedder.text, COUNTS).withColumnsRenamed(
         {"name": "canonical_name", "category": "default_category"}
-    ).drop("description")
+    )
     return rows.withColumn("encoder", F.lit(embedder.version))
 
 
@@ -59,11 +62,19 @@ def complete_feedback(labels: DataFrame) -> DataFrame:
     return labels.filter(filled("entity") & filled("category") & filled("description"))
 
 
+def counted_feedback(labels: DataFrame, text: str = "cleaned_description", dim: int = VECTOR_DIM) -> DataFrame:
+    """The complete labels with the runs of their cleaned descriptions counted, written once: an embedder
+    is fitted on them and ``update_knowledge`` takes them as they are."""
+    rows = complete_feedback(labels).withColumn(text, clean_text(F.col("description"))).drop("description")
+    return stage_table(count_runs(rows, text, dim).drop(text), "feedback")
+
+
 def update_knowledge(
     merchants: DataFrame, labels: DataFrame, embedder: TextEmbedder, dim: int = VECTOR_DIM, version: str | None = None
 ) -> DataFrame:
-    """Merchants after a round of labels (entity, category, description)."""
-    rows = complete_feedback(labels).withColumnRenamed("entity", "name")
+    """Merchants after a round of labels (entity, category, description), or of ``counted_feedback``."""
+    complete = labels if COUNTS in labels.columns else complete_feedback(labels)
+    rows = complete.withColumnRenamed("entity", "name")
     return upsert_merchants(merchants, merchants_from_text(rows, embedder), dim, version)
 
 

@@ -9,6 +9,7 @@ from ..functions.vectors import best_class
 from ..operators.classify import Categorizer, LetterEncoder, TextEmbedder, char_grams, class_centroids, count_runs, label_ids, predict_by_centroid, uncertain_items
 from ..operators.knowledge import (
     complete_feedback,
+    counted_feedback,
     distinct_categories,
     resolve_entities,
     update_knowledge,
@@ -245,9 +246,8 @@ SELECT 'Doc' || doc_id::varchar AS canonical_name, 'Q' || quality::varchar AS de
 UNION ALL SELECT 'B' || lpad(item_id::varchar, 6, '0'), 'Cat' || (item_id % 7)::varchar, 384 FROM benchmark""")
 def knw3(spark, d):
     """A round of labels over the merchants known so far."""
-    labels = _feedback(spark, d)
-    texts = complete_feedback(labels).select(clean_text(F.col("description")).alias("cleaned_description"))
-    embedder = TextEmbedder.fit(texts)
+    labels = counted_feedback(_feedback(spark, d))
+    embedder = TextEmbedder.fit(labels)
     merchants = merchants_from_text(_seed_merchants(spark, d), embedder)
     return update_knowledge(merchants, labels, embedder, version="version").select(
         "canonical_name", "default_category", F.size("vector_embedding").cast("bigint").alias("dim")

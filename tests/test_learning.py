@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkledger.functions.text import clean_text
 from sparkledger.operators.classify import LetterEncoder, TextEmbedder, char_grams, count_runs
-from sparkledger.operators.knowledge import ENCODED_SCHEMA, merchants_from_text, resolve_texts, upsert_merchants
+from sparkledger.operators.knowledge import ENCODED_SCHEMA, counted_feedback, merchants_from_text, resolve_texts, update_knowledge, upsert_merchants
 from sparkledger.operators.learning import Knowledge, learning_round
 from sparkledger.operators.review import route
 from sparkledger.session import stage_table
@@ -158,3 +158,16 @@ def test_counted_texts_are_encoded_alike(spark):
     assert plain.version == staged.version
     vectors = lambda df: sorted(r["vector"] for r in df.collect())
     assert vectors(plain.transform(texts)) == vectors(staged.transform(counted))
+
+
+def test_feedback_is_counted_once_and_updates_alike(spark):
+    labels = spark.createDataFrame(
+        [("Lind", "Fuel", "Lind fuel depot", 1), ("Lind", "Cars", "Lind cars", 2), ("Tea", "Tea", "tea room", 1), ("Open", None, "x", 1), ("Blank", "B", "", 1)],
+        "entity string, category string, description string, version int",
+    )
+    counted = counted_feedback(labels)
+    encoder = TextEmbedder.fit(counted)
+    stored = spark.createDataFrame([], ENCODED_SCHEMA)
+    read = lambda df: sorted(map(tuple, df.collect()))
+    assert read(update_knowledge(stored, counted, encoder, version="version")) == read(update_knowledge(stored, labels, encoder, version="version"))
+    assert {r["canonical_name"]: r["default_category"] for r in update_knowledge(stored, counted, encoder, version="version").collect()} == {"Lind": "Cars", "Tea": "Tea"}
