@@ -137,24 +137,25 @@ class Categorizer:
     def train(
         cls, labelled: DataFrame, text: str = "cleaned_description", label: str = "category", dim: int = VECTOR_DIM
     ) -> Categorizer:
-        """Fit on (text, label). Equal examples become one weighted row first."""
+        """Fit on (text, label). Equal examples become one weighted row first; their runs are counted once for all rounds."""
         examples = (
             labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull())
             .groupBy(F.col(text).alias("_text"), F.col(label).cast("string").alias("_label"))
             .agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-            .withColumn("_grams", char_grams(F.col("_text")))
         )
+        examples = stage_table(count_runs(examples, "_text", dim).drop("_text"), "examples")
         if examples.isEmpty():
             return cls(None, text)
+        hashing, *weighing = _feature_stages(dim)
         stages = [
-            *_feature_stages(dim),
+            *weighing,
             StringIndexer(inputCol="_label", outputCol="_target", stringOrderType="alphabetAsc"),
             LogisticRegression(
                 featuresCol="_features", labelCol="_target", weightCol="_weight", probabilityCol="_probability",
                 rawPredictionCol="_raw", predictionCol="_prediction", family="multinomial", regParam=0.001, maxIter=50,
             ),
         ]
-        return cls(Pipeline(stages=stages).fit(examples), text)
+        return cls(PipelineModel([hashing, *Pipeline(stages=stages).fit(examples).stages]), text)
 
     def predict(self, df: DataFrame, threshold: float = PREDICT_THRESHOLD) -> DataFrame:
         """Adds category (null below the threshold) and confidence."""

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkledger.functions.text import clean_text
-from sparkledger.operators.classify import LetterEncoder, TextEmbedder, char_grams, count_runs
+from sparkledger.operators.classify import Categorizer, LetterEncoder, TextEmbedder, char_grams, count_runs
 from sparkledger.operators.knowledge import ENCODED_SCHEMA, counted_feedback, merchants_from_text, resolve_texts, update_knowledge, upsert_merchants
 from sparkledger.operators.learning import Knowledge, learning_round
 from sparkledger.operators.review import route
@@ -160,6 +160,19 @@ def test_counted_texts_are_encoded_alike(spark):
     assert vectors(plain.transform(texts)) == vectors(staged.transform(counted))
 
 
+def test_training_reads_its_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    rows = [("LIND FUEL", "Fuel"), ("LIND DIESEL", "Fuel"), ("TEA ROOM", "Tea"), ("TEA", "Tea")]
+    labelled = spark.createDataFrame(rows, "t string, category string").select(F.udf(look)("t").alias("cleaned_description"), "category")
+    model = Categorizer.train(labelled)
+    assert model.trained and seen.value <= 2 * len(rows)
+
+
 def test_feedback_is_counted_once_and_updates_alike(spark):
     labels = spark.createDataFrame(
         [("Lind", "Fuel", "Lind fuel depot", 1), ("Lind", "Cars", "Lind cars", 2), ("Tea", "Tea", "tea room", 1), ("Open", None, "x", 1), ("Blank", "B", "", 1)],
