@@ -7,14 +7,56 @@ the splits. Lines are laid out once, in buckets of statement and chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+import re
+import sys
+import uuid
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_bucketed
 
+# The functions below that run inside tasks travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LINE_BREAK = r"\r\n|\n|\r"
+#: What Spark writes as %XX in the name of a partition's folder, and the folder of null.
+ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_statements(lines: DataFrame, path: str) -> None:
+    """Write lines(statement_id, line_no, line) as one text file for each statement, in a folder ``statement_id=...`` of its own.
+
+    Hadoop's local file system starts ``chmod`` several times for each file, which takes longer than all the rest; where
+    ``path`` is in a mounted folder, tasks write the files themselves. A file gets its name when it is complete, and the
+    same one when a task is run again. Other stores are left to Spark's writer.
+    """
+    spark = lines.sparkSession
+    dealt = lines.repartition("statement_id").sortWithinPartitions("statement_id", "line_no").select(F.col("statement_id").cast("string"), "line")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        dealt.write.partitionBy("statement_id").text(path)
+        return
+    root = target.toUri().getPath()
+    os.makedirs(root)
+    dealt.foreachPartition(lambda rows: _write_files(rows, root))
+
+
+def _write_files(rows: Iterator[Row], root: str) -> None:
+    for statement_id, group in groupby(rows, key=lambda r: r["statement_id"]):
+        name = ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", statement_id) if statement_id else NULL_FOLDER
+        folder = f"{root}/statement_id={name}"
+        os.makedirs(folder, exist_ok=True)
+        # Spark's readers pass over names that begin with a dot.
+        open_file = f"{folder}/.{uuid.uuid4().hex}"
+        with open(open_file, "w", encoding="utf-8", newline="") as out:
+            out.writelines(f"{r['line'] or ''}\n" for r in group)
+        os.replace(open_file, f"{folder}/part-0.txt")
 
 
 def read_statements(spark: SparkSession, path: str | list[str]) -> DataFrame:

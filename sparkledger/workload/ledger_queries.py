@@ -18,6 +18,7 @@ from ..operators.ledger import (
 )
 from ..operators.quality import collect_errors, count_failures, mark_quarantine, split_quarantine
 from ..plans.statements import statements_to_ledger
+from ..sources.statements import write_statements
 from ..sources.tables import VersionedTable
 from ..streaming.ingest import Learner, ingest_statements
 from . import views as V
@@ -201,10 +202,7 @@ def str1(spark, d):
     base = work_dir(spark)
     lines = V.statement_lines(spark, d)
     second = F.col("statement_id") > F.lit("s000000010")
-    deliver = lambda rows, name: (
-        rows.repartition("statement_id").sortWithinPartitions("statement_id", "line_no").select("statement_id", "line")
-        .write.partitionBy("statement_id").text(f"{base}/incoming/{name}")
-    )
+    deliver = lambda rows, name: write_statements(rows, f"{base}/incoming/{name}")
 
     def resolver(transactions):
         text = clean_text(F.col("description"))
@@ -256,8 +254,7 @@ def str1_learned(spark, d):
     words = {0: [], 1: [("1-URGENT", "Expenses:1-URGENT", "urgent", 1)], 2: [("1-URGENT", "Expenses:Rush", "urgent", 2), ("2-HIGH", "Expenses:2-HIGH", "high", 1)]}
     for delivery, named in words.items():
         said += named
-        rows = lines.filter(part == delivery).repartition("statement_id").sortWithinPartitions("statement_id", "line_no")
-        rows.select("statement_id", "line").write.partitionBy("statement_id").text(f"{base}/incoming/{delivery}")
+        write_statements(lines.filter(part == delivery), f"{base}/incoming/{delivery}")
         ingest_statements(spark, f"{base}/incoming", f"{base}/out", f"{base}/checkpoint", learner).awaitTermination()
     ledger = _day(spark.read.parquet(f"{base}/out/ledger"))
     return ledger.select(

@@ -42,7 +42,7 @@ from ..operators.normalize import constant_columns
 from ..plans.statements import normalize_statements
 from ..session import shared_dir, stage_table
 from ..sources.sinks import nan_to_null, write_ledger_csv, write_quarantine, write_records
-from ..sources.statements import lines_from_content, read_statements
+from ..sources.statements import lines_from_content, read_statements, write_statements
 from ..sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings
 from . import views as V
 from .registry import query, table
@@ -64,9 +64,7 @@ def work_dir(spark) -> str:
 def src1(spark, d):
     """Write the statements as files, one folder each, and read them as numbered lines."""
     path = work_dir(spark) + "/incoming"
-    lines = V.statement_lines(spark, d)
-    files = lines.repartition("statement_id").sortWithinPartitions("statement_id", "line_no")
-    files.select("statement_id", "line").write.partitionBy("statement_id").text(path)
+    write_statements(V.statement_lines(spark, d), path)
     read = read_statements(spark, path).withColumn(
         "statement_id", F.regexp_extract("statement_id", r"statement_id=([^/]+)", 1)
     )

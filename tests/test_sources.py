@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkledger.operators.mapping import resolve_mapping
 from sparkledger.sources.sinks import nan_to_null, write_quarantine
-from sparkledger.sources.statements import lines_from_content, number_rows, read_statements
+from sparkledger.sources.statements import lines_from_content, number_rows, read_statements, write_statements
 from sparkledger.sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings, upsert
 
 
@@ -89,3 +89,17 @@ def test_lines_are_laid_out_once(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(layout, "stage_bucketed", lambda *a: made.append(a[1]) or stage(*a))
     assert QUERIES[name](spark, str(tmp_path)).count() == (4 if name.startswith("src8") else 8)
     assert made == ["lines"]
+
+
+def test_statements_are_written_as_files_of_their_own(spark, tmp_path):
+    """One folder and file for each statement, named as Spark names them, without the checksums that its writer leaves."""
+    rows = [("a", 1, "second"), ("a", 0, "first, ü"), ("b/c d=1", 0, None), (None, 0, "x")]
+    write_statements(spark.createDataFrame(rows, "statement_id string, line_no bigint, line string"), str(tmp_path / "in"))
+    files = {str(p.relative_to(tmp_path / "in")): p.read_text() for p in (tmp_path / "in").rglob("*") if p.is_file()}
+    assert files == {
+        "statement_id=a/part-0.txt": "first, ü\nsecond\n", "statement_id=b%2Fc d%3D1/part-0.txt": "\n",
+        "statement_id=__HIVE_DEFAULT_PARTITION__/part-0.txt": "x\n",
+    }
+    read = spark.read.text(str(tmp_path / "in")).collect()
+    assert sorted((r["statement_id"] or "", r["value"]) for r in read) == [("", "x"), ("a", "first, ü"), ("a", "second"), ("b/c d=1", "")]
+    assert read_statements(spark, str(tmp_path / "in")).count() == 4
