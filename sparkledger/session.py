@@ -17,6 +17,9 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_DEFAULT = 10_000
+
 
 def build_session(app: str = "sparkledger", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -31,6 +34,17 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def list_in_few_tasks(spark: SparkSession) -> SparkSession:
+    """Let file listings run as a few tasks for each core.
+
+    Spark makes a task for each folder, up to 10,000, and starting a task takes far longer than reading a folder
+    of one file. A number that was set is kept.
+    """
+    if int(spark.conf.get(LISTING_TASKS)) == LISTING_DEFAULT:
+        spark.conf.set(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. In local mode one is made where none is named;
     on a cluster that is an error, as executors would write to their own disks."""

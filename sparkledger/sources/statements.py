@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_bucketed
+from ..session import list_in_few_tasks, stage_bucketed
 
 # The functions below that run inside tasks travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,7 +61,7 @@ def _write_files(rows: Iterator[Row], root: str) -> None:
 
 def read_statements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """lines(statement_id, line_no, line, chunk) of all text files under ``path``."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path)
+    files = list_in_few_tasks(spark).read.option("recursiveFileLookup", "true").text(path)
     return number_file_lines(
         files.select(
             F.col("_metadata.file_path").alias("statement_id"),

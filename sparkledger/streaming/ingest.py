@@ -13,7 +13,7 @@ from ..operators.ledger import generate_splits
 from ..operators.quality import split_quarantine
 from ..operators.review import PROCESSED
 from ..plans.statements import normalize_statements, route_statements
-from ..session import stage_table
+from ..session import list_in_few_tasks, stage_table
 from ..sources.statements import number_file_lines
 from ..sources.tables import VersionedTable
 
@@ -57,7 +57,7 @@ class Learner(NamedTuple):
 
 
 def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
+    reader = list_in_few_tasks(spark).readStream.format("text").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path).select(

@@ -7,6 +7,7 @@ from sparkledger.operators.mapping import resolve_mapping
 from sparkledger.sources.sinks import nan_to_null, write_quarantine
 from sparkledger.sources.statements import lines_from_content, number_rows, read_statements, write_statements
 from sparkledger.sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings, upsert
+from sparkledger.streaming.ingest import read_new_statements
 
 
 def test_line_numbers_across_splits(spark, tmp_path):
@@ -103,3 +104,22 @@ def test_statements_are_written_as_files_of_their_own(spark, tmp_path):
     read = spark.read.text(str(tmp_path / "in")).collect()
     assert sorted((r["statement_id"] or "", r["value"]) for r in read) == [("", "x"), ("a", "first, ü"), ("a", "second"), ("b/c d=1", "")]
     assert read_statements(spark, str(tmp_path / "in")).count() == 4
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path, stream):
+    """A task for each folder took 24 ms a folder, most of it to start the task."""
+    folders = 100
+    for i in range(folders):
+        (tmp_path / f"in/statement_id=s{i}").mkdir(parents=True)
+        (tmp_path / f"in/statement_id=s{i}/part-0.txt").write_text("a\nb\n")
+    group, tracker = f"listing-{stream}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = read_new_statements(spark, str(tmp_path / "in")) if stream else read_statements(spark, str(tmp_path / "in"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) < folders
+    if not stream:
+        assert found.count() == 2 * folders
