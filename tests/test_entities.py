@@ -256,3 +256,19 @@ def test_places_of_long_lines_are_found(spark):
     df = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
     got = {r["name"]: r["found"] for r in find_similar_inside(df([line], "line"), df(names, "name"), min_score=0.9).collect()}
     assert got == {**{n: n for n in names}, "brotoost lader": "brotoost laden", "letzte halle": "letzte hale"}
+
+
+def test_jobs_do_not_grow_with_merchants(spark):
+    """A table too large for one block took a job for each block; keys, null names and ties come out as with one block."""
+    ms, qs, _ = merchants_and_queries(spark, 300, 16, 7)
+    twins = ms.limit(40).selectExpr("cast(null as string) as canonical_name", "default_category", "vector_embedding")
+    ms, qs = ms.unionByName(twins), qs.selectExpr("query_id + 9007199254740993L as query_id", "vector")
+    rows = lambda df: sorted((r["query_id"], r["canonical_name"] or "", round(r["similarity"], 6)) for r in df.collect())
+    want = rows(N.nearest_merchant(qs, ms, 16, 0.2))
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    try:
+        got = rows(N.nearest_merchant(qs, ms, 16, 0.2, broadcast_bytes=2000))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("blocks")) < 12
+    assert got == want
