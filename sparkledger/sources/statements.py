@@ -1,7 +1,7 @@
 """Reading raw statements as ordered lines (SRC1, SRC2) and dense numbering.
 
-A statement file may be larger than any executor, so files are never read
-whole: Spark splits them, and exact line numbers come from the line counts of
+A statement file may be larger than any executor, so only small files are read
+whole: Spark splits the others, and exact line numbers come from the line counts of
 the splits. Lines are laid out once, in buckets of statement and chunk.
 """
 
@@ -12,6 +12,7 @@ import re
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import groupby
 
 from pyspark import cloudpickle
@@ -24,6 +25,11 @@ from ..session import list_in_few_tasks, stage_bucketed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINE_BREAK = r"\r\n|\n|\r"
+BOM = b"\xef\xbb\xbf"
+#: Larger files, in bytes, are split.
+SMALL_FILE = 1 << 20
+#: What Hadoop would read as a pattern in the name of a file.
+GLOB = re.compile(r"[{}\[\]*?\\]")
 #: What Spark writes as %XX in the name of a partition's folder, and the folder of null.
 ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
@@ -59,29 +65,70 @@ def _write_files(rows: Iterator[Row], root: str) -> None:
         os.replace(open_file, f"{folder}/part-0.txt")
 
 
+def packed_endings(spark: SparkSession) -> list[str]:
+    """Endings of the names of files that Hadoop unpacks when it reads their lines."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    return sorted({hadoop.util.ReflectionUtils.newInstance(c, conf).getDefaultExtension() for c in codecs})
+
+
+def select_files(files: DataFrame) -> DataFrame:
+    """(statement_id, content) of Spark's ``binaryFile``; null for packed files and for those over ``SMALL_FILE`` bytes or
+    the size of Spark's splits, which are not read here."""
+    spark = files.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    limit = min(SMALL_FILE, split)
+    named = files.select(F.col("_metadata.file_path").alias("statement_id"), "path", "length", "content")
+    packed = reduce(lambda a, b: a | b, [F.lower("path").endswith(e) for e in packed_endings(spark)], F.lit(False))
+    whole = named.filter(F.col("length") <= limit).filter(~packed).select("statement_id", "content")
+    others = named.filter((F.col("length") > limit) | packed)
+    return whole.unionByName(others.select("statement_id", F.lit(None).cast("binary").alias("content")))
+
+
+def _place(pieces: DataFrame) -> DataFrame:
+    """(statement_id, chunk, position, line) from (statement_id, block_start, line) in scan order."""
+    return pieces.select("statement_id", F.col("block_start").cast("bigint").alias("chunk"), F.monotonically_increasing_id().alias("position"), "line")
+
+
+def stage_lines(files: DataFrame) -> DataFrame:
+    """Lines of all ``select_files`` in buckets of statement and split, each with its position in scan order.
+
+    Spark's text reader copies Hadoop's settings for each file, which takes far longer than to read a small one. Small files
+    come as one value each and are cut where Hadoop cuts; the others are left to the text reader, which splits or
+    unpacks them. Latin-1 has a character for every byte, so bytes that are no UTF-8 stay.
+    """
+    spark, keys = files.sparkSession, ["statement_id", "chunk"]
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\A" + BOM.decode("ISO-8859-1"), "")
+    parts = F.split(F.regexp_replace(text, "(?:" + LINE_BREAK + r")\z", ""), LINE_BREAK, -1)
+    other = F.array(F.lit(None).cast("string"))
+    filled = files.filter(F.col("content").isNull() | ~F.col("content").isin(bytearray(), bytearray(BOM)))
+    cut = filled.select("statement_id", F.lit(0).alias("block_start"), F.explode(F.when(F.col("content").isNull(), other).otherwise(parts)).alias("line"))
+    placed = stage_bucketed(_place(cut.withColumn("line", F.encode("line", "ISO-8859-1").cast("string"))), "lines", keys)
+    jvm = spark._jvm
+    others = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r[0])).toString() for r in placed.filter("line is null").select("statement_id").collect()]
+    if not others:
+        return placed
+    read = list_in_few_tasks(spark).read.option("recursiveFileLookup", "true").text([GLOB.sub(r"\\\g<0>", p) for p in others])
+    pieces = read.select(F.col("_metadata.file_path").alias("statement_id"), F.col("_metadata.file_block_start").alias("block_start"), F.col("value").alias("line"))
+    return stage_bucketed(placed.filter("line is not null").unionByName(_place(pieces)), "lines", keys)
+
+
 def read_statements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """lines(statement_id, line_no, line, chunk) of all text files under ``path``."""
-    files = list_in_few_tasks(spark).read.option("recursiveFileLookup", "true").text(path)
-    return number_file_lines(
-        files.select(
-            F.col("_metadata.file_path").alias("statement_id"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.col("value").alias("line"),
-        )
-    )
+    files = list_in_few_tasks(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return number_file_lines(select_files(files))
 
 
-def number_file_lines(pieces: DataFrame) -> DataFrame:
-    """Line numbers from (statement_id, block_start, line) in scan order.
+def number_file_lines(files: DataFrame) -> DataFrame:
+    """lines(statement_id, line_no, line, chunk) of ``select_files``.
 
     Inside a split the row position counts lines one by one, so a line's number
     is the number of lines in the earlier splits of its file plus its offset in
-    its own split. The lines are read and written once, in buckets of statement and
-    split; one small row per split is summed up in order and meets them there. The
+    its own split. The lines are read and written once (``stage_lines``); one small row per split
+    is summed up in order and meets them there. The
     split stays as ``chunk``: all later steps join and group on it in place.
     """
-    placed = pieces.select("statement_id", F.col("block_start").cast("bigint").alias("chunk"), F.monotonically_increasing_id().alias("position"), "line")
-    placed = stage_bucketed(placed, "lines", ["statement_id", "chunk"])
+    placed = stage_lines(files)
     blocks = placed.groupBy("statement_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"))
     before = Window.partitionBy("statement_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("statement_id", "chunk", "first_position", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

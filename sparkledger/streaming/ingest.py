@@ -14,10 +14,11 @@ from ..operators.quality import split_quarantine
 from ..operators.review import PROCESSED
 from ..plans.statements import normalize_statements, route_statements
 from ..session import list_in_few_tasks, stage_table
-from ..sources.statements import number_file_lines
+from ..sources.statements import number_file_lines, select_files
 from ..sources.tables import VersionedTable
 
 Resolver = Callable[[DataFrame], DataFrame]
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def statement_fingerprints(lines: DataFrame) -> DataFrame:
@@ -57,14 +58,11 @@ class Learner(NamedTuple):
 
 
 def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = list_in_few_tasks(spark).readStream.format("text").option("recursiveFileLookup", "true")
+    """(statement_id, content) of the files that are new; ``number_file_lines`` gives a batch's lines."""
+    reader = list_in_few_tasks(spark).readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(
-        F.col("_metadata.file_path").alias("statement_id"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("value").alias("line"),
-    )
+    return select_files(reader.load(path))
 
 
 class StatementIngest:
@@ -101,10 +99,10 @@ class StatementIngest:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def __call__(self, pieces: DataFrame, batch_id: int) -> None:
+    def __call__(self, files: DataFrame, batch_id: int) -> None:
         query_id = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = f"{query_id}-{batch_id}"
-        lines = number_file_lines(pieces)
+        lines = number_file_lines(files)
         if isinstance(self.resolver, Learner):
             self.resolver.take_in(batch)
         prints = stage_table(statement_fingerprints(lines), "fingerprints")
