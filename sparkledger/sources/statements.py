@@ -14,12 +14,15 @@ import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import list_in_few_tasks, stage_bucketed
+from .files import list_files, local_roots, read_small
 
 # The functions below that run inside tasks travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,19 +53,23 @@ def write_statements(lines: DataFrame, path: str) -> None:
         return
     root = target.toUri().getPath()
     os.makedirs(root)
-    dealt.foreachPartition(lambda rows: _write_files(rows, root))
+    dealt.mapInArrow(lambda batches: _write_files(batches, root), "files bigint").write.format("noop").mode("overwrite").save()
 
 
-def _write_files(rows: Iterator[Row], root: str) -> None:
-    for statement_id, group in groupby(rows, key=lambda r: r["statement_id"]):
+def _write_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    files = 0
+    for statement_id, group in groupby(rows, key=itemgetter(0)):
         name = ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", statement_id) if statement_id else NULL_FOLDER
         folder = f"{root}/statement_id={name}"
         os.makedirs(folder, exist_ok=True)
         # Spark's readers pass over names that begin with a dot.
         open_file = f"{folder}/.{uuid.uuid4().hex}"
         with open(open_file, "w", encoding="utf-8", newline="") as out:
-            out.writelines(f"{r['line'] or ''}\n" for r in group)
+            out.writelines(f"{line or ''}\n" for _, line in group)
         os.replace(open_file, f"{folder}/part-0.txt")
+        files += 1
+    yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
 
 
 def packed_endings(spark: SparkSession) -> list[str]:
@@ -72,12 +79,23 @@ def packed_endings(spark: SparkSession) -> list[str]:
     return sorted({hadoop.util.ReflectionUtils.newInstance(c, conf).getDefaultExtension() for c in codecs})
 
 
+def small_file(spark: SparkSession) -> int:
+    """Bytes up to which a file is read in one piece: ``SMALL_FILE`` or the size of Spark's splits."""
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return min(SMALL_FILE, split)
+
+
+def read_listed(files: DataFrame) -> DataFrame:
+    """``select_files`` of ``list_files``, read by tasks."""
+    spark = files.sparkSession
+    return read_small(files, small_file(spark), packed_endings(spark))
+
+
 def select_files(files: DataFrame) -> DataFrame:
-    """(statement_id, content) of Spark's ``binaryFile``; null for packed files and for those over ``SMALL_FILE`` bytes or
-    the size of Spark's splits, which are not read here."""
+    """(statement_id, content) of Spark's ``binaryFile``; null for packed files and for those over ``small_file``
+    bytes, which are not read here."""
     spark = files.sparkSession
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    limit = min(SMALL_FILE, split)
+    limit = small_file(spark)
     named = files.select(F.col("_metadata.file_path").alias("statement_id"), "path", "length", "content")
     packed = reduce(lambda a, b: a | b, [F.lower("path").endswith(e) for e in packed_endings(spark)], F.lit(False))
     whole = named.filter(F.col("length") <= limit).filter(~packed).select("statement_id", "content")
@@ -93,11 +111,14 @@ def _place(pieces: DataFrame) -> DataFrame:
 def stage_lines(files: DataFrame) -> DataFrame:
     """Lines of all ``select_files`` in buckets of statement and split, each with its position in scan order.
 
+    Lines that were read already, (statement_id, block_start, line) in scan order, are laid out as they are.
     Spark's text reader takes some 3 ms of a task for each file, far longer than to read a small one. Small files
     come as one value each and are cut where Hadoop cuts; the others are left to the text reader, which splits or
     unpacks them. Latin-1 has a character for every byte, so bytes that are no UTF-8 stay.
     """
     spark, keys = files.sparkSession, ["statement_id", "chunk"]
+    if "line" in files.columns:
+        return stage_bucketed(_place(files), "lines", keys)
     text = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\A" + BOM.decode("ISO-8859-1"), "")
     parts = F.split(F.regexp_replace(text, "(?:" + LINE_BREAK + r")\z", ""), LINE_BREAK, -1)
     other = F.array(F.lit(None).cast("string"))
@@ -114,13 +135,20 @@ def stage_lines(files: DataFrame) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """lines(statement_id, line_no, line, chunk) of all text files under ``path``."""
+    """lines(statement_id, line_no, line, chunk) of all text files under ``path``.
+
+    In a mounted folder tasks list and read the files, so the driver does not hold their names. Other stores are
+    left to Spark's reader, whose listing is in the driver.
+    """
+    roots = local_roots(spark, path)
+    if roots is not None:
+        return number_file_lines(read_listed(list_files(spark, roots)))
     files = list_in_few_tasks(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return number_file_lines(select_files(files))
 
 
 def number_file_lines(files: DataFrame) -> DataFrame:
-    """lines(statement_id, line_no, line, chunk) of ``select_files``.
+    """lines(statement_id, line_no, line, chunk) of ``select_files`` or of lines as ``stage_lines`` takes them.
 
     Inside a split the row position counts lines one by one, so a line's number
     is the number of lines in the earlier splits of its file plus its offset in

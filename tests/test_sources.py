@@ -3,11 +3,12 @@ import random
 from urllib.parse import unquote
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from sparkledger.operators.mapping import resolve_mapping
-from sparkledger.sources import statements
+from sparkledger.sources import files, statements
 from sparkledger.sources.sinks import nan_to_null, write_quarantine
 from sparkledger.sources.statements import lines_from_content, number_rows, read_statements, write_statements
 from sparkledger.sources.tables import MAPPINGS_SCHEMA, VersionedTable, save_mappings, upsert
@@ -159,3 +160,24 @@ def test_only_large_and_packed_files_go_to_the_text_reader(spark, tmp_path, monk
     plain = lambda uri: unquote(uri).replace("file:///", "/").replace("file:/", "/")
     assert sorted((plain(i), no, bytes(line)) for i, no, line in rows) == sorted((plain(i), no, line) for i, no, line in wanted)
     assert [len(paths) for paths in asked] == [2]
+
+
+def test_tasks_list_and_read_a_mounted_folder(spark, tmp_path, monkeypatch):
+    """Spark's listing held all files in the driver; rounds of tasks find the same ones under the same names."""
+    names = ["a b", "p%20", "x [1]", "é\xa0n", "h#?", "q'\"{\\", "_h=1", "_hidden", ".dot", "x._COPYING_", *[f"n{i}" for i in range(9)]]
+    for name in names:
+        (tmp_path / "in" / name / "deep").mkdir(parents=True)
+        (tmp_path / "in" / name / f"{name}.txt").write_text(f"{name}\n")
+        (tmp_path / "in" / name / "deep" / "d.txt").write_text("d\n")
+    load = DataFrameReader.load
+    plain = lambda path: load(spark.read.format("binaryFile").option("recursiveFileLookup", "true"), path).select("_metadata.file_path").collect()
+    monkeypatch.setattr(files, "FOLDERS_AT_ONCE", 2)
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **k: pytest.fail("listed in the driver"))
+    one, pattern = str(tmp_path / "in" / "n0" / "n0.txt"), str(tmp_path / "in" / "n[1-3]")
+    for path in (str(tmp_path / "in"), one, pattern, [str(tmp_path / "in"), pattern]):
+        found = read_statements(spark, path).collect()
+        assert sorted(r["statement_id"] for r in found) == sorted(r[0] for r in plain(path))
+    assert {r["line"] for r in read_statements(spark, one).collect()} == {"n0"}
+    monkeypatch.undo()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_statements(spark, str(tmp_path / "none"))
