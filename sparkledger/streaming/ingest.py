@@ -14,10 +14,12 @@ from ..operators.quality import split_quarantine
 from ..operators.review import PROCESSED
 from ..plans.statements import normalize_statements, route_statements
 from ..session import list_in_few_tasks, stage_table
-from ..sources.statements import number_file_lines, select_files
+from ..sources.files import list_files, local_roots
+from ..sources.statements import number_file_lines, read_listed, select_files
 from ..sources.tables import VersionedTable
 
 Resolver = Callable[[DataFrame], DataFrame]
+LISTING = "statement_id string, modified double"
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -57,8 +59,41 @@ class Learner(NamedTuple):
         self.merchants.update(lambda stored: stored if said is None else self.learn(stored, said), tag=batch)
 
 
-def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """(statement_id, content) of the files that are new; ``number_file_lines`` gives a batch's lines."""
+def note_new_files(spark: SparkSession, path: str, listings: str, max_files: int | None = None) -> bool:
+    """Write the names of the files that ``listings`` does not have as new Parquet files there, of ``max_files`` names
+    at most, the oldest first. False where ``path`` is not in a mounted folder.
+
+    A run that dies half-way leaves listings that are true as they are; the next one adds what they lack.
+    """
+    roots = local_roots(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(listings)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if roots is None and not store.exists(folder):
+        return False
+    store.mkdirs(folder)
+    if roots is not None:
+        noted = spark.read.schema(LISTING).parquet(listings).select("statement_id")
+        new = stage_table(list_files(spark, roots).join(noted, "statement_id", "left_anti"), "new-files")
+        if max_files:
+            new = new.coalesce(1).sortWithinPartitions("modified", "statement_id")
+        # An empty listing would make a micro-batch.
+        if not new.isEmpty():
+            new.write.option("maxRecordsPerFile", max_files or 0).mode("append").parquet(listings)
+    return True
+
+
+def read_new_statements(spark: SparkSession, path: str, max_files: int | None = None, listings: str | None = None) -> DataFrame:
+    """(statement_id, content) of the files that are new; ``number_file_lines`` gives a batch's lines.
+
+    Spark's file stream holds all files it has seen in the driver. With a folder ``listings``, which belongs to the
+    stream's checkpoint, tasks list a mounted ``path`` and what streams are the listings: the names that are new when this
+    is called. Other stores are left to Spark's stream.
+    """
+    if listings and note_new_files(spark, path, listings, max_files):
+        reader = spark.readStream.schema(LISTING)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", 1)
+        return read_listed(reader.parquet(listings))
     reader = list_in_few_tasks(spark).readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -132,7 +167,7 @@ def ingest_statements(
 ) -> StreamingQuery:
     """Take in everything waiting in ``incoming``, then stop."""
     return (
-        read_new_statements(spark, incoming, max_files)
+        read_new_statements(spark, incoming, max_files, f"{checkpoint.rstrip('/')}/listings")
         .writeStream.foreachBatch(StatementIngest(spark, out, resolver, mappings))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
