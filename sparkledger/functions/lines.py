@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,22 @@ from ..constants import DENSITY_CHARS, HEADER_KEYWORDS, SEPARATORS
 from .binding import let
 from .text import strip_text
 
+ASCII_LETTERS, ASCII_DIGITS = string.ascii_letters, string.digits
+#: Neither letters nor digits nor separators; NUL has a meaning of its own in ``translate``.
+ASCII_OTHERS = "".join(c for c in map(chr, range(1, 128)) if c not in ASCII_LETTERS + ASCII_DIGITS and c not in SEPARATORS)
+
 
 def _sketch(line: Column) -> Column:
     """The line with every digit as '0', every letter as 'a', separators kept.
 
-    Three passes over the line; the token counts then need no further regex.
+    The token counts then need no further regex. Lines of ASCII take one pass by a table of characters; others
+    take a pattern for each kind.
     """
+    table = F.translate(line, ASCII_LETTERS + ASCII_DIGITS + ASCII_OTHERS, "a" * len(ASCII_LETTERS) + "0" * len(ASCII_DIGITS))
+    return let(table, lambda t: F.when(t.rlike(r"\A[0a;,\t|]*+\z"), t).otherwise(_sketch_by_patterns(line)))
+
+
+def _sketch_by_patterns(line: Column) -> Column:
     c = F.regexp_replace(line, r"\p{Nd}", "0")
     c = F.regexp_replace(c, r"\p{L}", "a")
     return F.regexp_replace(c, r"[^0a;,\t|]", "")

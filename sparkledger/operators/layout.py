@@ -8,6 +8,7 @@ statement and chunk: what is decided comes to them, and their text is not shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,12 +166,24 @@ def choose_delimiter(header_line: Column) -> Column:
     return let(bare, lambda text: F.array_max(F.array(none, *ranked(text)))["sep"])
 
 
+def _by_delimiter(delimiter: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of the delimiter and its pattern. Known ones come as literals: other patterns are compiled for each row."""
+    chosen = make(delimiter, F.when(delimiter == "|", F.lit(r"\|")).otherwise(delimiter))
+    for known in SEPARATORS:
+        chosen = F.when(delimiter == known, make(F.lit(known), F.lit(r"\|" if known == "|" else known))).otherwise(chosen)
+    return chosen
+
+
 def split_fields(line: Column, delimiter: Column) -> Column:
     """Cells of a line; quoted cells may contain the delimiter and doubled quotes."""
     sep = F.when(delimiter == "|", F.lit(r"\|")).otherwise(delimiter)
     plain = F.split(line, sep, -1)
-    cell = F.concat(sep, F.lit(r'("[^"]*+(?:""[^"]*+)*+"[^'), delimiter, F.lit("]*+|[^"), delimiter, F.lit("]*+)"))
-    found = F.regexp_extract_all(F.concat(delimiter, line), cell, F.lit(1))
+
+    def cells(d: Column, sep_: Column) -> Column:
+        cell = F.concat(sep_, F.lit(r'("[^"]*+(?:""[^"]*+)*+"[^'), d, F.lit("]*+|[^"), d, F.lit("]*+)"))
+        return F.regexp_extract_all(F.concat(d, line), cell, F.lit(1))
+
+    found = _by_delimiter(delimiter, cells)
     unquote = lambda c: F.when(
         F.startswith(c, F.lit('"')),
         F.replace(F.regexp_replace(c, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$', "$1$2"), F.lit('""'), F.lit('"')),
@@ -187,10 +200,12 @@ def has_open_quote(line: Column, delimiter: Column) -> Column:
 
     What follows the last complete cell begins with a quote.
     """
-    sep = F.when(delimiter == "|", F.lit(r"\|")).otherwise(delimiter)
-    cell = F.concat(F.lit(r'(?:"[^"]*+(?:""[^"]*+)*+"[^'), delimiter, F.lit(r']*+|(?!")[^'), delimiter, F.lit("]*+)"))
-    broken = F.rlike(line, F.concat(F.lit("^(?:"), cell, sep, F.lit(r')*+"[^"]*+(?:""[^"]*+)*+\z')))
-    return F.contains(line, F.lit('"')) & (delimiter != "") & broken
+
+    def broken(d: Column, sep: Column) -> Column:
+        cell = F.concat(F.lit(r'(?:"[^"]*+(?:""[^"]*+)*+"[^'), d, F.lit(r']*+|(?!")[^'), d, F.lit("]*+)"))
+        return F.rlike(line, F.concat(F.lit("^(?:"), cell, sep, F.lit(r')*+"[^"]*+(?:""[^"]*+)*+\z')))
+
+    return F.contains(line, F.lit('"')) & (delimiter != "") & _by_delimiter(delimiter, broken)
 
 
 def column_names(header_line: Column, delimiter: Column) -> Column:
